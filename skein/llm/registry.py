@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from skein.llm import langid, licenses, secrets
+from skein.llm import langid, licenses, quality, secrets
 
 
 def queries() -> dict:
     return {
         "op4_secrets": secrets.op4_secrets,
+        "op8_quality": quality.op8_quality,
         "op9_language": langid.op9_language,
         "op10_licenses": licenses.op10_licenses,
     }
