@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from skein.llm import decontaminate, langid, licenses, lines, quality, secrets
+from skein.llm import decontaminate, langid, licenses, lines, neardup, quality, secrets
 
 
 def queries() -> dict:
     return {
         "op4_secrets": secrets.op4_secrets,
+        "op2_neardup": neardup.op2_neardup,
         "op6_lines": lines.op6_lines,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_quality": quality.op8_quality,
