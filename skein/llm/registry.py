@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import decontaminate, langid, licenses, lines, lm, neardup, quality, secrets
+from skein.llm import ann, decontaminate, langid, licenses, lines, lm, neardup, quality, secrets
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op4_secrets": secrets.op4_secrets,
         "op2_neardup": neardup.op2_neardup,
         "op3_lm": lm.op3_lm,
+        "op5_nearest": ann.op5_nearest,
         "op6_lines": lines.op6_lines,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_quality": quality.op8_quality,
