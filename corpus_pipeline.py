@@ -1,4 +1,61 @@
-"""Corpus pipeline: stages over documents, each written and read again before the next."""
+"""Corpus pipeline: language ID, line dedup, near-dedup, decontamination and mixing over documents.
 
-STAGES = []
+Each stage takes what the stage before wrote and keeps the columns of documents; the last
+adds the weights. Rejected by the language stage are documents without a letter and those
+whose best language has less than ``MIN_SCORE`` mean probability.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.llm import common, decontaminate, langid, lines, mixing, neardup
+
+MIN_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; the network learns from these documents."""
+    return langid.keep_told(docs, *langid.train(docs), MIN_SCORE)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of lines that an earlier document holds are deleted; documents left without text go."""
+    out = lines.dedup_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five words, similarity 0.8)."""
+    return neardup.drop_near_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by calibrated probabilities, with their weights."""
+    return mixing.sample_mixture(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixture),
+]
+
+#: The trained network and the verified groups are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -207,20 +207,23 @@ def train(docs: DataFrame, docs_per_lang: int = 400, words_per_doc: int = 200, f
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_positions long"
 
 
-def identify(docs: DataFrame, net: BiGru | None, langs: list[str], keep: DataFrame | None = None, folds: int = FOLDS) -> DataFrame:
+def predictions(net: BiGru | None, langs: list[str], texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, mean probability of it and positions read, of texts that are not null."""
+    if net is None:
+        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    mean, n = document_scores(net, texts)
+    best = mean.argmax(1)
+    return [langs[k] if m else "und" for k, m in zip(best, n, strict=True)], np.where(n > 0, np.clip(mean.max(1), 0, 1), 0.0), n
+
+
+def identify(docs: DataFrame, net: BiGru | None, langs: list[str], folds: int = FOLDS) -> DataFrame:
     """One row per document with its language, the mean probability of that language and the positions read."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_lists(batch.column(2))
             for a, b in slices(texts, 3 * SLICE_BYTES):
-                if net is None:
-                    mean, n = np.zeros((b - a, 1)), np.zeros(b - a, np.int64)
-                else:
-                    mean, n = document_scores(net, texts.slice(a, b - a))
-                best = mean.argmax(1)
-                names = [langs[k] if m else "und" for k, m in zip(best, n, strict=True)]
-                score = np.where(n > 0, np.clip(mean.max(1), 0, 1), 0.0)
+                names, score, n = predictions(net, langs, texts.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a).cast(pa.int64()), batch.column(1).slice(a, b - a), pa.array(names, pa.string()), pa.array(score), pa.array(n)],
                     names=["doc_id", "held_out", "lang_pred", "score", "n_positions"],
@@ -229,6 +232,23 @@ def identify(docs: DataFrame, net: BiGru | None, langs: list[str], keep: DataFra
     return docs.select("doc_id", held_out(folds).alias("held_out"), "text").mapInArrow(label, SCHEMA)
 
 
+def keep_told(docs: DataFrame, net: BiGru | None, langs: list[str], min_score: float) -> DataFrame:
+    """The documents, all columns kept, with a language of at least ``min_score``.
+
+    Without a network, as where no document has a language, all documents stay.
+    """
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_lists(batch.column(at))
+            for a, b in slices(texts, 3 * SLICE_BYTES):
+                _, score, n = predictions(net, langs, texts.slice(a, b - a))
+                yield batch.slice(a, b - a).filter(pa.array((n > 0) & (score >= min_score)))
+
+    return docs if net is None else docs.mapInArrow(keep, docs.schema)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, *train(docs))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from skein.llm import ann, decontaminate, langid, licenses, lines, lm, neardup, quality, secrets
+from skein.llm import ann, decontaminate, langid, licenses, lines, lm, mixing, neardup, quality, secrets
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op4_secrets": secrets.op4_secrets,
+        "op1_mixture": mixing.op1_mixture,
         "op2_neardup": neardup.op2_neardup,
         "op3_lm": lm.op3_lm,
         "op5_nearest": ann.op5_nearest,
@@ -20,6 +24,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    import corpus_pipeline
+
+    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {
         "op10_licenses": licenses.op10_sql(),
     }
