@@ -15,3 +15,83 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+def chronological_split(df: DataFrame, time: str, tie: str, train: float = 0.70, validation: float = 0.15) -> DataFrame:
+    """Adds ``split`` by rank in time, at least one row for each split where there are three.
+
+    The rank is not taken by one global sort: rows are counted per time value, the counts
+    are summed in time order, and only rows of one time value are ranked against each other.
+    """
+    total = df.count()
+    n_train = max(1, int(total * train))
+    n_val = max(1, int(total * validation))
+    if total >= 3 and n_train + n_val >= total:
+        n_train = max(1, total - n_val - 1)
+    per = df.groupBy(F.col(time).alias("_t")).agg(F.count("*").alias("_n"))
+    before = per.withColumn("_before", F.sum("_n").over(Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1))).select("_t", F.coalesce("_before", F.lit(0)).alias("_before"))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(time).orderBy(tie))
+    split = F.when(F.col("_rank") <= n_train, "train").when(F.col("_rank") <= n_train + n_val, "validation").otherwise("test")
+    return df.join(before, F.col(time).eqNullSafe(F.col("_t"))).withColumn("_rank", rank).withColumn("split", split).drop("_t", "_before", "_rank")
+
+
+def supersedes_links(df: DataFrame, key: str, order: str, ident: str) -> DataFrame:
+    """Adds the id of the observation before and after within each entity."""
+    w = Window.partitionBy(key).orderBy(order, ident)
+    return df.withColumn("supersedes", F.lag(ident).over(w)).withColumn("superseded_by", F.lead(ident).over(w))
+
+
+def classify_lateness(df: DataFrame, source: str, event: str, arrival: Sequence[str], grace_hours: int = 48) -> DataFrame:
+    """Adds ``watermark`` (latest event before the row in arrival order, per source) and ``lateness``.
+
+    Late rows never raise the running maximum, so the maximum over all rows before is exact.
+    """
+    w = Window.partitionBy(source).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
+    mark = F.max(event).over(w)
+    late = F.when(F.col("watermark").isNull() | (F.col(event) >= F.col("watermark")), "on_time").when(F.col(event) >= F.col("watermark") - F.expr(f"INTERVAL {grace_hours} HOURS"), "late_within_grace").otherwise("late_out_of_watermark")
+    return df.withColumn("watermark", mark).withColumn("lateness", late)
+
+
+def minmax_normalise(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
+    """Scores scaled to 0..1 within each group, 0 where the group is constant."""
+    w = Window.partitionBy(group)
+    low, high = F.min(value).over(w), F.max(value).over(w)
+    return df.withColumn(out, F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(0.0))
+
+
+def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Ranks with ties at their mean, from counts per value, without a sort of all rows in one task."""
+    per = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.join(per.select("_v", (before + (F.col("_n") + 1) / 2).alias(out)), F.col(value) == F.col("_v")).drop("_v")
+
+
+def leave_one_out_mean(df: DataFrame, key: str, value: str, split: str, least: int = 2) -> DataFrame:
+    """Adds ``baseline``: for train rows the mean of the key's other train rows, for others that of all its train rows,
+    and the mean of all train rows where the key has fewer than ``least`` to go by."""
+    train = F.col(split) == "train"
+    per = df.filter(train).groupBy(key).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    overall = df.filter(train).agg(F.avg(value).alias("_g"))
+    n = F.coalesce("_n", F.lit(0)) - F.when(train, 1).otherwise(0)
+    s = F.coalesce("_s", F.lit(0.0)) - F.when(train, F.col(value)).otherwise(0.0)
+    joined = df.join(per, key, "left").crossJoin(F.broadcast(overall))
+    return joined.withColumn("baseline", F.when(n >= least, s / n).otherwise(F.col("_g"))).drop("_s", "_n", "_g")
+
+
+def trailing_run(df: DataFrame, order: Sequence[Column], flag: Column) -> DataFrame:
+    """The number of rows from the newest on that all hold ``flag``; ``df`` is a bounded recent list."""
+    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("_miss", F.sum(F.when(flag, 0).otherwise(1)).over(w)).agg(F.count_if(F.col("_miss") == 0).alias("trailing"))
+
+
+def quartile_grades(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
+    """Grades 0..3 by the values at places ``round(k * n / 4)`` of each group's sorted values.
+
+    The thresholds come from counts per value and a running sum, not from collected lists.
+    """
+    per = df.groupBy(group, value).agg(F.count("*").alias("_n"))
+    run = per.withColumn("_upto", F.sum("_n").over(Window.partitionBy(group).orderBy(value))).withColumn("_total", F.sum("_n").over(Window.partitionBy(group)))
+    place = lambda k: F.least(F.bround(F.col("_total") * k / 4, 0).cast("long"), F.col("_total") - 1)
+    cuts = run.groupBy(group).agg(*[F.min(F.when(F.col("_upto") > place(k), F.col(value))).alias(f"_t{k}") for k in (1, 2, 3)])
+    grade = sum(F.when(F.col(value) >= F.col(f"_t{k}"), 1).otherwise(0) for k in (1, 2, 3))
+    return df.join(cuts, group).withColumn(out, grade).drop("_t1", "_t2", "_t3")

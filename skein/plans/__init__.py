@@ -1,5 +1,5 @@
 """Query plans over the driver tables: name -> (builder, DuckDB SQL or None)."""
 
-from skein.plans import relational
+from skein.plans import relational, temporal
 
-ALL = {**relational.PLANS}
+ALL = {**relational.PLANS, **temporal.PLANS}
