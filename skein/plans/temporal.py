@@ -183,8 +183,8 @@ def benchmark_case_pool(spark, d):
     return p.withColumn("pos", pos).filter("pos <= 3").select("query_id", F.col("o_orderkey").alias("candidate_id"), F.col("pos").cast("long").alias("pos"))
 
 
-@PLANS.add("""SELECT o_orderkey, round(o_totalprice / greatest(l, 1), 8) AS rate, CASE WHEN l = 0 THEN 0.0 ELSE round(o_totalprice / l, 8) END AS safe FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) - 10 AS l FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
+@PLANS.add("""SELECT o_orderkey, o_totalprice / greatest(l, 1) AS rate, CASE WHEN l = 0 THEN 0.0 ELSE o_totalprice / l END AS safe FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) - 10 AS l FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
 def engagement_rates(spark, d):
     li = table(spark, d, "lineitem").groupBy("l_orderkey").agg((F.sum("l_quantity") - 10).alias("l"))
     j = table(spark, d, "orders").join(li, F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.select("o_orderkey", F.round(F.col("o_totalprice") / F.greatest("l", F.lit(1.0)), 8).alias("rate"), F.round(safe_div("o_totalprice", "l"), 8).alias("safe"))
+    return j.select("o_orderkey", (F.col("o_totalprice") / F.greatest("l", F.lit(1.0))).alias("rate"), safe_div("o_totalprice", "l").alias("safe"))
