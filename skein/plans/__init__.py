@@ -1,5 +1,5 @@
 """Query plans over the driver tables: name -> (builder, DuckDB SQL or None)."""
 
-from skein.plans import relational, temporal, text
+from skein.plans import analysis, relational, temporal, text
 
-ALL = {**relational.PLANS, **temporal.PLANS, **text.PLANS}
+ALL = {**relational.PLANS, **temporal.PLANS, **text.PLANS, **analysis.PLANS}
