@@ -1,5 +1,5 @@
 """Query plans over the driver tables: name -> (builder, DuckDB SQL or None)."""
 
-from skein.plans import analysis, ranking, relational, streams, temporal, text
+from skein.plans import analysis, builds, ranking, relational, streams, temporal, text
 
-ALL = {**relational.PLANS, **temporal.PLANS, **text.PLANS, **analysis.PLANS, **ranking.PLANS, **streams.PLANS}
+ALL = {**relational.PLANS, **temporal.PLANS, **text.PLANS, **analysis.PLANS, **ranking.PLANS, **streams.PLANS, **builds.PLANS}
