@@ -11,13 +11,18 @@ from pyspark.sql import types as T
 
 from skein.functions.text import safe_strip
 
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+_S, _L, _I = T.StringType(), T.LongType(), T.IntegerType()
+
 #: Schema of a raw post record.
-RAW = T.StructType.fromDDL(
-    "id string, video_id string, url string, caption string, hashtags array<string>, keywords array<string>, search_query string, language string, posted_at string, scraped_at string, "
-    "metrics_scraped_at string, likes long, views long, comments_count long, shares long, source string, "
-    "author struct<author_id:string, username:string, followers:long>, audio struct<audio_id:string, title:string>, video_meta struct<duration_seconds:int>, "
-    "comments array<struct<comment_id:string, text:string, created_at:string, likes:long, parent_comment_id:string>>"
-)
+RAW = _struct(
+    id=_S, video_id=_S, url=_S, caption=_S, hashtags=T.ArrayType(_S), keywords=T.ArrayType(_S), search_query=_S, language=_S, posted_at=_S, scraped_at=_S, metrics_scraped_at=_S,
+    likes=_L, views=_L, comments_count=_L, shares=_L, source=_S, author=_struct(author_id=_S, username=_S, followers=_L), audio=_struct(audio_id=_S, title=_S),
+    video_meta=_struct(duration_seconds=_I), comments=T.ArrayType(_struct(comment_id=_S, text=_S, created_at=_S, likes=_L, parent_comment_id=_S)),
+)
 
 
 def with_quality(df: DataFrame, reasons: dict[str, Column], cost: float) -> DataFrame:

@@ -30,7 +30,7 @@ def write_bundle(bundle: dict[str, DataFrame], root: str, version: str, partitio
     entities = {name: content_hash(df) for name, df in sorted(bundle.items())}
     ident = spark.range(1).select(F.sha2(F.lit(json.dumps([version, entities], sort_keys=True)), 256)).first()[0][:16]
     folder = f"{root}/{version}-{ident}"
-    fs, marker = _files(spark, f"{folder}/_manifest.json")
+    fs, marker = _files(spark, f"{folder}/manifest.json")
     if fs.exists(marker):
         return folder
     for name, df in bundle.items():
@@ -44,7 +44,7 @@ def write_bundle(bundle: dict[str, DataFrame], root: str, version: str, partitio
 
 def read_bundle(spark: SparkSession, folder: str, verify: bool = True) -> dict[str, DataFrame]:
     """The entities of a bundle; with ``verify`` their content and schema must match the manifest."""
-    manifest = json.loads("".join(r[0] for r in spark.read.text(f"{folder}/_manifest.json").collect()))
+    manifest = json.loads("".join(r[0] for r in spark.read.text(f"{folder}/manifest.json").collect()))
     out = {}
     for name, want in manifest["entities"].items():
         df = spark.read.parquet(f"{folder}/{name}")
