@@ -18,12 +18,14 @@ SLICE_BYTES = 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is set.
+    Only where that is unset, as in tests on one machine, is a temporary folder set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
+        path = context.getCheckpointDir()
     return path.rstrip("/")
 
 
