@@ -149,3 +149,46 @@ def quality_tiers(spark, d):
     j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     reasons = {"short": F.col("n_chars") < 50, "missing_source": F.col("source").isNull(), "long": F.col("n_chars") > 5000, "foreign": F.col("lang") != "en", "missing_label": F.col("quality").isNull(), "toxic": F.coalesce(F.col("toxic"), F.lit(0)) == 1}
     return with_quality(j, reasons, 0.12).select("doc_id", "quality_score", "quality_tier")
+
+
+def _component_rows(spark, d):
+    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return j.select(
+        "doc_id", F.when(F.col("doc_id") % 4 == 0, "reach").when(F.col("doc_id") % 4 == 1, "engagement").when(F.col("doc_id") % 4 == 2, "conversion").otherwise("other").alias("objective"),
+        ((F.col("n_chars") % 100) / 100).alias("semantic_relevance"), ((F.col("doc_id") % 10) / 10).alias("intent_alignment"), F.col("quality").cast("double").alias("performance_quality"),
+        ((F.col("doc_id") % 7) / 7).alias("reference_usefulness"), (1.0 - F.col("toxic")).alias("support_confidence"), ((F.col("n_chars") % 13) / 13).alias("trajectory_alignment"),
+    )
+
+
+_COMP = """c AS (SELECT d.doc_id, CASE d.doc_id % 4 WHEN 0 THEN 'reach' WHEN 1 THEN 'engagement' WHEN 2 THEN 'conversion' ELSE 'other' END AS objective, (n_chars % 100) / 100 AS a, (d.doc_id % 10) / 10 AS b, quality AS c, (d.doc_id % 7) / 7 AS d, 1.0::DOUBLE - toxic AS e, (n_chars % 13) / 13 AS f FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def _weights_sql():
+    from skein.operators.ranking import WEIGHTS
+
+    sums = {o: " + ".join(f"{k} * {w}::DOUBLE" for k, w in zip("abcdef", ws, strict=True)) for o, ws in WEIGHTS.items()}
+    return "CASE objective " + " ".join(f"WHEN '{o}' THEN {s}" for o, s in sums.items() if o != "default") + f" ELSE {sums['default']} END"
+
+
+@PLANS.add(f"WITH {_COMP} SELECT doc_id, objective, round({_weights_sql()}, 6) AS score, CASE WHEN e >= 0.75 THEN 'full' WHEN e >= 0.45 THEN 'partial' ELSE 'low' END AS support FROM c")
+def ranking_components(spark, d):
+    """Objective-weighted sums of the six components."""
+    from skein.operators.ranking import support_level, weighted_score
+
+    return _component_rows(spark, d).select("doc_id", "objective", weighted_score(F.col("objective")).alias("score"), support_level(F.col("support_confidence")).alias("support"))
+
+
+@PLANS.add()
+def blend_grid_search(spark, d):
+    """Which mix of three signals ranks labelled documents best within their source."""
+    from skein.operators.ranking import blend_search
+
+    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("source", "doc_id", "quality", (F.log1p("n_chars") / 12).alias("length"), ((F.col("doc_id") % 10) / 10).alias("age"), (1.0 - F.col("toxic")).alias("clean"))
+    return blend_search(j, "source", "doc_id", "quality", ["length", "age", "clean"])
+
+
+@PLANS.add("SELECT event_type, list_sort(list(value))[floor((count(*) - 1) * 0.95)::INT + 1] AS p95 FROM events GROUP BY event_type")
+def latency_floor_percentile(spark, d):
+    from skein.operators.ranking import percentile_floor
+
+    return percentile_floor(table(spark, d, "events"), ["event_type"], "value", 0.95, "p95")
