@@ -192,3 +192,33 @@ def latency_floor_percentile(spark, d):
     from skein.operators.ranking import percentile_floor
 
     return percentile_floor(table(spark, d, "events"), ["event_type"], "value", 0.95, "p95")
+
+
+@PLANS.add(f"""WITH {_COS}, n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, item) AS rank FROM c) WHERE rank <= 20), t AS (SELECT vec_id AS item, 'tag' || label AS tag, n_chars AS engagement FROM embeddings JOIN documents ON doc_id = vec_id),
+j AS (SELECT query, tag, count(*) AS frequency, round(avg(engagement), 6) AS mean_engagement, round(avg(score), 6) AS mean_similarity, round(sum(score / rank), 6) AS score FROM n JOIN t ON n.item = t.item GROUP BY query, tag)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, tag) AS rank FROM j) WHERE rank <= 5""")
+def neighbour_tags(spark, d):
+    """Tags of the nearest vectors, weighted by similarity over rank."""
+    from skein.operators import tags as N
+
+    t = table(spark, d, "embeddings").join(table(spark, d, "documents"), F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("item"), F.concat(F.lit("tag"), F.col("label").cast("string")).alias("tag"), F.col("n_chars").alias("engagement"))
+    return N.neighbour_tags(_cosine(spark, d, 20), t, 5)
+
+
+@PLANS.add("""SELECT event_type, event_id, round(avg(value) OVER w, 11) AS mean, max(value) OVER w AS max, count(value) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 511 PRECEDING AND CURRENT ROW)""")
+def rolling_latency(spark, d):
+    from skein.operators import tags as N
+
+    return N.rolling_latency(table(spark, d, "events"), "event_type", "event_id", "value")
+
+
+@PLANS.add()
+def charwb_topk(spark, d):
+    """Character 3- to 5-gram TF-IDF of conversation openings against benchmark items."""
+    from skein.functions.text import words
+    from skein.operators.similarity import tfidf_scores, top_per_query
+    from skein.operators.tags import char_terms
+
+    docs = table(spark, d, "conversations").filter("turn = 0").select("conv_id", char_terms(words("text")).alias("terms"))
+    queries = table(spark, d, "benchmark").select("item_id", char_terms(words("text")).alias("terms"))
+    return top_per_query(tfidf_scores(docs, queries, "conv_id", "item_id"), "q", "d", 5).select(F.col("q").alias("item_id"), F.col("d").alias("conv_id"), F.round("score", 6).alias("score"), "rank")
