@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import as_lists, ascii_words, discard, materialise, mix64, slices, word_hashes
+from skein.llm.common import as_lists, ascii_words, materialise, mix64, slices, word_hashes
 
 FOLDS = 10
 MASS = 30.0
 ADD = 0.1
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 END = np.uint64(0x5BD1E9955BD1E995)
 TOKENS = -1
 
@@ -76,22 +76,21 @@ def stream(words: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray,
     """All texts' tokens with the end after each, and the token before each (the end before the first)."""
     n = len(words) + len(sizes)
     at = np.cumsum(sizes + 1) - 1
-    tokens = np.full(n, end, np.int64)
+    tokens = np.full(n, end, np.int32)
     inner = np.ones(n, bool)
     inner[at] = False
     tokens[inner] = words
-    before = np.concatenate([[end], tokens[:-1]]) if n else tokens
+    before = np.concatenate([np.array([end], np.int32), tokens[:-1]]) if n else tokens
     return tokens, before
 
 
-def split(docs: DataFrame, parts: int, folds: int) -> DataFrame:
-    """Rows (chunk, part, payload): a chunk's tokens, and its distinct bigrams and words by hash range."""
+def token_streams(docs: DataFrame, folds: int) -> DataFrame:
+    """Rows (chunk, part, payload): each chunk's documents, word numbers and word hashes."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_lists(batch.column(3))
             for a, b in slices(texts, CHUNK_BYTES):
-                chunk = uuid.uuid4().int >> 65
                 ids = batch.column(0).slice(a, b - a).cast(pa.int64())
                 known = ids.is_valid().to_numpy(zero_copy_only=False)
                 learn = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
@@ -99,27 +98,36 @@ def split(docs: DataFrame, parts: int, folds: int) -> DataFrame:
                 words, at = ascii_words(texts.slice(a, b - a))
                 index, hashed, _ = word_hashes(words) if len(words) else (np.zeros(0, np.int32), np.zeros(0, np.uint64), None)
                 hashes, number = np.unique(np.append(hashed, END), return_inverse=True)
-                end = int(number[-1])
-                sizes = np.diff(at)
-                tokens, before = stream(number[index], sizes, end)
-                weight = np.repeat(learn, sizes + 1)
-                flags = known * 1 + held * 2
-                yield_rows = [(TOKENS, pack(ids.fill_null(0).to_numpy(zero_copy_only=False), flags.astype(np.uint8), sizes.astype(np.int64), number[index].astype(np.uint32), hashes))]
+                flags = (known * 1 + held * 2 + learn * 4).astype(np.uint8)
+                payload = pack(ids.fill_null(0).to_numpy(zero_copy_only=False), flags, np.diff(at).astype(np.int64), number[index].astype(np.uint32), hashes)
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([TOKENS], pa.int32()), pa.array([payload], pa.binary())], names=["chunk", "part", "payload"])
+
+    rest = F.crc32(F.col("doc_id").cast("string")) % folds
+    return docs.select("doc_id", F.coalesce(rest != 0, F.lit(False)).alias("learn"), F.coalesce(rest == 0, F.lit(False)).alias("held"), "text").mapInArrow(compute, "chunk long, part int, payload binary")
+
+
+def spread(streams: DataFrame, parts: int) -> DataFrame:
+    """Rows (chunk, part, payload): each chunk's distinct bigrams and words with their counts, by hash range."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, payload in zip(batch.column(0), batch.column(2), strict=True):
+                _, flags, sizes, words, hashes = unpack(payload.as_buffer(), np.int64, np.uint8, np.int64, np.uint32, np.uint64)
+                tokens, before = stream(words, sizes, int(np.searchsorted(hashes, END)))
+                weight = np.repeat(flags & 4 > 0, sizes + 1)
                 counts = np.bincount(tokens, weights=weight, minlength=len(hashes)).astype(np.uint32)
                 keys, places = np.unique(bigram_keys(hashes, before, tokens), return_inverse=True)
                 pairs = np.bincount(places, weights=weight, minlength=len(keys)).astype(np.uint32)
-                del places, words, index
+                del places, tokens, before, words, weight
+                rows = []
                 for base, n, k, c in ((0, parts, keys, pairs), (parts, word_parts(parts), hashes, counts)):
                     cut = np.searchsorted(k, bounds(n))
                     for i, (x, y) in enumerate(zip(np.split(k, cut), np.split(c, cut), strict=True)):
                         if len(x):
-                            yield_rows.append((base + i, pack(np.diff(x, prepend=np.uint64(0)), y)))
-                for i in range(0, len(yield_rows), 64):
-                    some = yield_rows[i : i + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.binary())], names=["chunk", "part", "payload"])
+                            rows.append((base + i, pack(np.diff(x, prepend=np.uint64(0)), y)))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "part", "payload"])
 
-    rest = F.crc32(F.col("doc_id").cast("string")) % folds
-    return docs.select("doc_id", F.coalesce(rest != 0, F.lit(False)).alias("learn"), F.coalesce(rest == 0, F.lit(False)).alias("held"), "text").mapInArrow(compute, "chunk long, part int, payload binary")
+    return streams.mapInArrow(compute, "chunk long, part int, payload binary")
 
 
 def word_parts(parts: int) -> int:
@@ -138,6 +146,7 @@ def add_up(sent: DataFrame, parts: int) -> DataFrame:
             counts.append(c)
         sizes = [len(k) for k in keys]
         each, place = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
         total = np.bincount(place, weights=np.concatenate(counts), minlength=len(each)).astype(np.int64)
         back = [pack(x) for x in np.split(total[place], np.cumsum(sizes)[:-1])]
         own = part >= parts
@@ -179,11 +188,9 @@ def score(docs: DataFrame, mass: float = MASS, folds: int = FOLDS) -> DataFrame:
     """One row per document with its token counts, the base score and the automaton's log10 probability."""
     spark = docs.sparkSession
     parts = 3 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = materialise(split(docs, parts, folds), "lm-chunks")
-    counted = materialise(add_up(sent.filter(F.col("part") != TOKENS), parts), "lm-counts")
+    streams = materialise(token_streams(docs, folds), "lm-tokens")
+    counted = materialise(add_up(spread(streams, parts), parts), "lm-counts")
     n, v = (x or 0 for x in counted.filter("chunk = -1").agg(F.sum("n"), F.sum("v")).first())
-    streams = materialise(sent.filter(F.col("part") == TOKENS), "lm-tokens")
-    discard(sent)
 
     def compute(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group.column("part").to_pylist(), group.column("payload").to_pylist(), strict=True))
@@ -191,7 +198,7 @@ def score(docs: DataFrame, mass: float = MASS, folds: int = FOLDS) -> DataFrame:
         back = [(p, unpack(x, np.int64)[0]) for p, x in rows[1:]]
         pairs = np.concatenate([x for p, x in back if p < parts])
         counts = np.concatenate([x for p, x in back if p >= parts])
-        tokens, before = stream(words.astype(np.int64), sizes, int(np.searchsorted(hashes, END)))
+        tokens, before = stream(words, sizes, int(np.searchsorted(hashes, END)))
         keys = np.unique(bigram_keys(hashes, before, tokens))
         net = Automaton(hashes, counts, keys, pairs, n, v, mass)
         at = np.cumsum(sizes + 1) - (sizes + 1)
