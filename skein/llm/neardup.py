@@ -8,12 +8,13 @@ with the Jaccard similarity as probability, with concentration as for independen
 ``BANDS`` bands of ``COORDS / BANDS`` coordinates give buckets. At a similarity of 0.85 a
 pair misses all buckets with probability 6e-11, at 0.8 5e-8.
 
-Documents with equal sets are one class, whose smallest doc_id stands for it. The members
-of a bucket are first compared with its smallest member. Where a bucket then still spans
-several components, members are compared across components with other members as centres;
-once few such pairs are left, every pair of a bucket across components is compared, so no
-link that joins components is lost, and pairs within a component need no comparison. All
-comparisons are exact, on full sets.
+Documents with equal sets are one class, whose smallest doc_id stands for it. Elements that
+stand in one set only bound every intersection of that set from above; pairs whose bound is
+too small for a link are not compared, which is exact and spares most pairs of a large group
+of loosely similar texts. The members of a bucket are first compared with one of them, the
+one with the least of its own. Where a bucket then still spans several components, every
+pair of its members across components is compared, so no link that joins components is
+lost, and pairs within a component need no comparison. All comparisons are on full sets.
 
 Defined cases: texts without words have an empty set and no links; texts with fewer than
 ``k`` words are one shingle; a doc_id on several rows is one node that has the links of
@@ -35,6 +36,7 @@ from skein.llm.components import connected_components
 
 COORDS = 128
 BANDS = 32
+LOOK_BACK = 8
 _GOLD = 0x9E3779B97F4A7C15
 _EDGES = (np.arange(COORDS, dtype=np.uint64) << np.uint64(57))
 
@@ -144,52 +146,77 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 80, max_rounds: int = 8) -> DataFrame:
+def unshared(sets: DataFrame) -> DataFrame:
+    """(rep, u): how many elements of a set stand in no other set; 0 where a doc_id has several sets.
+
+    Two sets x and y then share at most ``min(n_x - u_x, n_y - u_y)`` elements.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1).slice(i, 256)]
+                if parts:
+                    ids = np.repeat(batch.column(0).slice(i, 256).to_numpy(zero_copy_only=False), [len(x) for x in parts])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(parts), pa.int64())], names=["doc_id", "e"])
+
+    rows = sets.mapInArrow(spread, "doc_id long, e long")
+    alone = rows.groupBy("e").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep = last").groupBy("rep").agg(F.count("*").alias("u"))
+    several = sets.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("rep"))
+    return alone.join(several, "rep", "left_anti")
+
+
+def components(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept.
 
-    ``k``: words of a shingle; ``percent``: least similarity in percent; ``max_rounds``: rounds
-    with centres before all remaining pairs are compared.
+    ``k``: words of a shingle; ``percent``: least similarity in percent; ``star_rounds``: rounds
+    in which a bucket's members are compared with one centre, before all remaining pairs are.
     """
     sk = materialise(sketches(docs, k), "sketches")
     classes = materialise(
         sk.filter("n > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "keys"), "doc_id").alias("s")).select("fp1", "fp2", "rep", "s.n", "s.keys"), "classes"
     )
-    buckets = classes.select("rep", "n", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("key")
+    # keys differ between bands, so two members that share one of the ``LOOK_BACK`` bands before this one are paired there
+    before = F.expr(f"slice(keys, greatest(band - {LOOK_BACK - 1}, 1), least(band, {LOOK_BACK}))")
+    buckets = classes.select("rep", "n", "keys", F.posexplode("keys").alias("band", "key")).select("rep", "n", "key", before.alias("before"))
+    shared = classes.select("rep", F.explode("keys").alias("key")).groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("key")
     members = materialise(buckets.join(shared, "key"), "buckets")
     reps = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialise(full_sets(docs.select("doc_id", "text").join(reps, "doc_id"), k), "sets")
-
-    near = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
-    links, comps, salt = None, None, 0
-    while True:
-        if comps is None:
-            here = members.withColumn("comp", F.col("rep"))
-        else:
-            here = members.join(comps, members.rep == comps.id, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        here = materialise(here, "members")
+    # a member with more than the allowed share of unshared elements has no link at all
+    bounded = members.join(unshared(sets), "rep", "left").select("key", "rep", "n", "before", (F.col("n") - F.coalesce("u", F.lit(0))).alias("most"))
+    here = materialise(bounded.filter(F.col("most") * 100 >= F.col("n") * percent).withColumn("comp", F.col("rep")), "members")
+    discard(members)
+
+    # the largest intersection that two members can have must be enough for a link
+    both = F.least("ma", "mb")
+    possible = (F.col("ca") != F.col("cb")) & (both * 100 >= (F.col("na") + F.col("nb") - both) * percent)
+    links, comps = None, None
+    for step in range(star_rounds + 1):
         per = here.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count("*").alias("comps")).filter("comps > 1")
         left = per.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"), F.sum("c").alias("members")).first()
         if not left["pairs"]:
             break
-        last = (comps is not None and left["pairs"] <= 4 * left["members"]) or salt >= max_rounds
-        open_ = here.join(per.select("key"), "key")
-        x = open_.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        y = open_.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+        last = step == star_rounds or (step > 0 and left["pairs"] <= 16 * left["members"])
+        open_ = materialise(here.join(per.select("key"), "key"), "open")
+        x = open_.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"), F.col("before").alias("pa"))
+        y = open_.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb"), F.col("before").alias("pb"))
         if last:
-            pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb")))
+            pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & possible & ~F.arrays_overlap("pa", "pb"))
         else:
-            order = F.col("a") if salt == 0 else F.xxhash64("a", "key", F.lit(salt))
-            centre = x.groupBy("key").agg(F.min_by(F.struct("a", "na", "ca"), order).alias("c")).select("key", "c.*")
-            pairs = centre.join(y, "key").filter((F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            # the first centre is the member with the least of its own, the likely origin of the others
+            order = F.struct((F.col("na") - F.col("ma")) / F.col("na"), F.col("a")) if step == 0 else F.struct(F.xxhash64("a", "key", F.lit(step)))
+            centre = materialise(x.groupBy("key").agg(F.min_by(F.struct("a", "na", "ma", "ca"), order).alias("c")).select("key", "c.*"), "centres")
+            pairs = centre.join(y.drop("pb"), "key").filter(possible)
+        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         found = materialise(verified(pairs, sets, percent), "found")
         links = found if links is None else links.unionByName(found)
         comps = connected_components(links)
-        discard(here)
-        salt += 1
         if last:
             break
+        new = here.drop("comp").join(comps, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", "most", "before", F.coalesce("component", "rep").alias("comp"))
+        old, here = here, materialise(new, "members")
+        discard(old)
     ids = classes.select("fp1", "fp2", "rep")
     ids = ids.withColumn("component", F.col("rep")) if comps is None else ids.join(comps, ids.rep == comps.id, "left").select("fp1", "fp2", "rep", F.coalesce("component", "rep").alias("component"))
     return (
@@ -208,3 +235,20 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
+
+
+def op2_sql(k: int = 3, percent: int = 85) -> str:
+    """All pairs by shared shingles and their transitive closure, as DuckDB SQL."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    run = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce("text", ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k - 2}), lambda i: {run}) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+u AS (SELECT doc_id, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= {percent} * (len(x.s) + len(y.s) - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS id, b AS root FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.root = e.a),
+m AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(root, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(root, doc_id)) AS kept FROM s LEFT JOIN m ON doc_id = id
+"""

@@ -27,5 +27,6 @@ def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
     return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {
+        "op2_neardup": neardup.op2_sql(),
         "op10_licenses": licenses.op10_sql(),
     }
