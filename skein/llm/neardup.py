@@ -9,9 +9,9 @@ with the Jaccard similarity as probability, with concentration as for independen
 pair misses all buckets with probability 6e-11, at 0.8 5e-8.
 
 Documents with equal sets are one class, whose smallest doc_id stands for it. Elements that
-stand in one set only bound every intersection of that set from above; pairs whose bound is
-too small for a link are not compared, which is exact and spares most pairs of a large group
-of loosely similar texts. The members of a bucket are first compared with one of them, the
+stand in one set only, and counts of the elements by cells of the hash space, bound every
+intersection from above; pairs whose bound is too small for a link are not compared, which
+is exact and spares most pairs of a large group of loosely similar texts. The members of a bucket are first compared with one of them, the
 one with the least of its own. Where a bucket then still spans several components, every
 pair of its members across components is compared, so no link that joins components is
 lost, and pairs within a component need no comparison. All comparisons are on full sets.
@@ -37,6 +37,7 @@ from skein.llm.components import connected_components
 COORDS = 128
 BANDS = 32
 LOOK_BACK = 8
+CELLS = 256
 _GOLD = 0x9E3779B97F4A7C15
 _EDGES = (np.arange(COORDS, dtype=np.uint64) << np.uint64(57))
 
@@ -166,6 +167,28 @@ def unshared(sets: DataFrame) -> DataFrame:
     return alone.join(several, "rep", "left_anti")
 
 
+def histograms(sets: DataFrame) -> DataFrame:
+    """(rep, cells): how many elements of a set fall into each of ``CELLS`` cells of the hash space.
+
+    Two sets share at most the sum over the cells of the smaller count. A doc_id with
+    several sets, and sets too large for the counts, have none.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = np.zeros((batch.num_rows, CELLS), np.int16)
+            fits = np.ones(batch.num_rows, bool)
+            for i, x in enumerate(batch.column(1)):
+                c = np.bincount((np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(56)).astype(np.int64), minlength=CELLS)
+                fits[i] = c.max() < 32767
+                cells[i] = c if fits[i] else 0
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, CELLS), pa.int32()), pa.array(cells.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(fits)), lists.filter(pa.array(fits))], names=["rep", "cells"])
+
+    several = sets.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    return sets.join(several, "doc_id", "left_anti").select("doc_id", "elements").mapInArrow(count, "rep long, cells array<smallint>")
+
+
 def components(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept.
 
@@ -202,7 +225,12 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int
         x = open_.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"), F.col("before").alias("pa"))
         y = open_.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb"), F.col("before").alias("pb"))
         if last:
-            pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & possible & ~F.arrays_overlap("pa", "pb"))
+            cells = histograms(sets.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
+            x = x.join(cells.select(F.col("rep").alias("a"), F.col("cells").alias("ha")), "a", "left")
+            y = y.join(cells.select(F.col("rep").alias("b"), F.col("cells").alias("hb")), "b", "left")
+            shared_cells = F.aggregate(F.zip_with("ha", "hb", lambda p, q: F.least(p, q).cast("int")), F.lit(0), lambda t, z: t + z)
+            enough = F.coalesce(shared_cells * 100 >= (F.col("na") + F.col("nb") - shared_cells) * percent, F.lit(True))
+            pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & possible & ~F.arrays_overlap("pa", "pb") & enough)
         else:
             # the first centre is the member with the least of its own, the likely origin of the others
             order = F.struct((F.col("na") - F.col("ma")) / F.col("na"), F.col("a")) if step == 0 else F.struct(F.xxhash64("a", "key", F.lit(step)))
