@@ -138,14 +138,16 @@ def scale_for(cells: DataFrame, keep: float, local_cells: int = LOCAL_CELLS) ->
 def drawn(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, topic=topic_of, rounds: int = ROUNDS, local_cells: int = LOCAL_CELLS) -> DataFrame:
     """The documents with the columns ``_source _lang _topic _n_tokens _draw _factor _p``.
 
-    The factors are joined by cell; Spark broadcasts them while they are small, and splits
-    the hot cells of a sort-merge join where they are not. No document is grouped.
+    The factors are joined by cell: broadcast up to ``local_cells`` cells, so no document
+    moves; beyond that Spark chooses, and splits the hot cells of a sort-merge join.
     """
     named = docs.select("*", *[c.alias(f"_{k}") for k, c in cell_columns(topic).items()])
     cells = materialise(named.groupBy(*[F.col(f"_{m}").alias(m) for m in MARGINS]).agg(F.sum("_n_tokens").cast("double").alias("mass")), "cells")
     raked = rake(cells, targets, rounds, local_cells)
     scale = scale_for(raked, keep, local_cells)
     factors = raked.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("factor").alias("_f"))
+    if cells.count() <= local_cells:
+        factors = F.broadcast(factors)
     out = named.join(factors, [f"_{m}" for m in MARGINS], "left").withColumn("_factor", F.when(F.col("_n_tokens") == 0, 0.0).otherwise(F.coalesce("_f", F.lit(0.0))))
     return out.withColumn("_p", F.when(F.col("_n_tokens") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("_factor") * scale)))
 
