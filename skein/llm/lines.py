@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm.common import materialise
+
 MIN_LINE_WORDS = 4
 MIN_BLOCK_WORDS = 8
 LINES = "split(text, '\\n', -1)"
@@ -101,11 +103,13 @@ def align(lines: list[tuple[int, int, int, int, bool, bool]], min_block_words: i
 def removals(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """doc_id, tkey, the line numbers to delete, the blocks, and the earlier documents they align with."""
     lines = long_lines(docs, min_line_words)
-    owners = (
+    # written on its own, so that the join below has a shuffle on either side and a hot line's rows can be split
+    owners = materialise(
         lines.groupBy("h")
         .agg(F.min(F.struct("doc_id", "tkey", "pos", "before", "after")).alias("o"), F.max(F.struct("doc_id", "tkey")).alias("last"))
         .filter(F.struct("o.doc_id", "o.tkey") < F.col("last"))
-        .select("h", F.col("o.doc_id").alias("o_doc"), F.col("o.tkey").alias("o_tkey"), F.col("o.pos").alias("o_pos"), F.col("o.before").alias("o_before"), F.col("o.after").alias("o_after"))
+        .select("h", F.col("o.doc_id").alias("o_doc"), F.col("o.tkey").alias("o_tkey"), F.col("o.pos").alias("o_pos"), F.col("o.before").alias("o_before"), F.col("o.after").alias("o_after")),
+        "line-owners",
     )
     shared = (
         lines.join(owners, "h")
