@@ -33,6 +33,7 @@ WINDOW = 96
 RATE = 0.08
 GAP = 32
 BLOCK_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -190,7 +191,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
             index = Index(items)
             for batch in batches:
                 texts = as_lists(batch.column(at))
-                for a, b in slices(texts, BLOCK_BYTES):
+                for a, b in slices(texts, TEXT_BYTES):
                     part = batch.slice(a, b - a)
                     before = part.column(into).to_pylist()
                     found = [sorted({*old, *new}) for old, new in zip(before, index.find(texts.slice(a, b - a)), strict=True)]
