@@ -118,6 +118,22 @@ def test_walks_repeat_and_stay_on_edges(spark):
     assert all({x, y} in ({"a", "b"}, {"b", "c"}) for w in once for x, y in zip(w, w[1:], strict=False))
 
 
+def test_walks_draw_from_all_edges_by_weight(spark):
+    e = spark.createDataFrame([("hub", f"n{i}", 1.0 + (i % 2) * 2) for i in range(200)], "src string, dst string, weight double")
+    walks = [r["walk"] for r in graph.random_walks(e).collect()]
+    steps = [y for w in walks for x, y in zip(w, w[1:], strict=False) if x == "hub"]
+    assert len(walks) == 201 * 20 and all(len(w) == 12 for w in walks) and len(set(steps)) == 200
+    assert abs(sum(int(y[1:]) % 2 for y in steps) / len(steps) - 0.75) < 0.02
+    assert all({x, y} & {"hub"} and x != y for w in walks for x, y in zip(w, w[1:], strict=False))
+
+
+def test_node2vec_has_the_whole_size(spark, sf_dir):
+    from skein.queries import QUERIES
+
+    rows = QUERIES["node2vec_embeddings"](spark, sf_dir).collect()
+    assert rows and all(len(r["vector"].split(",")) == 32 for r in rows)
+
+
 def test_fabric(spark):
     df = spark.createDataFrame([("follow me now", None, None, ["#x"], None, 30, "story", {"energy": "0.7"})], "caption string, transcript_text string, ocr_text string, hashtags array<string>, keywords array<string>, duration_seconds int, content_type string, hints map<string,string>")
     r = fabric.extract(df).first()
