@@ -1,12 +1,13 @@
 """Benchmark decontamination: q-gram lemma filter in diagonal bands, then banded alignment.
 
 Texts and benchmark items are normalised to lower-case ASCII letters, other bytes as they
-are, and single spaces for white space and punctuation. Each item is cut into overlapping
-windows of ``WINDOW`` bytes. A window of m bytes that occurs in a text with at most e edits
-shares m - q + 1 - q*e of its q-grams with it, on diagonals that differ by at most e; so
-shared q-grams are counted in overlapping bands of diagonals, bands that reach the bound
-are kept and verified by banded alignment. Any run of 1.5 windows of an item that a text
-holds within the budget is found.
+are, and single spaces for white space and punctuation. An item has a window of ``WINDOW``
+bytes at every byte; shorter items are one window. A window of m bytes that occurs in a text
+with at most e edits shares m - q + 1 - q*e of its q-grams with it, on diagonals that differ
+by at most e; so shared q-grams are collected in overlapping bands of diagonals, and windows
+that reach the bound within a band are verified by banded alignment: first the one at the
+band's densest place, then, where that fails, all others. Any run of ``WINDOW`` bytes of an
+item that a text holds within the budget is found, wherever it starts; shorter runs are not.
 
 The benchmark goes to the workers in blocks of at most ``block_bytes``; a larger benchmark
 takes more passes over the texts, without a shuffle.
@@ -67,11 +68,11 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The windows of a block of items and where each of their q-grams stands."""
+    """The items of a block and where each of their q-grams stands."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.text, self.item, self.size, self.budget = [], [], [], []
-        keys, wins, offs = [], [], []
+        keys, owns, offs = [], [], []
         for item, text in items:
             raw = np.frombuffer(text.encode(), np.uint8)
             data, starts = normalise(raw, np.array([0, len(raw)]))
@@ -79,33 +80,36 @@ class Index:
             data = np.frombuffer(data.tobytes().strip(), np.uint8)
             if len(data) < Q:
                 continue
-            last = max(0, len(data) - WINDOW)
-            for s in sorted({*range(0, last + 1, WINDOW // 2), last}):
-                w = data[s : s + WINDOW]
-                k = grams(w)
-                keys.append(k)
-                wins.append(np.full(len(k), len(self.text)))
-                offs.append(np.arange(len(k)))
-                self.text.append(w)
-                self.item.append(item)
-                self.size.append(len(w))
-                self.budget.append(max(0, min(int(RATE * len(w)), (len(w) - Q) // Q)))
+            k = grams(data)
+            m = min(WINDOW, len(data))
+            keys.append(k)
+            owns.append(np.full(len(k), len(self.text)))
+            offs.append(np.arange(len(k)))
+            self.text.append(data)
+            self.item.append(item)
+            self.size.append(m)
+            self.budget.append(max(0, min(int(RATE * m), (m - Q) // Q)))
         self.size, self.budget, self.item = np.array(self.size, int), np.array(self.budget, int), np.array(self.item, np.int64)
+        self.length = np.array([len(t) for t in self.text], int)
+        self.longest = int(self.length.max()) if len(self.length) else 0
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(keys, kind="stable")
-        self.win = np.concatenate(wins)[order] if len(keys) else np.zeros(0, int)
+        self.own = np.concatenate(owns)[order] if len(keys) else np.zeros(0, int)
         self.off = np.concatenate(offs)[order] if len(keys) else np.zeros(0, int)
         self.keys, self.first = np.unique(keys[order], return_index=True)
         self.many = np.diff(np.append(self.first, len(order)))
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
-    def candidates(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows and first diagonals of bands that reach the q-gram bound."""
+    def candidates(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of window starts, in a band of diagonals, whose windows reach the q-gram bound: item, first diagonal, first and last start.
+
+        The rows of one band stand together.
+        """
         none = np.zeros(0, np.int64)
         g = grams(data)
         if not len(self.keys) or not len(g):
-            return none, none, none
+            return none, none, none, none
         pos = np.flatnonzero(self.bits[(g >> np.uint64(42)).astype(np.int64)])
         at = np.searchsorted(self.keys, g[pos])
         at[at == len(self.keys)] = 0
@@ -113,31 +117,36 @@ class Index:
         pos, at = pos[same], at[same]
         many = self.many[at]
         row = np.repeat(self.first[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        win, off = self.win[row], self.off[row]
-        diagonal = np.repeat(pos, many) - off + WINDOW
-        width = np.maximum(self.budget[win], 1)
+        own, off = self.own[row], self.off[row]
+        diagonal = np.repeat(pos, many) - off + self.longest
+        width = np.maximum(self.budget[own], 1)
         band = diagonal // width
         # a band holds the diagonals of two neighbouring steps, so any e + 1 diagonals lie in one band
-        key = np.concatenate([win, win]) * (1 << 40) + np.concatenate([band, band - 1])
-        seen = np.unique(np.column_stack([key, np.concatenate([off, off])]), axis=0) if len(key) < 1000 else _unique_pairs(key, np.concatenate([off, off]))
-        key, count = np.unique(seen[:, 0], return_counts=True)
-        win = key >> 40
-        ok = count >= self.size[win] - Q + 1 - Q * self.budget[win]
-        key, win = key[ok], win[ok]
-        return win, (key & ((1 << 40) - 1)) * np.maximum(self.budget[win], 1) - WINDOW, count[ok]
-
-    def verify(self, data: np.ndarray, win: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Whether the window aligns with the text within its budget on diagonals near the band."""
-        ok = np.zeros(len(win), bool)
+        seen = _unique_pairs(np.concatenate([own, own]) * (1 << 40) + np.concatenate([band, band - 1]), np.concatenate([off, off]))
+        key, off = seen[:, 0], seen[:, 1]
+        own = key >> 40
+        need = self.size[own] - Q + 1 - Q * self.budget[own]
+        # the need-th q-gram from each one on, in the same band and within one window
+        end = np.arange(len(key)) + need - 1
+        inside = end < len(key)
+        end[~inside] = 0
+        ok = inside & (key[end] == key) & (off[end] - off <= self.size[own] - Q)
+        key, own, first, last = key[ok], own[ok], off[ok], off[end[ok]]
+        low, high = np.maximum(last - (self.size[own] - Q), 0), np.minimum(first, self.length[own] - self.size[own])
+        return own, (key & ((1 << 40) - 1)) * np.maximum(self.budget[own], 1) - self.longest, low, high
+
+    def verify(self, data: np.ndarray, own: np.ndarray, diagonal: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the item's window from ``at`` on aligns with the text within its budget on diagonals near the band."""
+        ok = np.zeros(len(own), bool)
         padded = np.concatenate([np.zeros(WINDOW * 2, np.uint8), data, np.zeros(WINDOW * 2, np.uint8)])
-        for shape in np.unique(np.column_stack([self.size[win], self.budget[win]]), axis=0) if len(win) else []:
+        for shape in np.unique(np.column_stack([self.size[own], self.budget[own]]), axis=0) if len(own) else []:
             m, e = int(shape[0]), int(shape[1])
             width = 2 * max(e, 1) + 2 * e
-            rows = np.flatnonzero((self.size[win] == m) & (self.budget[win] == e))
+            rows = np.flatnonzero((self.size[own] == m) & (self.budget[own] == e))
             for i in range(0, len(rows), 4096):
                 r = rows[i : i + 4096]
-                text = padded[(start[r] - e + 2 * WINDOW)[:, None] + np.arange(m + width)]
-                pattern = np.stack([self.text[w] for w in win[r]])
+                text = padded[(diagonal[r] + at[r] - e + 2 * WINDOW)[:, None] + np.arange(m + width)]
+                pattern = np.stack([self.text[w][s : s + m] for w, s in zip(own[r], at[r], strict=True)])
                 cost = np.zeros((len(r), width), np.int32)
                 step = np.arange(width, dtype=np.int32)
                 for j in range(m):
@@ -153,13 +162,32 @@ class Index:
         ends = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
         raw = np.frombuffer(binary.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
         data, starts = normalise(raw, ends - ends[0])
-        win, start, _ = self.candidates(data)
-        ok = self.verify(data, win, start)
-        win, start = win[ok], start[ok]
+        own, diagonal, low, high = self.candidates(data)
         found: list[set[int]] = [set() for _ in range(len(texts))]
-        middle = start + self.size[win] // 2
-        for doc, item in zip(np.searchsorted(starts, middle, "right") - 1, self.item[win], strict=True):
-            found[max(int(doc), 0)].add(int(item))
+        if not len(own):
+            return found
+        doc = np.maximum(np.searchsorted(starts, diagonal + (low + high) // 2 + self.size[own] // 2, "right") - 1, 0)
+        pair = np.unique(np.column_stack([doc, own]), axis=0, return_inverse=True)[1].ravel()
+        # the narrowest run of starts of each band is its densest place
+        order = np.lexsort((high - low, diagonal, pair))
+        lead = np.ones(len(order), bool)
+        lead[1:] = (pair[order][1:] != pair[order][:-1]) | (diagonal[order][1:] != diagonal[order][:-1])
+        best = order[lead]
+        hit = np.zeros(pair.max() + 1, bool)
+        hit[pair[best[self.verify(data, own[best], diagonal[best], (low[best] + high[best]) // 2)]]] = True
+        rest = np.flatnonzero(~hit[pair])
+        for i in range(0, len(rest), 4096):
+            r = rest[i : i + 4096]
+            r = r[~hit[pair[r]]]
+            n = high[r] - low[r] + 1
+            row = np.repeat(r, n)
+            at = np.repeat(low[r] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            if len(row):
+                one = np.unique(np.column_stack([pair[row], diagonal[row], at]), axis=0, return_index=True)[1]
+                row, at = row[one], at[one]
+                hit[pair[row[self.verify(data, own[row], diagonal[row], at)]]] = True
+        for d, w in np.unique(np.column_stack([doc, own])[hit[pair]], axis=0):
+            found[int(d)].add(int(self.item[w]))
         return found
 
 

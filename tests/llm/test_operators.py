@@ -252,6 +252,16 @@ def test_op7_finds_exact_and_edited(spark):
     assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()) == [3, 6]
 
 
+def test_op7_finds_a_window_wherever_it_starts(spark):
+    item = prose(310, 60, 3000)
+    size = decontaminate.WINDOW
+    starts = [i for i in range(len(item) - size + 1) if item[i] != " " and item[i + size - 1] != " "]
+    rows = [(i, f"{prose(1, 30)} {item[i : i + size]} {prose(2, 30)}") for i in starts]
+    rows += [(10_000 + i, f"{prose(1, 30)} {edit(item[i : i + size], 5, i)} {prose(2, 30)}") for i in starts]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert len(starts) > 100 and all(r["contaminated"] for r in decontaminate.scan_benchmark(frame(spark, rows), bench).collect())
+
+
 def test_op7_against_substrings(spark, sf_dir):
     docs, bench = sample(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
