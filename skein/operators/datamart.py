@@ -104,11 +104,13 @@ def comment_ladder(rows: DataFrame, snapshot: str, prior: str, track: str) -> Da
     return rows.withColumn("comment_feature", F.coalesce(own, F.col(prior))).withColumn("comment_source", F.when(own.isNotNull(), "snapshot").when(F.col(prior).isNotNull(), "prior").otherwise("missing"))
 
 
-def pair_rows(rows: DataFrame, threshold: float = 0.1, candidates: int = 8) -> DataFrame:
-    """(query, candidate, similarity, objective, label): earlier candidates that share tokens, for all objectives.
+def pair_rows(rows: DataFrame, threshold: float = 0.5, candidates: int = 8, salt_rows: int = 10000) -> DataFrame:
+    """(query, candidate, similarity, objective, label): the most similar earlier candidates that share tokens, for all objectives.
 
-    Token sets are joined through the prefix filter, so the pairs are those of at least
-    ``threshold`` similarity; of these the best ``candidates`` earlier ones stay per query.
+    The similarity join finds all pairs of at least ``threshold``, so a query with
+    ``candidates`` earlier ones among these is settled. The others count shared tokens with
+    every earlier row, tokens of many rows in salted parts of about ``salt_rows``. The
+    threshold only says which way a query goes, and cuts no candidate.
     """
     tokens = rows.select("video_id", F.explode(F.array_distinct(F.concat("tokens", F.coalesce("hashtags", F.array().cast("array<string>"))))).alias("t"))
     pairs = set_similarity_pairs(tokens, "video_id", "t", threshold)
@@ -116,7 +118,17 @@ def pair_rows(rows: DataFrame, threshold: float = 0.1, candidates: int = 8) -> D
     q = rows.select(F.col("video_id").alias("q"), F.col("as_of").alias("q_at"))
     c = rows.select(F.col("video_id").alias("c"), F.col("as_of").alias("c_at"), *[F.col(f"y_{o}_z") for o in OBJECTIVES])
     w = Window.partitionBy("q").orderBy(F.desc(F.round("similarity", 9)), "c")
-    top = both.join(q, "q").join(c, "c").filter("c_at < q_at").withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= candidates)
+    best = lambda df: df.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= candidates).select("q", "c", "similarity")
+    near = best(both.join(q, "q").join(c.select("c", "c_at"), "c").filter("c_at < q_at")).persist()
+    settled = near.groupBy("q").agg(F.count("*").alias("n")).filter(F.col("n") >= candidates).select("q")
+
+    salts = tokens.groupBy("t").agg(F.ceil(F.count("*") / salt_rows).alias("salts"))
+    sized = tokens.join(tokens.groupBy("video_id").agg(F.count("*").alias("size")), "video_id").join(rows.select("video_id", "as_of"), "video_id").join(salts, "t")
+    asked = sized.select(F.col("video_id").alias("q"), "t", F.col("size").alias("nq"), F.col("as_of").alias("q_at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).join(settled, "q", "left_anti")
+    held = sized.select(F.col("video_id").alias("c"), "t", F.col("size").alias("nc"), F.col("as_of").alias("c_at"), F.pmod(F.xxhash64("video_id"), F.col("salts")).alias("salt"))
+    shared = asked.join(held, ["t", "salt"]).filter("c_at < q_at").groupBy("q", "c").agg(F.count("*").alias("n"), F.max("nq").alias("nq"), F.max("nc").alias("nc"))
+    open_ = best(shared.select("q", "c", (F.col("n") / (F.col("nq") + F.col("nc") - F.col("n"))).alias("similarity")))
+    top = near.join(settled, "q", "left_semi").unionByName(open_).join(c, "c")
     per = F.explode(F.array(*[F.struct(F.lit(o).alias("objective"), F.col(f"y_{o}_z").alias("objective_score")) for o in OBJECTIVES]))
     out = top.select("q", "c", "similarity", per.alias("o")).select(F.col("q").alias("query_id"), F.col("c").alias("candidate_id"), "similarity", "o.*").filter("objective_score is not null")
     return out.withColumn("relevance_label", relevance_label("objective_score")).withColumn("pair_id", F.sha2(F.concat_ws("|", "query_id", "candidate_id", "objective"), 256))

@@ -71,6 +71,19 @@ def test_train_statistics_ignore_test_rows(spark):
     assert key(a) == key(b)
 
 
+@pytest.mark.parametrize("salt_rows", [10000, 7])
+def test_pairs_hold_the_best_earlier_rows_at_any_similarity(spark, salt_rows):
+    sets = {i: ["all"] + [f"{i}x{j}" for j in range(20)] + [f"g{i % 3}y{j}" for j in range(i % 7)] for i in range(40)}
+    rows = [(f"{i:02}", dt.datetime(2024, 1, 1 + i // 2), t, None, 1.0, 1.0, 1.0) for i, t in sets.items()]
+    df = spark.createDataFrame(rows, "video_id string, as_of timestamp, tokens array<string>, hashtags array<string>, y_reach_z double, y_engagement_z double, y_conversion_z double")
+    got = {}
+    for r in datamart.pair_rows(df, salt_rows=salt_rows).filter("objective = 'reach'").collect():
+        got.setdefault(int(r["query_id"]), []).append((-round(r["similarity"], 9), int(r["candidate_id"])))
+    sim = lambda a, b: len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))
+    want = {a: sorted((-round(sim(a, b), 9), b) for b in sets if b // 2 < a // 2)[:8] for a in sets}
+    assert {a: sorted(x) for a, x in got.items()} == {a: x for a, x in want.items() if x}
+
+
 def test_merge_best_keeps_keyless(spark):
     a = spark.createDataFrame([("k", 1, 0), (None, 5, 1)], "key string, score long, seq long")
     b = spark.createDataFrame([("k", 9, 2), (None, 5, 3)], "key string, score long, seq long")
