@@ -9,8 +9,10 @@ keys are the least margin on the way to a node, until the leaves taken hold
 ``search_share`` of all rows, and at least ``search_rows``. The vectors of those leaves are
 reranked by the exact inner product in double precision.
 
-Leaves with many rows, as of a vector that occurs thousands of times, are cut into shards
-by id, and each shard is searched by itself, so no task holds an unbounded leaf.
+Rows with the same id and vector are made one first. Leaves with many rows, as of a vector
+that occurs under thousands of ids, are cut into shards by id and vector, and each shard is
+searched by itself, so no task holds an unbounded leaf; the query's own rows are left out
+before a shard's list is cut.
 
 Defined cases: vectors that are null, empty, zero, of another length than the most common
 one, or with null or non-finite components take no part, neither as queries nor as
@@ -146,7 +148,7 @@ def nearest(vectors: DataFrame, modulus: int = 20, top: int = TOP, trees: int =
     size = v.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if size is None:
         return spark.createDataFrame([], schema)
-    v = v.filter(F.size("e") == size["n"])
+    v = materialise(v.filter(F.size("e") == size["n"]).dropDuplicates(["vec_id", "e"]), "ann-vectors")
     total, norm = v.agg(F.count("*"), F.max(F.expr("sqrt(aggregate(e, double(0), (s, x) -> s + double(x) * double(x)))"))).first()
     unit = F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     sample = v.filter(unit < sample_rows / total).orderBy("vec_id").limit(2 * sample_rows).toArrow() if total > sample_rows else v.orderBy("vec_id").limit(sample_rows).toArrow()
@@ -189,7 +191,7 @@ def nearest(vectors: DataFrame, modulus: int = 20, top: int = TOP, trees: int =
 
     asked = placed.filter(F.col("vec_id") % modulus == 0).select("vec_id", "e").mapInArrow(ask, f"vec_id long, e array<{element}>, leaf int, shard int")
     count = F.element_at(F.lit([int(s) for s in shards]), F.col("leaf") + 1)
-    items = placed.select("vec_id", "e", F.explode("leaves").alias("leaf")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), count).cast("int"))
+    items = placed.select("vec_id", "e", F.explode("leaves").alias("leaf")).withColumn("shard", F.pmod(F.xxhash64("vec_id", "e"), count).cast("int"))
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict[str, list] = {"query_id": [], "vec_ids": [], "scores": []}
@@ -198,12 +200,11 @@ def nearest(vectors: DataFrame, modulus: int = 20, top: int = TOP, trees: int =
             q, asking = _matrix(right.column("e")).astype(np.float64), right.column("vec_id").to_numpy()
             for a in range(0, len(q), 256):
                 for i, scores in enumerate(q[a : a + 256] @ x.T):
-                    scores[ids == asking[a + i]] = -np.inf
-                    near, exact = best(x, ids, q[a + i], scores, top + 1)
-                    other = near != asking[a + i]
+                    other = ids != asking[a + i]
+                    near, exact = best(x, ids, q[a + i], scores, top) if other.all() else best(x[other], ids[other], q[a + i], scores[other], top)
                     found["query_id"].append(asking[a + i])
-                    found["vec_ids"].append(near[other][:top])
-                    found["scores"].append(exact[other][:top])
+                    found["vec_ids"].append(near)
+                    found["scores"].append(exact)
         return pa.table({"query_id": pa.array(found["query_id"], pa.int64()), "vec_ids": pa.array(found["vec_ids"], pa.list_(pa.int64())), "scores": pa.array(found["scores"], pa.list_(pa.float64()))})
 
     def merge(group: pa.Table) -> pa.Table:

@@ -215,6 +215,14 @@ def test_op5_recall_and_ties(spark):
     assert sorted((r["query_id"], r["vec_id"]) for r in few.collect()) == [(0, 1), (0, 2)]
 
 
+def test_op5_repeated_rows_hide_no_neighbours(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(f) for f in v]) for i, v in enumerate(rng.standard_normal((60, 8)).astype(np.float32))]
+    once = sorted(map(tuple, ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), trees=1).collect()))
+    many = ann.nearest(spark.createDataFrame(rows + [rows[20]] * 40 + [rows[7]] * 40, "vec_id long, embedding array<float>"), trees=1)
+    assert sorted(map(tuple, many.collect())) == once and len(once) == 3 * 20
+
+
 def test_op6_alignment():
     rows = [(i, i + 5, 100 + i, 6, False, False) for i in range(4)] + [(9, 0, 200, 12, False, False), (20, 40, 300, 5, False, False)]
     gone, _, n = lines.align(rows, 8)
