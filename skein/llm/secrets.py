@@ -2,9 +2,10 @@
 
 Ordinary words are few tokens for their length under a byte-pair vocabulary; random
 strings fall into short tokens. Every maximal run of ``[A-Za-z0-9+/_=-]`` of at least
-``min_chars`` characters with letters and digits is encoded, and a run with at most
-``max_ratio`` characters a token is reported, unless it is a known kind of digest or
-identifier (hex digests, UUIDs, numbers, dates, dotted or dashed words).
+16 characters is encoded, and a run with at most ``max_ratio`` characters a token is
+reported, unless it is a known kind of digest or identifier (hex digests, UUIDs, numbers,
+dates). Runs of letters only, and of letters or numbers of up to 4 digits between
+separators, are encoded part by part and reported at ``max_wordy`` characters a token.
 
 Defined cases: null text is empty and has no spans; each input row gives one row, so
 repeated rows repeat; other columns are ignored; offsets count code points.
@@ -31,7 +32,8 @@ KINDS = ("assign", "access", "hex", "random")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Digests (hex of the usual lengths), UUIDs, numbers and dates are known and no secrets by themselves.
 KNOWN = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9][0-9_/+-]*)", re.I)
-#: Identifiers made of words: parts of letters, or of a few digits, between - _ and /.
+#: Shaped like words: parts of letters, or of a few digits, between separators; they have a ratio of their own.
+PART = re.compile(r"[A-Za-z0-9]+")
 WORDY = re.compile(r"(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/+=]+(?:[A-Za-z]+|[0-9]{1,4}))*[-_/+=]*")
 
 
@@ -58,24 +60,28 @@ def tokens(vocabulary: str):
     return tiktoken.Encoding("scan", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def random_spans(text: str, encode, max_ratio: float, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def random_spans(text: str, encode, max_ratio: float, max_wordy: float, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Runs on which the vocabulary is inefficient, beyond the spans already taken."""
     out = []
     for m in RUN.finditer(text):
         run = m.group()
-        if run.isalpha() or KNOWN.fullmatch(run) or WORDY.fullmatch(run):
+        if KNOWN.fullmatch(run):
             continue
-        if len(run) > max_ratio * len(encode(run)):
+        if WORDY.fullmatch(run):
+            parts = PART.findall(run)
+            if sum(map(len, parts)) > max_wordy * sum(len(encode(p)) for p in parts):
+                continue
+        elif len(run) > max_ratio * len(encode(run)):
             continue
         if not any(a < m.end() and m.start() < b for a, _, b in taken):
             out.append((m.start(), 3, m.end()))
     return out
 
 
-def scan_text(text: str, encode, max_ratio: float) -> list[tuple[int, int, int]]:
+def scan_text(text: str, encode, max_ratio: float, max_wordy: float) -> list[tuple[int, int, int]]:
     """All spans of a text: (start, kind's number, end), by start, then kind."""
     base = base_spans(text)
-    return sorted(base + random_spans(text, encode, max_ratio, base))
+    return sorted(base + random_spans(text, encode, max_ratio, max_wordy, base))
 
 
 def spell(spans) -> str:
@@ -85,10 +91,11 @@ def spell(spans) -> str:
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 
 
-def scan_secrets(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", max_ratio: float = 2.2) -> DataFrame:
+def scan_secrets(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", max_ratio: float = 2.2, max_wordy: float = 2.0) -> DataFrame:
     """One row per document with its spans.
 
-    ``vocabulary``: rank file of the token test; ``max_ratio``: most characters a token of a random string.
+    ``vocabulary``: rank file of the token test; ``max_ratio``: most characters a token of a random string;
+    ``max_wordy``: the same for strings shaped like words.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +103,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", max
         for batch in batches:
             rows = []
             for text in batch.column(1):
-                found = scan_text(text.as_py() or "", encode, max_ratio)
+                found = scan_text(text.as_py() or "", encode, max_ratio, max_wordy)
                 base = [x for x in found if x[1] < 3]
                 n = [sum(k == i for _, k, _ in found) for i in range(4)]
                 rows.append((*n, hashlib.sha256(spell(base).encode()).hexdigest(), spell(found)))

@@ -192,6 +192,12 @@ def test_op4_spans(spark, sf_dir):
     assert got[10_001]["n_random"] == 1 and got[10_002]["n_assign"] == 0
 
 
+def test_op4_letters_only(spark):
+    rows = [(1, "pass qzvxkfjwplmtxbrd end"), (2, "qzvx-kfjw-plmt-xbrd"), (3, "internationalization getElementByIdentifier some-long-identifier-name"), (4, "report-2024-01-02-final"), (5, "KxWqZrTbVnPjHdGm")]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(frame(spark, rows)).collect()}
+    assert got == {1: "random:5:21", 2: "random:0:19", 3: "", 4: "", 5: "random:0:16"}
+
+
 def test_op5_recall_and_ties(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((3000, 24)).astype(np.float32)
