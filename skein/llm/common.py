@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Largest amount of raw text, in bytes, that a Python worker holds at once.
 SLICE_BYTES = 8 << 20
+#: Rows of a file where the number of rows is known beforehand.
+FILE_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,12 +36,16 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
 
+    Where the caller knows a bound on the rows, they are dealt to as many files as they need,
+    so that rounds over few rows do not write a small file for every shuffle partition.
     The files go when the driver's JVM ends, or earlier by ``discard``.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.repartition(-(-rows // FILE_ROWS) or 1)
     path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     fs, jpath = _fs(spark, path)
@@ -55,6 +61,19 @@ def discard(df: DataFrame) -> None:
     fs.delete(jpath, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """For each name a column name that ``df`` does not have, also when case is ignored."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_skein_{name}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def as_lists(col: pa.Array) -> pa.Array:
     """Text as ``large_string`` with nulls as empty texts."""
     return pc.fill_null(col.cast(pa.large_string()), "")

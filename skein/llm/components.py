@@ -27,9 +27,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round is two joins and two aggregates over the links, written to the shared folder;
     the rounds grow with the logarithm of the longest chain. Nothing of them reaches the driver.
     """
-    e = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    rows = links.count()
+    e = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links", rows)
     while not _is_forest_of_stars(e):
-        new = materialise(_small_star(_large_star(e)), "links")
+        new = materialise(_small_star(_large_star(e)), "links", rows)
         discard(e)
         e = new
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

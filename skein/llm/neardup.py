@@ -9,12 +9,14 @@ with the Jaccard similarity as probability, with concentration as for independen
 pair misses all buckets with probability 6e-11, at 0.8 5e-8.
 
 Documents with equal sets are one class, whose smallest doc_id stands for it. Elements that
-stand in one set only, and counts of the elements by cells of the hash space, bound every
-intersection from above; pairs whose bound is too small for a link are not compared, which
-is exact and spares most pairs of a large group of loosely similar texts. The members of a bucket are first compared with one of them, the
-one with the least of its own. Where a bucket then still spans several components, every
-pair of its members across components is compared, so no link that joins components is
-lost, and pairs within a component need no comparison. All comparisons are on full sets.
+stand in one set only, and counts of the elements by frequency and cell of the hash space,
+bound every intersection from above; pairs whose bound is too small for a link are not
+compared, which is exact and spares nearly all pairs of a large group of loosely similar
+texts. The members of a bucket are first compared with one of them, the one with the least
+of its own. Where a bucket then still spans several components, the members outside its
+largest component are held against all members of other components, in blocks of members, so
+no link that joins components is lost and no task holds a whole large bucket. All
+comparisons are on full sets.
 
 Defined cases: texts without words have an empty set and no links; texts with fewer than
 ``k`` words are one shingle; a doc_id on several rows is one node that has the links of
@@ -31,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import as_lists, ascii_words, discard, materialise, mix64, slices, word_hashes
+from skein.llm.common import as_lists, ascii_words, discard, fresh, materialise, mix64, slices, word_hashes
 from skein.llm.components import connected_components
 
 COORDS = 128
 BANDS = 32
-LOOK_BACK = 8
-CELLS = 256
+CELLS = 16
+BLOCK = 512
 _GOLD = 0x9E3779B97F4A7C15
 _EDGES = (np.arange(COORDS, dtype=np.uint64) << np.uint64(57))
 
@@ -147,104 +149,122 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per element of the sets (doc_id, elements)."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1).slice(i, 256)]
+            if parts:
+                ids = np.repeat(batch.column(0).slice(i, 256).to_numpy(zero_copy_only=False), [len(x) for x in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(parts), pa.int64())], names=["doc_id", "e"])
+
+
 def unshared(sets: DataFrame) -> DataFrame:
     """(rep, u): how many elements of a set stand in no other set; 0 where a doc_id has several sets.
 
     Two sets x and y then share at most ``min(n_x - u_x, n_y - u_y)`` elements.
     """
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1).slice(i, 256)]
-                if parts:
-                    ids = np.repeat(batch.column(0).slice(i, 256).to_numpy(zero_copy_only=False), [len(x) for x in parts])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(parts), pa.int64())], names=["doc_id", "e"])
-
-    rows = sets.mapInArrow(spread, "doc_id long, e long")
+    rows = sets.mapInArrow(_spread, "doc_id long, e long")
     alone = rows.groupBy("e").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep = last").groupBy("rep").agg(F.count("*").alias("u"))
     several = sets.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("rep"))
     return alone.join(several, "rep", "left_anti")
 
 
-def histograms(sets: DataFrame) -> DataFrame:
-    """(rep, cells): how many elements of a set fall into each of ``CELLS`` cells of the hash space.
+def profiles(sets: DataFrame) -> DataFrame:
+    """(rep, p0 .. p17): how many elements of a set fall into each class.
 
-    Two sets share at most the sum over the cells of the smaller count. A doc_id with
-    several sets, and sets too large for the counts, have none.
+    A class is a range of the number of these sets that hold the element (2 to 8, 9 to 64),
+    or beyond that one of ``CELLS`` cells of the hash space; elements of one set only are in
+    no class. Two sets share at most the sum over the classes of the smaller count. A doc_id
+    with several sets has no row.
     """
+    rows = sets.mapInArrow(_spread, "doc_id long, e long")
+    often = rows.groupBy("e").agg(F.count("*").alias("f")).filter("f > 1")
+    cell = F.when(F.col("f") <= 8, 0).when(F.col("f") <= 64, 1).otherwise(2 + F.shiftrightunsigned("e", 40) % CELLS)
+    several = sets.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("rep"))
+    counts = rows.join(often, "e").select(F.col("doc_id").alias("rep"), cell.cast("int").alias("cell")).groupBy("rep").agg(*[F.sum((F.col("cell") == j).cast("int")).cast("int").alias(f"p{j}") for j in range(CELLS + 2)])
+    return counts.join(several, "rep", "left_anti")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = np.zeros((batch.num_rows, CELLS), np.int16)
-            fits = np.ones(batch.num_rows, bool)
-            for i, x in enumerate(batch.column(1)):
-                c = np.bincount((np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(56)).astype(np.int64), minlength=CELLS)
-                fits[i] = c.max() < 32767
-                cells[i] = c if fits[i] else 0
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, CELLS), pa.int32()), pa.array(cells.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(fits)), lists.filter(pa.array(fits))], names=["rep", "cells"])
 
-    several = sets.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    return sets.join(several, "doc_id", "left_anti").select("doc_id", "elements").mapInArrow(count, "rep long, cells array<smallint>")
+def open_buckets(here: DataFrame) -> DataFrame:
+    """The buckets whose members belong to several components: members, largest component, pairs across components."""
+    per = here.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
+    return (
+        per.agg(F.sum("c").alias("members"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count("*").alias("comps"))
+        .filter("comps > 1")
+        .select("key", "members", "main", ((F.col("members") * F.col("members") - F.col("cc")) / 2).alias("pairs"))
+    )
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
+def components(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 2, block: int = BLOCK) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept.
 
     ``k``: words of a shingle; ``percent``: least similarity in percent; ``star_rounds``: rounds
-    in which a bucket's members are compared with one centre, before all remaining pairs are.
+    in which a bucket's members are compared with one centre, before all remaining pairs are;
+    ``block``: members of a bucket that one task of the last round holds against the others.
     """
     sk = materialise(sketches(docs, k), "sketches")
     classes = materialise(
         sk.filter("n > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "keys"), "doc_id").alias("s")).select("fp1", "fp2", "rep", "s.n", "s.keys"), "classes"
     )
-    # keys differ between bands, so two members that share one of the ``LOOK_BACK`` bands before this one are paired there
-    before = F.expr(f"slice(keys, greatest(band - {LOOK_BACK - 1}, 1), least(band, {LOOK_BACK}))")
-    buckets = classes.select("rep", "n", "keys", F.posexplode("keys").alias("band", "key")).select("rep", "n", "key", before.alias("before"))
-    shared = classes.select("rep", F.explode("keys").alias("key")).groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("key")
+    buckets = classes.select("rep", "n", F.explode("keys").alias("key"))
+    shared = buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("key")
     members = materialise(buckets.join(shared, "key"), "buckets")
     reps = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialise(full_sets(docs.select("doc_id", "text").join(reps, "doc_id"), k), "sets")
     # a member with more than the allowed share of unshared elements has no link at all
-    bounded = members.join(unshared(sets), "rep", "left").select("key", "rep", "n", "before", (F.col("n") - F.coalesce("u", F.lit(0))).alias("most"))
+    bounded = members.join(unshared(sets), "rep", "left").select("key", "rep", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("most"))
     here = materialise(bounded.filter(F.col("most") * 100 >= F.col("n") * percent).withColumn("comp", F.col("rep")), "members")
     discard(members)
 
     # the largest intersection that two members can have must be enough for a link
     both = F.least("ma", "mb")
     possible = (F.col("ca") != F.col("cb")) & (both * 100 >= (F.col("na") + F.col("nb") - both) * percent)
-    links, comps = None, None
+    side = lambda s, *more: ["key", *more, F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("most").alias(f"m{s}"), F.col("comp").alias(f"c{s}")]
+    links, comps, tables = None, None, []
     for step in range(star_rounds + 1):
-        per = here.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count("*").alias("comps")).filter("comps > 1")
-        left = per.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"), F.sum("c").alias("members")).first()
+        buckets = open_buckets(here)
+        left = buckets.agg(F.sum("pairs").alias("pairs"), F.sum("members").alias("members")).first()
         if not left["pairs"]:
             break
         last = step == star_rounds or (step > 0 and left["pairs"] <= 16 * left["members"])
-        open_ = materialise(here.join(per.select("key"), "key"), "open")
-        x = open_.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"), F.col("before").alias("pa"))
-        y = open_.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb"), F.col("before").alias("pb"))
+        n = int(left["members"])
+        open_ = materialise(here.join(buckets, "key"), "open", n)
         if last:
-            cells = histograms(sets.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
-            x = x.join(cells.select(F.col("rep").alias("a"), F.col("cells").alias("ha")), "a", "left")
-            y = y.join(cells.select(F.col("rep").alias("b"), F.col("cells").alias("hb")), "b", "left")
-            shared_cells = F.aggregate(F.zip_with("ha", "hb", lambda p, q: F.least(p, q).cast("int")), F.lit(0), lambda t, z: t + z)
-            enough = F.coalesce(shared_cells * 100 >= (F.col("na") + F.col("nb") - shared_cells) * percent, F.lit(True))
-            pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & possible & ~F.arrays_overlap("pa", "pb") & enough)
+            classed = profiles(sets.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
+            full = materialise(open_.join(classed, "rep", "left"), "profiles", n)
+            cells = [f"p{j}" for j in range(CELLS + 2)]
+            # members of the bucket's largest component need no comparison with each other; a large bucket is cut into blocks
+            blocks = F.ceil(F.col("members") / block).cast("int")
+            x = full.filter("comp <> main").select(*side("a"), "main", *[F.col(c).alias(f"a_{c}") for c in cells], F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+            y = full.select(*side("b"), *[F.col(c).alias(f"b_{c}") for c in cells], F.pmod(F.hash("rep"), blocks).alias("block"))
+            most = sum((F.least(f"a_{c}", f"b_{c}") for c in cells[1:]), F.least(f"a_{cells[0]}", f"b_{cells[0]}"))
+            known = F.col(f"a_{cells[0]}").isNotNull() & F.col(f"b_{cells[0]}").isNotNull()
+            enough = ~known | (most * 100 >= (F.col("na") + F.col("nb") - most) * percent)
+            once = (F.col("a") < F.col("b")) | (F.col("cb") == F.col("main"))
+            pairs = x.join(y, ["key", "block"]).filter(once & possible & enough)
+            tables.append(full)
         else:
             # the first centre is the member with the least of its own, the likely origin of the others
             order = F.struct((F.col("na") - F.col("ma")) / F.col("na"), F.col("a")) if step == 0 else F.struct(F.xxhash64("a", "key", F.lit(step)))
-            centre = materialise(x.groupBy("key").agg(F.min_by(F.struct("a", "na", "ma", "ca"), order).alias("c")).select("key", "c.*"), "centres")
-            pairs = centre.join(y.drop("pb"), "key").filter(possible)
-        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        found = materialise(verified(pairs, sets, percent), "found")
+            centre = materialise(open_.select(*side("a")).groupBy("key").agg(F.min_by(F.struct("a", "na", "ma", "ca"), order).alias("c")).select("key", "c.*"), "centres", n)
+            pairs = centre.join(open_.select(*side("b")), "key").filter(possible)
+            tables.append(centre)
+        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", n)
+        found = materialise(verified(pairs, sets, percent), "found", n)
+        for table in (*tables, open_, pairs):
+            discard(table)
+        tables.clear()
         links = found if links is None else links.unionByName(found)
         comps = connected_components(links)
         if last:
             break
-        new = here.drop("comp").join(comps, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", "most", "before", F.coalesce("component", "rep").alias("comp"))
+        new = here.drop("comp").join(comps, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", "most", F.coalesce("component", "rep").alias("comp"))
         old, here = here, materialise(new, "members")
         discard(old)
+    discard(here)
+    discard(sets)
     ids = classes.select("fp1", "fp2", "rep")
     ids = ids.withColumn("component", F.col("rep")) if comps is None else ids.join(comps, ids.rep == comps.id, "left").select("fp1", "fp2", "rep", F.coalesce("component", "rep").alias("component"))
     return (
@@ -256,9 +276,26 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stand for their component, with their columns."""
-    gone = components(docs, k, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that stand for their component, with their columns: of each the one with the smallest doc_id.
+
+    Here a node is a (doc_id, text), by its 64-bit hash, so rows with a null doc_id take part
+    (they come after all others) and of rows with equal doc_id and text one stays, with words
+    or without. Of different texts of one doc_id each is judged on its own.
+    """
+    (key,) = fresh(docs, "key")
+    node = F.xxhash64("doc_id", "text")
+    found = materialise(components(docs.select(node.alias("doc_id"), "text"), k, percent), "near-copies")
+    several = found.filter("not kept").select("component_id").distinct()
+    named = found.join(several, "component_id").select("doc_id", "component_id").distinct().join(docs.select(node.alias("doc_id"), F.col("doc_id").alias("name")).distinct(), "doc_id")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("name").isNull(), "name", "doc_id")).alias("first"))
+    gone = named.join(first, "component_id").filter("doc_id <> first.doc_id").select(F.col("doc_id").alias(key))
+    out = docs.withColumn(key, node).join(gone, key, "left_anti")
+    repeated = materialise(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(key)), "repeated")
+    if not repeated.isEmpty():
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        one = out.join(repeated, key).groupBy(key).agg(F.first(F.struct(*columns)).alias("row")).select(key, "row.*")
+        out = out.join(repeated, key, "left_anti").unionByName(one)
+    return out.select(*docs.columns)
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
