@@ -33,8 +33,10 @@ def zscore(x, mean, std) -> Column:
 
 
 def softmax3(a: Column, b: Column, c: Column) -> tuple[Column, Column, Column]:
-    total = F.exp(a) + F.exp(b) + F.exp(c)
-    return F.exp(a) / total, F.exp(b) / total, F.exp(c) / total
+    """Shifted by the largest, so that no exponential overflows."""
+    top = F.greatest(a, b, c)
+    a, b, c = F.exp(a - top), F.exp(b - top), F.exp(c - top)
+    return a / (a + b + c), b / (a + b + c), c / (a + b + c)
 
 
 def argmax3(a: Column, b: Column, c: Column, names: Sequence[str]) -> Column:
@@ -42,6 +44,16 @@ def argmax3(a: Column, b: Column, c: Column, names: Sequence[str]) -> Column:
     return F.when((a >= b) & (a >= c), names[0]).when(b >= c, names[1]).otherwise(names[2])
 
 
+def regime_logits(early, late, ratio, stability) -> tuple[Column, Column, Column]:
+    """Scores of the regimes spike, balanced and durable. The coefficients are fixed values."""
+    early, late, ratio, stability = _c(early), _c(late), _c(ratio), _c(stability)
+    pos = lambda x: F.greatest(x, F.lit(0.0))
+    spike = 1.4 * pos(early) + 0.8 * pos(-late) + 0.7 * pos(0.35 - ratio)
+    balanced = F.greatest(F.lit(0.05), 1.0 - F.abs(early - late) - F.abs(ratio - 0.5) + 0.2 * pos(stability))
+    durable = 1.3 * pos(late) + 0.9 * pos(ratio) + 0.5 * pos(stability)
+    return spike, balanced, durable
+
+
 def relevance_label(z) -> Column:
     """Labels 3..0 by the fixed thresholds 1.0, 0.3 and -0.3."""
     z = _c(z)
@@ -49,8 +61,9 @@ def relevance_label(z) -> Column:
 
 
 def follower_bucket(n) -> Column:
-    n = _c(n)
-    return F.when(n.isNull(), "unknown").when(n < 10_000, "small").when(n < 100_000, "medium").when(n < 1_000_000, "large").otherwise("mega")
+    """Limits and names of author sizes; an unknown number counts as 0."""
+    n = F.coalesce(_c(n), F.lit(0))
+    return F.when(n < 10_000, "nano").when(n < 100_000, "micro").when(n < 1_000_000, "macro").otherwise("mega")
 
 
 def shares_per_thousand(shares, views) -> Column:

@@ -13,6 +13,7 @@ from skein.functions.scalars import argmax3, follower_bucket, hours_between, rel
 from skein.operators.asof import asof_join, resolve_boundaries
 from skein.operators.similarity import set_similarity_pairs
 from skein.operators.windows import chronological_split
+from skein.session import materialise
 
 OBJECTIVES = ("reach", "engagement", "conversion")
 #: Shares of early velocity, stability and late lift in the composite target.
@@ -119,7 +120,8 @@ def pair_rows(rows: DataFrame, threshold: float = 0.5, candidates: int = 8, salt
     c = rows.select(F.col("video_id").alias("c"), F.col("as_of").alias("c_at"), *[F.col(f"y_{o}_z") for o in OBJECTIVES])
     w = Window.partitionBy("q").orderBy(F.desc(F.round("similarity", 9)), "c")
     best = lambda df: df.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= candidates).select("q", "c", "similarity")
-    near = best(both.join(q, "q").join(c.select("c", "c_at"), "c").filter("c_at < q_at")).persist()
+    near = best(both.join(q, "q").join(c.select("c", "c_at"), "c").filter("c_at < q_at"))
+    near = materialise(near, "near")
     settled = near.groupBy("q").agg(F.count("*").alias("n")).filter(F.col("n") >= candidates).select("q")
 
     salts = tokens.groupBy("t").agg(F.ceil(F.count("*") / salt_rows).alias("salts"))
@@ -137,13 +139,15 @@ def pair_rows(rows: DataFrame, threshold: float = 0.5, candidates: int = 8, salt
 def build(bundle: dict[str, DataFrame], config: Config = Config()) -> dict[str, DataFrame]:
     """rows, pairs and statistics of the datamart from canonical entities.
 
-    Usable rows and finished rows are each read several times, so they are persisted.
+    Usable rows and finished rows are each read several times, so they are written first.
     """
     rows = point_in_time_rows(bundle["videos"], bundle["video_snapshots"], config)
-    usable = rows.filter("exclusion_reason is null").join(trajectory_targets(bundle["videos"], bundle["video_snapshots"], config), "video_id", "left").persist()
+    usable = rows.filter("exclusion_reason is null").join(trajectory_targets(bundle["videos"], bundle["video_snapshots"], config), "video_id", "left")
+    usable = materialise(usable, "usable")
     split = chronological_split(usable, "as_of", "video_id", config.train, config.validation)
     z = composite(train_only_z(split, [*[f"y_{o}" for o in OBJECTIVES], "early", "stability", "late"]))
     sizes = bundle["authors"].groupBy("author_id").agg(F.max("followers").alias("followers"))
-    z = z.join(sizes, "author_id", "left").withColumn("author_size", follower_bucket("followers")).persist()
+    z = z.join(sizes, "author_id", "left").withColumn("author_size", follower_bucket("followers"))
+    z = materialise(z, "rows")
     stats = rows.groupBy(F.coalesce("exclusion_reason", F.lit("included")).alias("reason")).agg(F.count("*").alias("n"))
     return {"rows": z, "pairs": pair_rows(z, candidates=config.candidates), "stats": stats}

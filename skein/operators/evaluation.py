@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def ranking_metrics(rows: DataFrame, query: str, score: str, relevance: str, item: str, k: int) -> DataFrame:
-    """NDCG, reciprocal rank and recall at k of each query: gains ``2**rel - 1``, discounts ``log2(rank + 1)``.
+    """NDCG, reciprocal rank and recall at k of each query: gains ``2**rel - 1`` (negative relevance counts as 0), discounts ``log2(rank + 1)``.
 
     Two rankings (by score and by relevance) are cut at k before their sums.
     """
     got = Window.partitionBy(query).orderBy(F.desc(score), item)
     ideal = Window.partitionBy(query).orderBy(F.desc(relevance), item)
-    gain = F.pow(F.lit(2.0), F.col(relevance)) - 1
+    gain = F.pow(F.lit(2.0), F.greatest(F.col(relevance).cast("double"), F.lit(0.0))) - 1
     r = rows.withColumn("_r", F.row_number().over(got)).withColumn("_i", F.row_number().over(ideal))
     dcg = F.sum(F.when(F.col("_r") <= k, gain / F.log2(F.col("_r") + 1.0)).otherwise(0.0))
     best = F.sum(F.when(F.col("_i") <= k, gain / F.log2(F.col("_i") + 1.0)).otherwise(0.0))

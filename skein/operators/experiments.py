@@ -29,15 +29,24 @@ def variant_comparison(rows: DataFrame, objective: str, variant: str, value: str
     return p.select(objective, "n_t", "n_c", F.round(delta, 6).alias("delta"), enough.alias("sufficient"), verdict.alias("verdict"))
 
 
-def retrain_trigger(recent: DataFrame, order: str, critical: str, needed: int, limit: int = 60) -> DataFrame:
-    """Whether the newest ``needed`` of the last ``limit`` drift rows are all critical.
+def retrain_trigger(recent: DataFrame, order: str, severity: str, recommendation: str | None = None, needed: int = 2, scheduled: bool = False, limit: int = 60) -> DataFrame:
+    """Whether the newest ``needed`` of the last ``limit`` drift rows are all critical, and the reason.
 
-    The list is bounded by ``limit``, so its window is one small task.
+    With ``recommendation`` a row counts only if it recommends ``retrain_candidate``. Without
+    enough critical rows a due schedule triggers. Severities are compared trimmed and in lower
+    case, and rows without one are passed over. The list is bounded by ``limit``, so its window
+    is one small task.
     """
-    last = recent.orderBy(F.desc(order)).limit(limit)
+    plain = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))))
+    last = recent.filter(plain(severity) != "").orderBy(F.desc(order)).limit(limit)
+    hit = plain(severity) == "critical"
+    if recommendation is not None:
+        hit &= plain(recommendation) == "retrain_candidate"
     w = Window.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    run = last.withColumn("_miss", F.sum(F.when(F.col(critical), 0).otherwise(1)).over(w)).agg(F.count_if(F.col("_miss") == 0).alias("trailing_critical"), F.count("*").alias("n_rows"))
-    return run.withColumn("triggered", F.col("trailing_critical") >= needed)
+    run = last.withColumn("_miss", F.sum(F.when(hit, 0).otherwise(1)).over(w)).agg(F.count_if(F.col("_miss") == 0).alias("trailing_critical"), F.count("*").alias("n_rows"))
+    drift = F.col("trailing_critical") >= max(1, needed)
+    reason = F.when(drift, "drift_trigger").when(F.lit(scheduled), "scheduled_weekly").otherwise("no_trigger")
+    return run.withColumn("triggered", drift | F.lit(scheduled)).withColumn("reason", reason)
 
 
 def promotion_gate(metrics: DataFrame, checks: dict[str, tuple[str, float]]) -> DataFrame:
@@ -50,12 +59,19 @@ def promotion_gate(metrics: DataFrame, checks: dict[str, tuple[str, float]]) ->
     return metrics.withColumn("failed", failed).withColumn("promote", F.size("failed") == 0)
 
 
-def resolve_feedback(events: DataFrame, keys: Sequence[str], kind: str, positive: Sequence[str], negative: Sequence[str], weak: Sequence[str]) -> DataFrame:
-    """One label per key from its set of events: conflict, relevant, not_relevant, weak or unlabeled."""
-    has = lambda kinds: F.bool_or(F.col(kind).isin(list(kinds)))
-    f = events.groupBy(*keys).agg(has(positive).alias("_p"), has(negative).alias("_n"), has(weak).alias("_w"))
-    label = F.when(F.col("_p") & F.col("_n"), "conflict").when(F.col("_p"), "relevant").when(F.col("_n"), "not_relevant").when(F.col("_w"), "weak").otherwise("unlabeled")
-    return f.select(*keys, label.alias("label"))
+#: The events of a candidate that decide its label.
+FEEDBACK = {"saved": ["comparable_saved"], "relevant": ["comparable_marked_relevant"], "not_relevant": ["comparable_marked_not_relevant"], "weak": ["comparable_opened", "comparable_details_opened"]}
+#: The priority of each state.
+PRIORITY = {"conflict": -1, "saved": 3, "relevant": 2, "not_relevant": 0, "weak_positive": 1, "unlabeled": 1}
+
+
+def resolve_feedback(events: DataFrame, keys: Sequence[str], kind: str, kinds: dict[str, Sequence[str]] = FEEDBACK) -> DataFrame:
+    """State and priority of each key from its set of events, in one aggregate."""
+    has = lambda name: F.coalesce(F.bool_or(F.trim(F.col(kind)).isin(list(kinds[name]))), F.lit(False))
+    f = events.groupBy(*keys).agg(has("saved").alias("_s"), has("relevant").alias("_r"), has("not_relevant").alias("_n"), has("weak").alias("_w"))
+    state = F.when((F.col("_s") | F.col("_r")) & F.col("_n"), "conflict").when(F.col("_s"), "saved").when(F.col("_r"), "relevant").when(F.col("_n"), "not_relevant").when(F.col("_w"), "weak_positive").otherwise("unlabeled")
+    priority = F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.col("state"))
+    return f.select(*keys, state.alias("state")).withColumn("priority", priority)
 
 
 def pairwise_rows(rows: DataFrame, group: str, item: str, label: str) -> DataFrame:
@@ -64,9 +80,19 @@ def pairwise_rows(rows: DataFrame, group: str, item: str, label: str) -> DataFra
     return a.join(b, group).filter(F.col("_a") > F.col("_b")).select(group, "winner", "loser", (F.col("_a") - F.col("_b")).alias("margin"))
 
 
-def preference_profile(events: DataFrame, owner: str, polarity: str, token: str, age_days, life: float = 45.0, least: float = 0.1, top: int = 24) -> DataFrame:
-    """Recency-decayed weights of tokens per owner and polarity, the heaviest ``top`` of each."""
-    weight = F.greatest(F.exp(-0.6931471805599453 / life * age_days), F.lit(least))
-    w = events.select(owner, polarity, token, weight.alias("w")).groupBy(owner, polarity, token).agg(F.sum("w").alias("weight"))
-    rank = F.row_number().over(Window.partitionBy(owner, polarity).orderBy(F.desc(F.round("weight", 9)), token))
+def preference_profile(events: DataFrame, owner: str, item: str, kind: str, at: str, now, features: DataFrame, kinds: dict[str, Sequence[str]] = FEEDBACK, life: float = 45.0, least: float = 0.1, saved: float = 1.25, author: float = 0.5, top: int = 24) -> DataFrame:
+    """Recency-decayed weights of an owner's preferred and avoided features, the heaviest ``top`` of each field.
+
+    ``features``: item, field, token. Each (owner, item) is one entry: entries in conflict or
+    without an explicit label are left out, saved ones weigh ``saved`` times as much, and
+    tokens of the field ``author`` weigh ``author`` times. ``now``: a timestamp column.
+    """
+    label = resolve_feedback(events, [owner, item], kind, kinds).filter(F.col("state").isin("saved", "relevant", "not_relevant"))
+    entry = label.join(events.groupBy(owner, item).agg(F.max(at).alias("_at")), [owner, item])
+    age = F.greatest((F.unix_micros(now) - F.unix_micros(F.col("_at").cast("timestamp"))) / 8.64e10, F.lit(0.0))
+    weight = F.greatest(F.exp(-0.6931471805599453 / life * age), F.lit(least)) * F.when(F.col("state") == "saved", saved).otherwise(1.0)
+    polarity = F.when(F.col("state") == "not_relevant", "negative").otherwise("positive")
+    weighed = entry.select(F.col(owner), F.col(item), polarity.alias("polarity"), weight.alias("_w")).join(features.select(F.col("item").alias(item), "field", "token"), item)
+    w = weighed.groupBy(owner, "polarity", "field", "token").agg(F.sum(F.col("_w") * F.when(F.col("field") == "author", author).otherwise(1.0)).alias("weight"))
+    rank = F.row_number().over(Window.partitionBy(owner, "polarity", "field").orderBy(F.desc(F.round("weight", 9)), "token"))
     return w.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top)

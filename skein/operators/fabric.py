@@ -16,12 +16,23 @@ WINDOWS = {"tutorial": (0.16, 0.78), "story": (0.14, 0.83), "reaction": (0.12, 0
 CALIBRATION = {"text": (0.94, 0.03), "structure": (0.92, 0.04), "audio": (0.90, 0.05), "visual": (0.90, 0.05)}
 
 
+def source_age_hours() -> Column:
+    """Hours from the last update of the source to ``as_of_time``, 0 at least; null where it is unknown."""
+    age = (F.unix_micros(F.col("as_of_time").cast("timestamp")) - F.unix_micros(F.col("source_updated_at").cast("timestamp"))) / 3.6e9
+    return F.when(F.col("source_updated_at").isNotNull(), F.round(F.greatest(age, F.lit(0.0)), 4))
+
+
 def _missing(**reasons: tuple[Column, str]) -> Column:
-    """Map of feature -> reason for the features whose condition holds."""
-    entries = F.array(*[F.when(c, F.struct(F.lit(k).alias("k"), F.lit(r).alias("v"))) for k, (c, r) in reasons.items()])
+    """Map of feature -> (reason, source_age_hours) for the features whose condition holds."""
+    entries = F.array(*[F.when(c, F.struct(F.lit(k).alias("k"), F.struct(F.lit(r).alias("reason"), source_age_hours().alias("source_age_hours")).alias("v"))) for k, (c, r) in reasons.items()])
     return F.map_from_entries(F.filter(entries, lambda e: e.isNotNull()))
 
 
+def _hint(name: str) -> Column:
+    """A hint as a number; 0 counts as not given, as it does in the defaults that follow."""
+    return F.nullif(F.element_at("hints", name).cast("double"), F.lit(0.0))
+
+
 def _blank(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
 
@@ -33,11 +44,12 @@ def calibrate(raw: Column, kind: str) -> Column:
 
 def text_features() -> Column:
     listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
-    tokens = words(F.concat_ws(" ", "caption", "transcript_text", "ocr_text", F.array_join(listed("hashtags"), " "), F.array_join(listed("keywords"), " ")))
+    seen = F.trim(F.coalesce(F.element_at("hints", "video_caption"), F.lit("")))
+    tokens = words(F.concat_ws(" ", "caption", "transcript_text", "ocr_text", seen, F.array_join(listed("hashtags"), " "), F.array_join(listed("keywords"), " ")))
     n, unique = F.size(tokens), F.size(F.array_distinct(tokens))
     cta = F.size(F.filter(tokens, lambda t: t.isin(CTA_TERMS)))
     clarity = clamp(0.42 + unique / F.greatest(n, F.lit(1)) * 0.5 + F.when(cta > 0, 0.04).otherwise(0.0), 0.0, 1.0)
-    sure = clamp(0.62 + 0.08 * (~_blank("transcript_text")).cast("int") + 0.06 * (~_blank("ocr_text")).cast("int"), 0.0, 1.0)
+    sure = clamp(0.62 + 0.08 * (~_blank("transcript_text")).cast("int") + 0.06 * (~_blank("ocr_text")).cast("int") + 0.08 * (seen != "").cast("int"), 0.0, 1.0)
     missing = _missing(transcript_text=(_blank("transcript_text"), "not_available"), ocr_text=(_blank("ocr_text"), "not_available"), caption=(_blank("caption"), "low_quality"), keyphrase_count=(F.size(listed("keywords")) == 0, "not_available"), token_count=(n <= 2, "low_quality"))
     return F.struct(n.alias("token_count"), unique.alias("unique_token_count"), F.size(listed("hashtags")).alias("hashtag_count"), F.least(F.size(listed("keywords")), F.lit(32)).alias("keyphrase_count"), cta.alias("cta_keyword_count"), F.round(clarity, 6).alias("clarity_score"), calibrate(sure, "text").alias("confidence"), missing.alias("missing"))
 
@@ -51,37 +63,75 @@ def structure_features() -> Column:
     step = F.round(F.size(F.coalesce("keywords", F.array().cast("array<string>"))) / F.greatest(duration / 10.0, F.lit(1.0)), 6)
     pace = clamp(0.5 + F.least(duration, F.lit(90)) / 180 + F.least(step, F.lit(2.0)) / 6, 0.0, 1.0)
     missing = _missing(duration_seconds=(F.col("duration_seconds").isNull(), "not_available"), content_type=(_blank("content_type"), "not_available"))
-    return F.struct(hook.alias("hook_window_end_sec"), F.greatest(hook, payoff - 0.5).alias("mid_window_end_sec"), payoff.alias("payoff_window_start_sec"), duration.cast("double").alias("payoff_window_end_sec"), step.alias("step_density"), F.round(pace, 6).alias("pacing_score"), calibrate(0.66 + F.when(F.col("duration_seconds").isNotNull(), 0.08).otherwise(0.0), "structure").alias("confidence"), missing.alias("missing"))
+    mid_end = F.greatest(hook, payoff - 0.5)
+    return F.struct(
+        F.lit(0.0).alias("hook_window_start_sec"), hook.alias("hook_window_end_sec"), hook.alias("mid_window_start_sec"), F.round(mid_end, 4).alias("mid_window_end_sec"),
+        payoff.alias("payoff_window_start_sec"), F.round(duration.cast("double"), 4).alias("payoff_window_end_sec"), hook.alias("hook_timing_seconds"), payoff.alias("payoff_timing_seconds"),
+        step.alias("step_density"), F.round(pace, 6).alias("pacing_score"), calibrate(0.66 + F.when(F.col("duration_seconds").isNotNull(), 0.08).otherwise(0.0), "structure").alias("confidence"), missing.alias("missing"),
+    )
+
+
+def _without(names: tuple[str, ...]) -> Column:
+    return _missing(**{n: (F.lit(True), "not_available") for n in names})
+
 
+def _none_missing() -> Column:
+    return _missing(none=(F.lit(False), ""))
 
-def hint_features(kind: str, names: dict[str, float]) -> Column:
-    """Features from the ``hints`` map with defaults; missing hints are listed and lower the confidence."""
-    value = lambda k, d: F.coalesce(F.element_at("hints", k).cast("double"), F.lit(d))
-    there = sum(F.element_at("hints", k).isNotNull().cast("int") for k in names)
-    missing = _missing(**{k: (F.element_at("hints", k).isNull(), "not_available") for k in names})
-    return F.struct(*[value(k, d).alias(k) for k, d in names.items()], calibrate(clamp(0.4 + 0.5 * there / len(names), 0.0, 1.0), kind).alias("confidence"), missing.alias("missing"))
 
+def _has_any(*names: str) -> Column:
+    any_ = F.lit(False)
+    for n in names:
+        any_ = any_ | F.coalesce(F.map_contains_key("hints", n), F.lit(False))
+    return any_
 
-EXTRACTORS: dict[str, Callable[[], Column]] = {
-    "text": text_features,
-    "structure": structure_features,
-    "audio": lambda: hint_features("audio", {"speech_ratio": 0.5, "tempo_bpm": 110.0, "energy": 0.5, "music_presence_score": 0.5}),
-    "visual": lambda: hint_features("visual", {"shot_change_rate": 0.3, "visual_motion_score": 0.5, "style_complexity": 0.5}),
-}
+
+def audio_features() -> Column:
+    """Speech, tempo and energy from the hints ``speech_seconds music_seconds tempo_bpm audio_energy``; without any, nothing."""
+    given = _has_any("speech_seconds", "music_seconds", "tempo_bpm", "audio_energy")
+    duration = F.coalesce(F.nullif(F.col("duration_seconds").cast("double"), F.lit(0.0)), F.lit(30.0))
+    speech = F.coalesce(_hint("speech_seconds"), duration * 0.55)
+    music = F.coalesce(_hint("music_seconds"), F.greatest(duration - speech, F.lit(0.0)))
+    ratio = clamp(speech / F.greatest(speech + music, F.lit(1.0)), 0.0, 1.0)
+    tempo = F.coalesce(_hint("tempo_bpm"), F.lit(108.0))
+    energy = clamp(F.coalesce(_hint("audio_energy"), (tempo - 70.0) / 120.0), 0.0, 1.0)
+    when = lambda x: F.when(given, F.round(x, 6))
+    missing = F.when(given, _none_missing()).otherwise(_without(("speech_ratio", "tempo_bpm", "energy", "music_presence_score")))
+    return F.struct(when(ratio).alias("speech_ratio"), when(tempo).alias("tempo_bpm"), when(energy).alias("energy"), when(clamp(1.0 - ratio + 0.2, 0.0, 1.0)).alias("music_presence_score"), calibrate(F.when(given, 0.76).otherwise(0.3), "audio").alias("confidence"), missing.alias("missing"))
+
+
+def visual_features() -> Column:
+    """Shot rate, motion and style from the hints ``estimated_scene_cuts visual_motion_score fps``; without any, nothing."""
+    given = _has_any("estimated_scene_cuts", "visual_motion_score", "fps")
+    duration = F.coalesce(F.nullif(F.col("duration_seconds").cast("double"), F.lit(0.0)), F.lit(30.0))
+    rate = F.greatest(F.coalesce(_hint("estimated_scene_cuts"), F.lit(12.0)), F.lit(1.0)) / F.greatest(duration, F.lit(1.0))
+    motion = clamp(F.coalesce(_hint("visual_motion_score"), rate / 1.8), 0.0, 1.0)
+    pace = F.when(rate >= 0.5, "rapid_cut").when(rate <= 0.22, "slow_cut").otherwise("balanced_cut")
+    frame = F.when(motion >= 0.7, "high_motion").when(motion <= 0.35, "static_framing")
+    tags = F.when(given, F.array_compact(F.array(pace, frame))).otherwise(F.array().cast("array<string>"))
+    missing = F.when(given, _none_missing()).otherwise(_without(("shot_change_rate", "visual_motion_score")))
+    return F.struct(F.when(given, F.round(rate, 6)).alias("shot_change_rate"), F.when(given, F.round(motion, 6)).alias("visual_motion_score"), tags.alias("style_tags"), calibrate(F.when(given, 0.78).otherwise(0.3), "visual").alias("confidence"), missing.alias("missing"))
+
+
+EXTRACTORS: dict[str, Callable[[], Column]] = {"text": text_features, "structure": structure_features, "audio": audio_features, "visual": visual_features}
 
 
 def extract(posts: DataFrame, kinds: tuple[str, ...] = tuple(EXTRACTORS)) -> DataFrame:
-    """One struct column per registered extractor, all in one projection."""
+    """One struct column per registered extractor, all in one projection.
+
+    Posts need caption, transcript_text, ocr_text, hashtags, keywords, duration_seconds,
+    content_type, a map ``hints``, as_of_time and source_updated_at.
+    """
     return posts.select("*", *[EXTRACTORS[k]().alias(f"{k}_features") for k in kinds])
 
 
 def missing_by_reason(features: DataFrame, kinds: tuple[str, ...] = tuple(EXTRACTORS)) -> DataFrame:
     maps = F.explode(F.flatten(F.array(*[F.map_entries(f"{k}_features.missing") for k in kinds])))
-    return features.select(maps.alias("e")).groupBy(F.col("e.key").alias("feature"), F.col("e.value").alias("reason")).agg(F.count("*").alias("n"))
+    return features.select(maps.alias("e")).groupBy(F.col("e.key").alias("feature"), F.col("e.value.reason").alias("reason")).agg(F.count("*").alias("n"))
 
 
 def fit_calibration(scored: DataFrame, score: str, z: str, bins: int = 10) -> DataFrame:
-    """Slope and bias of ``sigmoid(z)`` on the score, over equal-count bins of the score."""
+    """Slope and bias of ``sigmoid(z)`` on the score, over about equal-count bins of the score."""
     from skein.functions.scalars import sigmoid
 
     cuts = scored.agg(F.percentile_approx(score, [i / bins for i in range(1, bins)], 10_000).alias("cuts"))

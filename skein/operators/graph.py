@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def edge_weight(age_days: Column, missing: Column, interactions: Column, half_life: float = 45.0) -> Column:
-    """Recency times quality (0.05 less per missing field, 0.5 at least) times interaction."""
-    return F.pow(F.lit(2.0), -age_days / half_life) * F.greatest(F.lit(0.5), F.least(F.lit(1.0), 1 - 0.05 * missing)) * (1 + F.log1p(interactions))
+    """Recency times quality (0.05 less per missing field, 0.5 at least) times interaction. The numbers are fixed values."""
+    return F.pow(F.lit(2.0), -age_days / half_life) * F.greatest(F.lit(0.5), F.least(F.lit(1.0), 1 - 0.05 * missing)) * (1 + 0.15 * F.log1p(interactions))
 
 
 def undirected(edges: DataFrame, src: str, dst: str, kind: str, weight: str) -> DataFrame:

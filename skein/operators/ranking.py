@@ -78,17 +78,52 @@ def heuristic(objective: str, f: Callable[[str], Column] = F.col) -> Column:
     return F.lit(0.0)
 
 
-def affinity(preferred: Column, avoided: Column, tokens: Column, negative: float = 0.7) -> Column:
-    """Weight of a candidate's tokens in the preferred map, less that in the avoided map, squashed to -1..1."""
-    weight = lambda m: F.aggregate(F.transform(tokens, lambda t: F.coalesce(F.element_at(m, t), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-    raw = F.coalesce(weight(preferred), F.lit(0.0)) - negative * F.coalesce(weight(avoided), F.lit(0.0))
-    return F.tanh(raw)
+#: Shares of the four parts of the affinity, the largest shift and the query guard.
+AFFINITY = {"topic": 0.42, "hashtags": 0.28, "content_type": 0.20, "author": 0.10}
+AFFINITY_SHIFT = 0.08
+AFFINITY_GUARD = 0.18
 
 
-def blend_affinity(score: Column, fit: Column, support: Column, most: float = 0.15) -> Column:
-    """The score moved towards the affinity, by at most ``most`` and in proportion to the support."""
-    w = most * clamp(support, 0.0, 1.0)
-    return score * (1 - w) + w * (fit + 1) / 2
+def _total(weights: Column) -> Column:
+    return F.aggregate(F.map_values(weights), F.lit(0.0), lambda s, x: s + x)
+
+
+def _margin(liked: Column, avoided: Column, of_liked: Column, of_avoided: Column) -> Column:
+    share = lambda part, total: F.when(total > 0, part / total).otherwise(0.0)
+    return clamp(0.5 + (share(liked, of_liked) - share(avoided, of_avoided)) * 0.5, 0.0, 1.0)
+
+
+def token_affinity(tokens: Column, preferred: Column, avoided: Column) -> Column:
+    """How far a candidate's tokens lie in the preferred rather than the avoided weights: 0..1, 0.5 without tokens."""
+    own = F.array_distinct(F.filter(tokens, lambda t: F.length(t) > 0))
+    hits = lambda m: F.aggregate(F.transform(own, lambda t: F.coalesce(F.element_at(m, t), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(own) > 0, _margin(hits(preferred), hits(avoided), _total(preferred), _total(avoided))).otherwise(0.5)
+
+
+def value_affinity(value: Column, preferred: Column, avoided: Column) -> Column:
+    """The same for a single value."""
+    weight = lambda m: F.coalesce(F.element_at(m, value), F.lit(0.0))
+    return F.when(F.length(F.coalesce(value, F.lit(""))) > 0, _margin(weight(preferred), weight(avoided), _total(preferred), _total(avoided))).otherwise(0.5)
+
+
+def affinity(parts: dict[str, Column]) -> Column:
+    """The weighted sum of the four parts ``topic``, ``hashtags``, ``content_type`` and ``author``."""
+    return clamp(sum((parts[k] * w for k, w in AFFINITY.items()), F.lit(0.0)), 0.0, 1.0)
+
+
+def affinity_confidence(positive: Column, negative: Column, requests: Column, days: Column, same_objective: Column) -> Column:
+    """How far an owner's feedback carries: events, requests, balance and recency. The numbers are fixed values."""
+    p, n = F.coalesce(positive, F.lit(0)), F.coalesce(negative, F.lit(0))
+    balance = F.when((p > 0) & (n > 0), F.least(p, n) / F.greatest(p, n)).when(p > 0, 0.35).otherwise(0.0)
+    recent = clamp(1.0 - F.coalesce(days, F.lit(999.0)) / 180.0, 0.0, 1.0)
+    raw = clamp((p + n) / 24.0, 0.0, 1.0) * 0.45 + clamp(F.coalesce(requests, F.lit(0)) / 8.0, 0.0, 1.0) * 0.20 + balance * 0.20 + recent * 0.15
+    return clamp(raw, 0.0, 1.0) * F.when(same_objective, 1.0).otherwise(0.85)
+
+
+def blend_affinity(score: Column, semantic: Column, fit: Column, confidence: Column) -> Column:
+    """The score shifted by the affinity, in proportion to the confidence and to how well the candidate meets the query."""
+    guard = clamp((semantic - AFFINITY_GUARD) / (1 - AFFINITY_GUARD), 0.0, 1.0)
+    return F.when(confidence <= 0.01, score).otherwise(clamp(score + AFFINITY_SHIFT * confidence * guard * (fit - 0.5) * 2.0, 0.0, 1.0))
 
 
 def pairwise_blend(rows: DataFrame, score: str, win_rate: str, authority: float = 0.35, head: int = 3, budget: float = 0.2) -> DataFrame:

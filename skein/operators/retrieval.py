@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.session import materialise
+
 #: Default shares of the retrieval branches, and what agreeing branches add.
 BLEND = {"semantic": 0.45, "hashtag": 0.30, "structured": 0.25}
 AGREEMENT = {2: 0.04, 3: 0.08}
@@ -56,6 +58,8 @@ def exact_topk(items: DataFrame, queries: DataFrame, item_id: str, query_id: str
             yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], top_s.shape)[ok], pa.int64()), pa.array(top_i[ok], pa.int64()), pa.array(top_s[ok], pa.float64())], names=["query", "item", "score"])
 
         got = items.select(F.col(item_id).cast("long"), vector).mapInArrow(best, "query long, item long, score double")
+        if blocks > 1:  # each pass is written before the next, so the driver holds one block
+            got = materialise(got, "topk")
         out = got if out is None else out.unionByName(got)
     if out is None:
         return items.sparkSession.createDataFrame([], "query long, item long, score double, rank long")
@@ -115,8 +119,8 @@ class Policy:
 
     per_author: int = 2
     max_age_days: float = 180.0
-    author_weight: float = 0.05
-    topic_weight: float = 0.03
+    author_weight: float = 0.03
+    topic_weight: float = 0.05
     freshness_weight: float = 0.04
     half_life_hours: float = 168.0
     locale_bonus: float = 0.02

@@ -62,53 +62,114 @@ def scorecard(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> Data
     return rates.crossJoin(keys).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def psi(reference: DataFrame, current: DataFrame, value: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
-    """Population stability over equal bins of the joint range, both ends of a bin inclusive.
+def _two(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
+    return reference.select(F.lit("").alias("name"), F.lit(0).alias("s"), F.col(value).cast("double").alias("x")).unionByName(current.select(F.lit("").alias("name"), F.lit(1).alias("s"), F.col(value).cast("double").alias("x"))).filter("x is not null")
 
-    A value on an inner edge counts in both of its bins. The counts are one aggregate of
-    both samples; only ``bins`` pairs of shares are compared.
+
+#: Fixed value: the least share of a bin.
+PSI_FLOOR = 1e-9
+
+
+def psi_by_name(samples: DataFrame, bins: int = 10) -> DataFrame:
+    """(name, n_reference, n_current, psi) of samples (name, s, x), ``s`` 0 for the reference and 1 for now.
+
+    Population stability over equal bins of the joint range, both ends of a bin inclusive, so
+    a value on an inner edge counts in both of its bins. 0 where a sample is empty or all
+    values are equal. The counts are one aggregate of both samples; only ``bins`` pairs of
+    shares are compared.
     """
-    both = reference.select(F.lit(0).alias("s"), F.col(value).cast("double").alias("x")).unionByName(current.select(F.lit(1).alias("s"), F.col(value).cast("double").alias("x")))
-    span = both.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    j = both.crossJoin(F.broadcast(span))
-    counts = [F.count_if((F.col("s") == s) & (F.col("x") >= F.col("lo") + (F.col("hi") - F.col("lo")) / bins * i) & (F.col("x") <= F.col("lo") + (F.col("hi") - F.col("lo")) / bins * (i + 1))).alias(f"c{s}_{i}") for s in (0, 1) for i in range(bins)]
-    c = j.agg(F.count_if(F.col("s") == 0).alias("n0"), F.count_if(F.col("s") == 1).alias("n1"), *counts)
-    total = None
+    span = samples.groupBy("name").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    j = samples.join(span, "name").withColumn("step", (F.col("hi") - F.col("lo")) / bins)
+    low = lambda i: F.col("lo") + F.col("step") * i
+    high = lambda i: F.col("hi") if i == bins - 1 else low(i) + F.col("step")
+    counts = [F.count_if((F.col("s") == s) & (F.col("x") >= low(i)) & (F.col("x") <= high(i))).alias(f"c{s}_{i}") for s in (0, 1) for i in range(bins)]
+    c = j.groupBy("name").agg(F.count_if(F.col("s") == 0).alias("n_reference"), F.count_if(F.col("s") == 1).alias("n_current"), F.max("step").alias("step"), *counts)
+    total = F.lit(0.0)
     for i in range(bins):
-        p, q = F.greatest(F.col(f"c0_{i}") / F.col("n0"), F.lit(floor)), F.greatest(F.col(f"c1_{i}") / F.col("n1"), F.lit(floor))
-        term = (q - p) * F.log(q / p)
-        total = term if total is None else total + term
-    return c.select(total.alias("psi"))
+        p, q = (F.greatest(F.col(f"c{s}_{i}") / F.greatest(F.col(n), F.lit(1)), F.lit(PSI_FLOOR)) for s, n in ((0, "n_reference"), (1, "n_current")))
+        total = total + (q - p) * F.log(q / p)
+    undefined = (F.col("n_reference") == 0) | (F.col("n_current") == 0) | (F.col("step") <= 0)
+    return c.select("name", "n_reference", "n_current", F.when(undefined, 0.0).otherwise(total).alias("psi"))
+
+
+def ks_by_name(samples: DataFrame) -> DataFrame:
+    """(name, ks): largest distance of the two empirical distributions, 0 where a sample is empty.
+
+    From counts per value and running sums over ranges of the values; the names are few.
+    """
+    from skein.operators.windows import running_before
+
+    per = samples.groupBy("name", "x").agg(F.count_if(F.col("s") == 0).alias("a"), F.count_if(F.col("s") == 1).alias("b"))
+    run = running_before(per, "x", {"ca": ("sum", "a"), "cb": ("sum", "b")}, ["name"])
+    n = samples.groupBy(F.col("name").alias("_name")).agg(F.count_if(F.col("s") == 0).alias("na"), F.count_if(F.col("s") == 1).alias("nb"))
+    gap = F.abs((F.col("ca") + F.col("a")) / F.greatest("na", F.lit(1)) - (F.col("cb") + F.col("b")) / F.greatest("nb", F.lit(1)))
+    return run.join(F.broadcast(n), F.col("name") == F.col("_name")).groupBy("name").agg(F.max(F.when((F.col("na") > 0) & (F.col("nb") > 0), gap).otherwise(0.0)).alias("ks"))
+
+
+def mean_delta_by_name(samples: DataFrame) -> DataFrame:
+    """(name, mean_delta): difference of the means in shares of the reference's; where that is 0, 0 or 1."""
+    m = samples.groupBy("name").agg(F.avg(F.when(F.col("s") == 0, F.col("x"))).alias("r"), F.avg(F.when(F.col("s") == 1, F.col("x"))).alias("c"))
+    none = F.abs("r") <= 1e-9
+    delta = F.when(F.col("r").isNull() | F.col("c").isNull(), 0.0).when(none & (F.abs("c") <= 1e-9), 0.0).when(none, 1.0).otherwise(F.abs(F.col("c") - F.col("r")) / F.abs("r"))
+    return m.select("name", delta.alias("mean_delta"))
+
+
+def psi(reference: DataFrame, current: DataFrame, value: str, bins: int = 10) -> DataFrame:
+    return psi_by_name(_two(reference, current, value), bins).select("psi")
 
 
 def ks(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
-    """Largest distance of the two empirical distributions, from counts per value and running sums."""
-    both = reference.select(F.lit(1).alias("a"), F.lit(0).alias("b"), F.col(value).alias("x")).unionByName(current.select(F.lit(0).alias("a"), F.lit(1).alias("b"), F.col(value).alias("x"))).filter("x is not null")
-    per = both.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select(F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"), F.sum("a").over(Window.partitionBy()).alias("na"), F.sum("b").over(Window.partitionBy()).alias("nb"))
-    return run.agg(F.max(F.abs(F.col("ca") / F.greatest("na", F.lit(1)) - F.col("cb") / F.greatest("nb", F.lit(1)))).alias("ks"))
+    return ks_by_name(_two(reference, current, value)).select("ks")
 
 
 def mean_delta(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
-    """Relative difference of the means."""
-    r, c = reference.agg(F.avg(value).alias("r")), current.agg(F.avg(value).alias("c"))
-    return r.crossJoin(c).select((F.abs(F.col("c") - F.col("r")) / F.greatest(F.abs("r"), F.lit(1e-9))).alias("mean_delta"))
+    return mean_delta_by_name(_two(reference, current, value)).select("mean_delta")
+
+
+#: What a measure must exceed for a breach, and the least sample on either side.
+DRIFT_LIMITS = {"psi_mandatory": 0.20, "psi_optional": 0.30, "ks": 0.12, "mean_delta": 0.20, "min_samples": 25}
+#: The same for the rates of the serving policy.
+POLICY_LIMITS = {"fallback_rate": 0.05, "fallback_delta": 0.02, "author_cap_drop_rate": 0.20, "strict_language_drop_rate": 0.20, "strict_locale_drop_rate": 0.20}
 
 
-#: Limits of a drift breach, and the least sample on either side.
-DRIFT_LIMITS = {"psi": (0.20, 0.30), "ks": 0.12, "mean_delta": 0.20, "min_samples": 25}
+def drift_measures(features: DataFrame, labels: DataFrame, least: int = DRIFT_LIMITS["min_samples"]) -> DataFrame:
+    """(stream, name, n_reference, n_current, psi, ks, mean_delta, sufficient, breach), one row a metric.
 
+    ``features`` and ``labels``: samples (name, s, x). A feature breaches by its PSI, with a
+    limit by its prefix ``mandatory_`` or ``optional_``; a label by its KS distance or mean.
+    """
+    enough = F.least("n_reference", "n_current") >= least
+    limit = F.when(F.col("name").startswith("mandatory_"), DRIFT_LIMITS["psi_mandatory"]).when(F.col("name").startswith("optional_"), DRIFT_LIMITS["psi_optional"])
+    nothing = F.lit(None).cast("double")
+    f = psi_by_name(features).select(F.lit("feature").alias("stream"), "name", "n_reference", "n_current", F.round("psi", 6).alias("psi"), nothing.alias("ks"), nothing.alias("mean_delta"), enough.alias("sufficient"), F.coalesce(enough & (F.col("psi") > limit), F.lit(False)).alias("breach"))
+    n = labels.groupBy("name").agg(F.count_if(F.col("s") == 0).alias("n_reference"), F.count_if(F.col("s") == 1).alias("n_current"))
+    m = n.join(ks_by_name(labels), "name").join(mean_delta_by_name(labels), "name")
+    over = (F.col("ks") > DRIFT_LIMITS["ks"]) | (F.col("mean_delta") > DRIFT_LIMITS["mean_delta"])
+    return f.unionByName(m.select(F.lit("label").alias("stream"), "name", "n_reference", "n_current", nothing.alias("psi"), F.round("ks", 6).alias("ks"), F.round("mean_delta", 6).alias("mean_delta"), enough.alias("sufficient"), (enough & over).alias("breach")))
+
+
+def drift_summary(features: DataFrame, labels: DataFrame, policy: DataFrame, least: int = DRIFT_LIMITS["min_samples"]) -> DataFrame:
+    """One row: the breaches by stream, severity and recommendation.
 
-def drift_summary(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
-    """All three measures of one metric with breach, severity and recommendation."""
-    n = reference.agg(F.count(value).alias("n_reference")).crossJoin(current.agg(F.count(value).alias("n_current")))
-    d = n.crossJoin(psi(reference, current, value)).crossJoin(ks(reference, current, value)).crossJoin(mean_delta(reference, current, value))
-    warn, crit = DRIFT_LIMITS["psi"]
-    small = (F.least("n_reference", "n_current") < DRIFT_LIMITS["min_samples"])
-    breach = ~small & ((F.col("psi") >= warn) | (F.col("ks") >= DRIFT_LIMITS["ks"]) | (F.col("mean_delta") >= DRIFT_LIMITS["mean_delta"]))
-    severity = F.when(small, "insufficient").when(F.col("psi") >= crit, "critical").when(breach, "warning").otherwise("ok")
-    return d.select(F.lit(value).alias("metric"), "n_reference", "n_current", F.round("psi", 6).alias("psi"), F.round("ks", 6).alias("ks"), F.round("mean_delta", 6).alias("mean_delta"), breach.alias("breach"), severity.alias("severity"), F.when(severity == "critical", "retrain").when(severity == "warning", "watch").otherwise("none").alias("recommendation"))
+    ``policy``: one row with the counts ``baseline_n`` and ``current_n``, ``baseline_fallback_rate``
+    and the current rates named in ``POLICY_LIMITS``.
+    """
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    is_feature, starts = F.col("stream") == "feature", F.col("name").startswith
+    seen = drift_measures(features, labels, least).agg(
+        some(is_feature & starts("mandatory_") & F.col("breach")).alias("feature_mandatory"), some(is_feature & starts("optional_") & F.col("breach")).alias("feature_optional"),
+        some(~is_feature & F.col("breach")).alias("label"), some(is_feature & F.col("sufficient")).alias("_f"), some(~is_feature & F.col("sufficient")).alias("_l"),
+    )
+    rate = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    over = rate("fallback_rate") - rate("baseline_fallback_rate") > POLICY_LIMITS["fallback_delta"]
+    for name, limit in POLICY_LIMITS.items():
+        if name != "fallback_delta":
+            over = over | (rate(name) > limit)
+    enough = F.least(F.coalesce("baseline_n", F.lit(0)), F.coalesce("current_n", F.lit(0))) >= least
+    all_ = seen.crossJoin(policy.select((enough & over).alias("policy"), enough.alias("_p")))
+    severity = F.when(F.col("feature_mandatory") | F.col("label") | F.col("policy"), "critical").when(F.col("feature_optional"), "warning").when(~(F.col("_f") & F.col("_l") & F.col("_p")), "insufficient_data").otherwise("ok")
+    advice = F.when(F.col("severity") == "critical", "retrain_candidate").when(F.col("severity") == "warning", "monitor").when(F.col("severity") == "insufficient_data", "insufficient_data").otherwise("none")
+    return all_.withColumn("severity", severity).select("feature_mandatory", "feature_optional", "label", "policy", (F.col("_f") & F.col("_l") & F.col("_p")).alias("sufficient"), "severity", advice.alias("recommendation"))
 
 
 def regression_metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:

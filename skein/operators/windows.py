@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges that an ordered table is cut into.
+RANGES = 64
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row of each key in ``order``: the DISTINCT ON pattern.
@@ -17,6 +20,60 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def order_number(df: DataFrame, column: str) -> Column:
+    """A column to order by as a number: times as microseconds."""
+    kind = dict(df.dtypes)[column]
+    return F.unix_micros(F.col(column).cast("timestamp")) if kind.startswith("timestamp") or kind == "date" else F.col(column).cast("double")
+
+
+def in_ranges(df: DataFrame, order: str, keys: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+    """Adds ``_range``: the rows of each key cut into about equal ranges of ``order``, equal values in one range.
+
+    With ``_range`` among its keys a window over an ordered table, or over a key with a large
+    share of the rows, is spread over tasks. The limits are approximate quantiles, fetched
+    once, so that every use of the plan cuts alike; there are ``ranges`` of them per key, and
+    the keys (metrics, sources) must be few.
+    """
+    x = order_number(df, order)
+    shares = [i / ranges for i in range(1, ranges)]
+    limits = df.select(*keys, x.alias("_x")).groupBy(*keys).agg(F.percentile_approx("_x", shares, 10_000).alias("_limits"))
+    if not keys:
+        found = limits.first()["_limits"] or []
+        cuts = F.array(*[F.lit(v) for v in sorted(set(found))]) if found else F.array().cast("array<double>")
+        return df.withColumn("_range", F.size(F.filter(cuts, lambda c: c < x)))
+    rows = df.sparkSession.createDataFrame(limits.collect(), limits.schema)
+    marked = df.join(F.broadcast(rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_limits")), _same(keys), "left")
+    return marked.withColumn("_range", F.coalesce(F.size(F.filter("_limits", lambda c: c < x)), F.lit(0))).drop("_limits", *[f"_k{i}" for i in range(len(keys))])
+
+
+def _same(keys: Sequence[str], prefix: str = "_k") -> Column:
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{prefix}{i}"))
+    return cond
+
+
+def running_before(df: DataFrame, order: str, values: dict[str, tuple[str, str]], keys: Sequence[str] = (), ties: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+    """Adds to each row the sum or maximum of a column over the rows before it, without one task for all rows.
+
+    ``values``: new column -> ("sum" or "max", column). Rows are cut by ``in_ranges``; each
+    range has a window of its own and adds what the ranges before it hold, which is one row a
+    range. Sums before the first row are 0, maxima null.
+    """
+    fold = {"sum": F.sum, "max": F.max}
+    marked = in_ranges(df, order, keys, ranges)
+    per = marked.groupBy(*keys, "_range").agg(*[fold[f](c).alias(f"_per_{n}") for n, (f, c) in values.items()])
+    w = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], F.col("_range").alias("_o"), *[fold[f](f"_per_{n}").over(w).alias(f"_off_{n}") for n, (f, _) in values.items()])
+    joined = marked.join(F.broadcast(offsets), (F.col("_range") == F.col("_o")) & _same(keys, "_o"))
+    here = Window.partitionBy(*keys, "_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    out = joined
+    for n, (f, c) in values.items():
+        now, off = fold[f](c).over(here), F.col(f"_off_{n}")
+        out = out.withColumn(n, F.coalesce(now, F.lit(0)) + F.coalesce(off, F.lit(0)) if f == "sum" else F.coalesce(F.greatest(now, off), now, off))
+    return out.drop("_range", "_o", *[f"_o{i}" for i in range(len(keys))], *[f"_off_{n}" for n in values])
+
+
 def chronological_split(df: DataFrame, time: str, tie: str, train: float = 0.70, validation: float = 0.15) -> DataFrame:
     """Adds ``split`` by rank in time, at least one row for each split where there are three.
 
@@ -29,7 +86,7 @@ def chronological_split(df: DataFrame, time: str, tie: str, train: float = 0.70,
     if total >= 3 and n_train + n_val >= total:
         n_train = max(1, total - n_val - 1)
     per = df.groupBy(F.col(time).alias("_t")).agg(F.count("*").alias("_n"))
-    before = per.withColumn("_before", F.sum("_n").over(Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1))).select("_t", F.coalesce("_before", F.lit(0)).alias("_before"))
+    before = running_before(per, "_t", {"_before": ("sum", "_n")}).select("_t", "_before")
     rank = F.col("_before") + F.row_number().over(Window.partitionBy(time).orderBy(tie))
     split = F.when(F.col("_rank") <= n_train, "train").when(F.col("_rank") <= n_train + n_val, "validation").otherwise("test")
     return df.join(before, F.col(time).eqNullSafe(F.col("_t"))).withColumn("_rank", rank).withColumn("split", split).drop("_t", "_before", "_rank")
@@ -45,11 +102,11 @@ def classify_lateness(df: DataFrame, source: str, event: str, arrival: Sequence[
     """Adds ``watermark`` (latest event before the row in arrival order, per source) and ``lateness``.
 
     Late rows never raise the running maximum, so the maximum over all rows before is exact.
+    A source's rows are cut into ranges of the arrival, so one source may hold most rows.
     """
-    w = Window.partitionBy(source).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.max(event).over(w)
     late = F.when(F.col("watermark").isNull() | (F.col(event) >= F.col("watermark")), "on_time").when(F.col(event) >= F.col("watermark") - F.expr(f"INTERVAL {grace_hours} HOURS"), "late_within_grace").otherwise("late_out_of_watermark")
-    return df.withColumn("watermark", mark).withColumn("lateness", late)
+    marked = running_before(df, arrival[0], {"watermark": ("max", event)}, [source], arrival[1:])
+    return marked.withColumn("lateness", late)
 
 
 def minmax_normalise(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
@@ -62,8 +119,8 @@ def minmax_normalise(df: DataFrame, group: str, value: str, out: str) -> DataFra
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Ranks with ties at their mean, from counts per value, without a sort of all rows in one task."""
     per = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(per.select("_v", (before + (F.col("_n") + 1) / 2).alias(out)), F.col(value) == F.col("_v")).drop("_v")
+    ranked = running_before(per, "_v", {"_before": ("sum", "_n")}).select("_v", (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
+    return df.join(ranked, F.col(value) == F.col("_v")).drop("_v")
 
 
 def leave_one_out_mean(df: DataFrame, key: str, value: str, split: str, least: int = 2) -> DataFrame:

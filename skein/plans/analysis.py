@@ -70,41 +70,85 @@ def monthly_resample(spark, d):
     return cal.join(p, F.col("m") == F.col("k"), "left").select(F.date_format("m", "yyyy-MM").alias("month"), F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("t", F.lit(0.0)), 2).alias("total"))
 
 
+#: The first half of the month is the reference, the second the present.
+_MID = "2024-01-16"
+
+
 def _halves(spark, d):
     e = table(spark, d, "events")
-    return e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1")
+    return e.filter(f"ts < timestamp_ntz'{_MID}'"), e.filter(f"ts >= timestamp_ntz'{_MID}'")
 
 
-_SPAN = "span AS (SELECT min(value) AS lo, max(value) AS hi FROM events)"
-_BINS = f"""{_SPAN}, b AS (SELECT i, lo + (hi - lo) / 10 * i AS a, lo + (hi - lo) / 10 * (i + 1) AS z FROM span, range(10) r(i)),
-c AS (SELECT i, count(*) FILTER (WHERE event_id % 2 = 0) AS c0, count(*) FILTER (WHERE event_id % 2 = 1) AS c1 FROM b JOIN events ON value >= a AND value <= z GROUP BY i), n AS (SELECT count(*) FILTER (WHERE event_id % 2 = 0) AS n0, count(*) FILTER (WHERE event_id % 2 = 1) AS n1 FROM events)"""
-_PSI = "sum((greatest(coalesce(c1, 0) / n1, 1e-6) - greatest(coalesce(c0, 0) / n0, 1e-6)) * ln(greatest(coalesce(c1, 0) / n1, 1e-6) / greatest(coalesce(c0, 0) / n0, 1e-6)))"
+_SAMPLES = f"x AS (SELECT '' AS name, (ts >= TIMESTAMP '{_MID}')::INT AS s, value AS x FROM events)"
 
 
-@PLANS.add(f"WITH {_BINS} SELECT round({_PSI}, 6) AS psi FROM b LEFT JOIN c ON b.i = c.i, n")
-def psi_drift(spark, d):
-    return S.psi(*_halves(spark, d), "value").select(F.round("psi", 6).alias("psi"))
+def _psi_sql(samples: str) -> str:
+    """(name, n_reference, n_current, psi) of a relation (name, s, x)."""
+    return f"""(WITH sp AS (SELECT name, min(x) AS lo, max(x) AS hi, count(*) FILTER (WHERE s = 0) AS n0, count(*) FILTER (WHERE s = 1) AS n1 FROM {samples} GROUP BY name),
+bins AS (SELECT name, i, lo + (hi - lo) / 10 * i AS a, CASE WHEN i = 9 THEN hi ELSE lo + (hi - lo) / 10 * i + (hi - lo) / 10 END AS z FROM sp, range(10) r(i)),
+c AS (SELECT bins.name, i, count(*) FILTER (WHERE s = 0) AS c0, count(*) FILTER (WHERE s = 1) AS c1 FROM bins LEFT JOIN {samples} x ON bins.name = x.name AND x >= a AND x <= z GROUP BY bins.name, i),
+p AS (SELECT c.name, greatest(c0 / greatest(n0, 1), 1e-9) AS p, greatest(c1 / greatest(n1, 1), 1e-9) AS q FROM c JOIN sp ON c.name = sp.name)
+SELECT sp.name, n0 AS n_reference, n1 AS n_current, CASE WHEN n0 = 0 OR n1 = 0 OR hi <= lo THEN 0 ELSE (SELECT sum((q - p) * ln(q / p)) FROM p WHERE p.name = sp.name) END AS psi FROM sp)"""
+
 
+def _ks_sql(samples: str) -> str:
+    """(name, ks)."""
+    return f"""(SELECT name, max(CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE abs(a / na - b / nb) END) AS ks FROM (SELECT name, sum((s = 0)::INT) OVER w AS a, sum((s = 1)::INT) OVER w AS b, sum((s = 0)::INT) OVER (PARTITION BY name) AS na, sum((s = 1)::INT) OVER (PARTITION BY name) AS nb
+FROM {samples} WINDOW w AS (PARTITION BY name ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY name)"""
 
-_KS = """r AS (SELECT value, sum((event_id % 2 = 0)::INT) OVER w AS a, sum((event_id % 2 = 1)::INT) OVER w AS b FROM events WINDOW w AS (ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), nn AS (SELECT sum((event_id % 2 = 0)::INT) AS na, sum((event_id % 2 = 1)::INT) AS nb FROM events)"""
+
+def _delta_sql(samples: str) -> str:
+    """(name, mean_delta)."""
+    return f"""(SELECT name, CASE WHEN r IS NULL OR c IS NULL OR (abs(r) <= 1e-9 AND abs(c) <= 1e-9) THEN 0 WHEN abs(r) <= 1e-9 THEN 1 ELSE abs(c - r) / abs(r) END AS mean_delta FROM (SELECT name, avg(x) FILTER (WHERE s = 0) AS r, avg(x) FILTER (WHERE s = 1) AS c FROM {samples} GROUP BY name))"""
+
+
+@PLANS.add(f"WITH {_SAMPLES} SELECT round(psi, 6) AS psi FROM {_psi_sql('x')}")
+def psi_drift(spark, d):
+    return S.psi(*_halves(spark, d), "value").select(F.round("psi", 6).alias("psi"))
 
 
-@PLANS.add(f"WITH {_KS} SELECT round(max(abs(a / na - b / nb)), 6) AS ks FROM r, nn")
+@PLANS.add(f"WITH {_SAMPLES} SELECT round(ks, 6) AS ks FROM {_ks_sql('x')}")
 def ks_drift(spark, d):
     return S.ks(*_halves(spark, d), "value").select(F.round("ks", 6).alias("ks"))
 
 
-@PLANS.add("SELECT round(abs(avg(value) FILTER (WHERE event_id % 2 = 1) - avg(value) FILTER (WHERE event_id % 2 = 0)) / greatest(abs(avg(value) FILTER (WHERE event_id % 2 = 0)), 1e-9), 6) AS mean_delta FROM events")
+@PLANS.add(f"WITH {_SAMPLES} SELECT round(mean_delta, 6) AS mean_delta FROM {_delta_sql('x')}")
 def mean_delta(spark, d):
     return S.mean_delta(*_halves(spark, d), "value").select(F.round("mean_delta", 6).alias("mean_delta"))
 
 
-@PLANS.add(f"""WITH {_BINS}, {_KS}, p AS (SELECT {_PSI} AS psi FROM b LEFT JOIN c ON b.i = c.i, n), k AS (SELECT max(abs(a / na - b / nb)) AS ks FROM r, nn),
-m AS (SELECT count(*) FILTER (WHERE event_id % 2 = 0) AS n_reference, count(*) FILTER (WHERE event_id % 2 = 1) AS n_current, abs(avg(value) FILTER (WHERE event_id % 2 = 1) - avg(value) FILTER (WHERE event_id % 2 = 0)) / greatest(abs(avg(value) FILTER (WHERE event_id % 2 = 0)), 1e-9) AS md FROM events),
-s AS (SELECT *, CASE WHEN least(n_reference, n_current) < 25 THEN 'insufficient' WHEN psi >= 0.3 THEN 'critical' WHEN psi >= 0.2 OR ks >= 0.12 OR md >= 0.2 THEN 'warning' ELSE 'ok' END AS severity FROM p, k, m)
-SELECT 'value' AS metric, n_reference, n_current, round(psi, 6) AS psi, round(ks, 6) AS ks, round(md, 6) AS mean_delta, severity IN ('critical', 'warning') AS breach, severity, CASE severity WHEN 'critical' THEN 'retrain' WHEN 'warning' THEN 'watch' ELSE 'none' END AS recommendation FROM s""")
+_STREAMS = f"""e AS (SELECT *, (ts >= TIMESTAMP '{_MID}')::INT AS s, (props->>'$.k')::DOUBLE AS k FROM events),
+f AS (SELECT 'mandatory_value' AS name, s, value AS x FROM e UNION ALL SELECT 'optional_k', s, k FROM e WHERE k IS NOT NULL UNION ALL SELECT 'mandatory_hour', s, hour(ts)::DOUBLE FROM e),
+l AS (SELECT event_type AS name, s, value AS x FROM e WHERE event_type IN ('purchase', 'signup', 'view')),
+m AS (SELECT 'feature' AS stream, name, n_reference, n_current, round(psi, 6) AS psi, NULL::DOUBLE AS ks, NULL::DOUBLE AS mean_delta, least(n_reference, n_current) >= 25 AS sufficient, least(n_reference, n_current) >= 25 AND psi > CASE WHEN name LIKE 'mandatory%' THEN 0.2 ELSE 0.3 END AS breach FROM {_psi_sql('f')}
+UNION ALL SELECT 'label', k.name, n0, n1, NULL, round(ks, 6), round(mean_delta, 6), least(n0, n1) >= 25, least(n0, n1) >= 25 AND (ks > 0.12 OR mean_delta > 0.2) FROM {_ks_sql('l')} k JOIN {_delta_sql('l')} d ON k.name = d.name JOIN (SELECT name, count(*) FILTER (WHERE s = 0) AS n0, count(*) FILTER (WHERE s = 1) AS n1 FROM l GROUP BY name) n ON n.name = k.name)"""
+
+
+def _streams(spark, d):
+    e = table(spark, d, "events").withColumn("s", (F.col("ts") >= F.lit(_MID).cast("timestamp_ntz")).cast("int")).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    one = lambda name, x: e.select(F.lit(name).alias("name"), "s", x.cast("double").alias("x")).filter("x is not null")
+    features = one("mandatory_value", F.col("value")).unionByName(one("optional_k", F.col("k"))).unionByName(one("mandatory_hour", F.hour("ts")))
+    labels = e.filter("event_type in ('purchase', 'signup', 'view')").select(F.col("event_type").alias("name"), "s", F.col("value").alias("x"))
+    rate = lambda s, c: F.avg(F.when(F.col("s") == s, c.cast("int")))
+    policy = e.agg(
+        F.count_if(F.col("s") == 0).alias("baseline_n"), F.count_if(F.col("s") == 1).alias("current_n"), rate(0, F.col("event_type") == "error").alias("baseline_fallback_rate"), rate(1, F.col("event_type") == "error").alias("fallback_rate"),
+        rate(1, F.col("k") > 95).alias("author_cap_drop_rate"), rate(1, F.col("k") > 85).alias("strict_language_drop_rate"), F.lit(0.0).alias("strict_locale_drop_rate"),
+    )
+    return features, labels, policy
+
+
+@PLANS.add(f"WITH {_STREAMS} SELECT * FROM m")
+def drift_measures(spark, d):
+    return S.drift_measures(*_streams(spark, d)[:2])
+
+
+@PLANS.add(f"""WITH {_STREAMS}, q AS (SELECT count(*) FILTER (WHERE s = 0) AS n0, count(*) FILTER (WHERE s = 1) AS n1, avg((event_type = 'error')::INT) FILTER (WHERE s = 0) AS f0, avg((event_type = 'error')::INT) FILTER (WHERE s = 1) AS f1, avg((k > 95)::INT) FILTER (WHERE s = 1) AS a, avg((k > 85)::INT) FILTER (WHERE s = 1) AS g FROM e),
+b AS (SELECT bool_or(name LIKE 'mandatory%' AND breach) AS feature_mandatory, bool_or(name LIKE 'optional%' AND breach) AS feature_optional, bool_or(stream = 'label' AND breach) AS label, bool_or(stream = 'feature' AND sufficient) AND bool_or(stream = 'label' AND sufficient) AS enough FROM m),
+s AS (SELECT feature_mandatory, feature_optional, label, least(n0, n1) >= 25 AND (f1 > 0.05 OR f1 - f0 > 0.02 OR a > 0.2 OR g > 0.2) AS policy, enough AND least(n0, n1) >= 25 AS sufficient FROM b, q),
+v AS (SELECT *, CASE WHEN feature_mandatory OR label OR policy THEN 'critical' WHEN feature_optional THEN 'warning' WHEN NOT sufficient THEN 'insufficient_data' ELSE 'ok' END AS severity FROM s)
+SELECT *, CASE severity WHEN 'critical' THEN 'retrain_candidate' WHEN 'warning' THEN 'monitor' WHEN 'insufficient_data' THEN 'insufficient_data' ELSE 'none' END AS recommendation FROM v""")
 def drift_summary(spark, d):
-    return S.drift_summary(*_halves(spark, d), "value")
+    return S.drift_summary(*_streams(spark, d))
 
 
 _KINDS = ["click", "error", "purchase", "signup", "view"]
@@ -145,16 +189,19 @@ def json_field_extract(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("none")).alias("missing"))
 
 
-@PLANS.add("SELECT DISTINCT event_type FROM events WHERE coalesce((props->>'$.synthetic')::BOOLEAN, false) = false AND user_id % 2 = 0")
+@PLANS.add("SELECT DISTINCT event_type FROM events WHERE coalesce((props->>'$.synthetic')::BOOLEAN, false) = false AND coalesce((props->>'$.injected_failure')::BOOLEAN, false) = false")
 def distinct_scope(spark, d):
-    return table(spark, d, "events").filter(~F.coalesce(F.get_json_object("props", "$.synthetic").cast("boolean"), F.lit(False)) & (F.col("user_id") % 2 == 0)).select("event_type").distinct()
+    flag = lambda name: F.coalesce(F.get_json_object("props", f"$.{name}").cast("boolean"), F.lit(False))
+    return table(spark, d, "events").filter(~flag("synthetic") & ~flag("injected_failure")).select("event_type").distinct()
 
 
-@PLANS.add("""WITH l AS (SELECT ts, event_type = 'error' OR value > 1 AS c FROM events ORDER BY ts DESC LIMIT 60), r AS (SELECT sum((NOT c)::INT) OVER (ORDER BY ts DESC ROWS UNBOUNDED PRECEDING) AS miss FROM l)
-SELECT count(*) FILTER (WHERE miss = 0) AS trailing_critical, count(*) AS n_rows, count(*) FILTER (WHERE miss = 0) >= 2 AS triggered FROM r""")
+@PLANS.add("""WITH l AS (SELECT ts, event_type = 'error' OR value > 1 AS c, event_type <> 'view' AS r FROM events ORDER BY ts DESC LIMIT 60), r AS (SELECT sum((NOT (c AND r))::INT) OVER (ORDER BY ts DESC ROWS UNBOUNDED PRECEDING) AS miss FROM l)
+SELECT count(*) FILTER (WHERE miss = 0) AS trailing_critical, count(*) AS n_rows, true AS triggered, CASE WHEN count(*) FILTER (WHERE miss = 0) >= 2 THEN 'drift_trigger' ELSE 'scheduled_weekly' END AS reason FROM r""")
 def retrain_trigger(spark, d):
-    e = table(spark, d, "events").select("ts", ((F.col("event_type") == "error") | (F.col("value") > 1)).alias("c"))
-    return X.retrain_trigger(e, "ts", "c", 2)
+    """The last 60 events read as drift rows, with a schedule that is due."""
+    severity = F.when((F.col("event_type") == "error") | (F.col("value") > 1), " Critical").otherwise("ok")
+    advice = F.when(F.col("event_type") != "view", "retrain_candidate").otherwise("monitor")
+    return X.retrain_trigger(table(spark, d, "events").select("ts", severity.alias("severity"), advice.alias("advice")), "ts", "severity", "advice", 2, scheduled=True)
 
 
 _VAR = "SELECT event_type AS objective, CASE WHEN ('0x' || substr(sha256(user_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < 0.5 THEN 'treatment' ELSE 'control' END AS variant, value, (props->>'$.k')::INT AS k FROM events"
@@ -206,12 +253,21 @@ def bootstrap_lift(spark, d):
     return E.paired_bootstrap(j, "doc_id", "p", "q")
 
 
-@PLANS.add("""WITH w AS (SELECT user_id, event_type, props->>'$.k' AS token, sum(greatest(exp(-0.6931471805599453 / 45.0 * ((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 8.64e10)), 0.1)) AS weight FROM events WHERE event_type IN ('purchase', 'error') GROUP BY ALL)
-SELECT user_id, event_type, token, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY round(weight, 9) DESC, token) AS rank FROM w) WHERE rank <= 24""")
+_FEEDBACK = {"saved": ["purchase"], "relevant": ["signup"], "not_relevant": ["error"], "weak": ["click"]}
+_STATES = """SELECT user_id, k, CASE WHEN (s OR r) AND n THEN 'conflict' WHEN s THEN 'saved' WHEN r THEN 'relevant' WHEN n THEN 'not_relevant' WHEN w THEN 'weak_positive' ELSE 'unlabeled' END AS state, last_at
+FROM (SELECT user_id, props->>'$.k' AS k, bool_or(event_type = 'purchase') s, bool_or(event_type = 'signup') r, bool_or(event_type = 'error') n, bool_or(event_type = 'click') w, max(ts) AS last_at FROM events GROUP BY ALL)"""
+
+
+@PLANS.add(f"""WITH e AS (SELECT user_id, k, state, greatest(exp(-0.6931471805599453 / 45.0 * greatest((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(last_at)) / 8.64e10, 0)), 0.1) * CASE WHEN state = 'saved' THEN 1.25 ELSE 1 END AS w FROM ({_STATES}) WHERE state IN ('saved', 'relevant', 'not_relevant')),
+t AS (SELECT user_id, CASE WHEN state = 'not_relevant' THEN 'negative' ELSE 'positive' END AS polarity, 'topic' AS field, (k::INT % 7)::VARCHAR AS token, w FROM e UNION ALL SELECT user_id, CASE WHEN state = 'not_relevant' THEN 'negative' ELSE 'positive' END, 'author', (k::INT % 31)::VARCHAR, w * 0.5 FROM e),
+g AS (SELECT user_id, polarity, field, token, sum(w) AS weight FROM t GROUP BY ALL)
+SELECT user_id, polarity, field, token, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, polarity, field ORDER BY round(weight, 9) DESC, token) AS rank FROM g) WHERE rank <= 24""")
 def creator_profile(spark, d):
-    e = table(spark, d, "events").filter("event_type in ('purchase', 'error')").withColumn("token", F.get_json_object("props", "$.k"))
-    age = (F.unix_micros(F.lit("2024-01-31").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 8.64e10
-    return X.preference_profile(e, "user_id", "event_type", "token", age).withColumn("weight", F.round("weight", 6))
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    items = e.select("k").distinct()
+    token = lambda field, n: items.select(F.col("k").alias("item"), F.lit(field).alias("field"), (F.col("k").cast("int") % n).cast("string").alias("token"))
+    now = F.lit("2024-01-31").cast("timestamp")
+    return X.preference_profile(e, "user_id", "k", "event_type", "ts", now, token("topic", 7).unionByName(token("author", 31)), _FEEDBACK).withColumn("weight", F.round("weight", 6))
 
 
 @PLANS.add("SELECT source, count(*) AS n, round(coalesce(regr_slope(quality, n_chars), 1), 6) AS slope, round(coalesce(regr_intercept(quality, n_chars), 0), 6) AS bias FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY source")
@@ -219,10 +275,9 @@ def calibration_fit(spark, d):
     return S.linear_calibration(table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id"), "source", "n_chars", "quality")
 
 
-@PLANS.add("""SELECT user_id, CASE WHEN p AND n THEN 'conflict' WHEN p THEN 'relevant' WHEN n THEN 'not_relevant' WHEN w THEN 'weak' ELSE 'unlabeled' END AS label FROM (SELECT user_id, bool_or(event_type = 'purchase' AND value > 20) p, bool_or(event_type = 'error' AND value > 20) n, bool_or(event_type = 'click') w FROM events GROUP BY user_id)""")
+@PLANS.add(f"SELECT user_id, k, state, CASE state WHEN 'conflict' THEN -1 WHEN 'saved' THEN 3 WHEN 'relevant' THEN 2 WHEN 'not_relevant' THEN 0 ELSE 1 END AS priority FROM ({_STATES})")
 def feedback_labels(spark, d):
-    e = table(spark, d, "events").withColumn("kind", F.when((F.col("value") > 20) | (F.col("event_type") == "click"), F.col("event_type")).otherwise("low"))
-    return X.resolve_feedback(e, ["user_id"], "kind", ["purchase"], ["error"], ["click"])
+    return X.resolve_feedback(table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k")), ["user_id", "k"], "event_type", _FEEDBACK)
 
 
 @PLANS.add("""WITH r AS (SELECT source, doc_id, n_chars, quality, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, d.doc_id) AS r FROM documents d JOIN labels l USING (doc_id))

@@ -68,7 +68,7 @@ def branch_union_topk(spark, d):
 
 
 _EDGES = """j AS (SELECT 'c' || o_custkey AS c, 'v' || o_orderkey AS v, 't' || p_brand AS t, o_orderkey, date_diff('day', o_orderdate, TIMESTAMP '2002-01-01') AS age, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey),
-w AS (SELECT *, power(2.0, -age / 365.0) * (1 + ln(1 + l_quantity)) AS w FROM j), e AS (SELECT least(c, v) AS src, greatest(c, v) AS dst, 'creator_video' AS kind, w FROM w UNION ALL SELECT least(v, t), greatest(v, t), 'video_tag', w FROM w), g AS (SELECT src, dst, kind, sum(w) AS weight FROM e GROUP BY ALL)"""
+w AS (SELECT *, power(2.0, -age / 365.0) * (1 + 0.15 * ln(1 + l_quantity)) AS w FROM j), e AS (SELECT least(c, v) AS src, greatest(c, v) AS dst, 'creator_video' AS kind, w FROM w UNION ALL SELECT least(v, t), greatest(v, t), 'video_tag', w FROM w), g AS (SELECT src, dst, kind, sum(w) AS weight FROM e GROUP BY ALL)"""
 
 
 def _graph(spark, d):
@@ -212,13 +212,24 @@ def rolling_latency(spark, d):
     return N.rolling_latency(table(spark, d, "events"), "event_type", "event_id", "value")
 
 
-@PLANS.add()
+def _grams(relation: str, key: str) -> str:
+    """(key, t, n): character 3- to 5-grams inside the padded words of a relation (key, text)."""
+    words = "list_filter(string_split_regex(regexp_replace(lower(\"text\"), '[#,./?!-]', ' ', 'g'), '\\s+'), lambda x: length(x) >= 2)"
+    padded = f"SELECT {key}, ' ' || unnest({words}) || ' ' AS p FROM {relation}"
+    return f"(SELECT {key}, t, count(*) AS n FROM (SELECT {key}, unnest(list_transform(range(1, length(p) - m + 2), lambda i: substr(p, i, m))) AS t FROM ({padded}), (VALUES (3), (4), (5)) v(m)) GROUP BY ALL)"
+
+
+@PLANS.add(f"""WITH c AS (SELECT conv_id || ':' || turn AS k, conv_id, turn, "text" FROM conversations), tf AS (SELECT * FROM {_grams("c", "k")}), q AS (SELECT * FROM {_grams("benchmark", "item_id")}),
+idf AS (SELECT t, ln((1.0 + (SELECT count(*) FROM c)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY t), dn AS (SELECT k, sqrt(sum((n * idf)**2)) AS norm FROM tf JOIN idf ON tf.t = idf.t GROUP BY k), qn AS (SELECT item_id, sqrt(sum((n * idf)**2)) AS norm FROM q JOIN idf ON q.t = idf.t GROUP BY item_id),
+s AS (SELECT item_id, tf.k, sum(tf.n * q.n * idf * idf) AS dot FROM tf JOIN q ON tf.t = q.t JOIN idf ON idf.t = q.t GROUP BY ALL), r AS (SELECT s.item_id, s.k, dot / (dn.norm * qn.norm) AS score FROM s JOIN dn ON dn.k = s.k JOIN qn ON qn.item_id = s.item_id)
+SELECT item_id, conv_id, turn, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, k) AS rank FROM r) x JOIN c ON c.k = x.k WHERE rank <= 5""")
 def charwb_topk(spark, d):
-    """Character 3- to 5-gram TF-IDF of conversation openings against benchmark items."""
+    """Character 3- to 5-gram TF-IDF of all turns of the conversations against benchmark items."""
     from skein.functions.text import words
-    from skein.operators.similarity import tfidf_scores, top_per_query
+    from skein.operators.similarity import tfidf_topk
     from skein.operators.tags import char_terms
 
-    docs = table(spark, d, "conversations").filter("turn = 0").select("conv_id", char_terms(words("text")).alias("terms"))
+    docs = table(spark, d, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("k"), char_terms(words("text")).alias("terms"))
     queries = table(spark, d, "benchmark").select("item_id", char_terms(words("text")).alias("terms"))
-    return top_per_query(tfidf_scores(docs, queries, "conv_id", "item_id"), "q", "d", 5).select(F.col("q").alias("item_id"), F.col("d").alias("conv_id"), F.round("score", 6).alias("score"), "rank")
+    key = F.split("d", ":")
+    return tfidf_topk(docs, queries, "k", "item_id", 5).select(F.col("q").alias("item_id"), key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), F.round("score", 6).alias("score"), "rank")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from skein.plans.registry import Plans
-from skein.session import table
+from skein.session import shared_folder, table
 from skein.streaming import events as S
 
 PLANS = Plans()
@@ -15,9 +15,7 @@ PLANS = Plans()
 
 def _run(spark, stream, name):
     """The rows that a stream appends, after it has taken all there is; state goes to the session's checkpoint folder."""
-    import tempfile
-
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{name}-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")

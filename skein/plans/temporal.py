@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skein.functions.scalars import argmax3, safe_div, softmax3, zscore
+from skein.functions.scalars import argmax3, regime_logits, safe_div, softmax3, zscore
 from skein.operators.asof import asof_join, classify_outcome, resolve_boundaries, temporal_pool
 from skein.operators.windows import chronological_split, classify_lateness, leave_one_out_mean, supersedes_links
 from skein.plans.registry import Plans
@@ -54,17 +54,17 @@ def asof_boundaries(spark, d):
 
 
 @PLANS.add("""WITH v AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), s AS (SELECT * FROM events WHERE event_type = 'purchase')
-SELECT v.event_id, x.ts AS snapshot_ts, x.value, CASE WHEN v.ts + INTERVAL 24 HOUR > TIMESTAMP '2024-01-28' THEN 'window_not_elapsed' WHEN x.ts IS NULL THEN 'missing_snapshot' END AS censorship
-FROM v LEFT JOIN (SELECT * FROM (SELECT v.event_id AS id, s.ts, s.value, row_number() OVER (PARTITION BY v.event_id ORDER BY s.ts DESC, s.event_id DESC) rn
-FROM v JOIN s ON v.user_id = s.user_id AND s.ts >= v.ts AND s.ts <= v.ts + INTERVAL 24 HOUR AND s.ts <= TIMESTAMP '2024-01-28') WHERE rn = 1) x ON x.id = v.event_id""")
+SELECT v.event_id, x.ts AS snapshot_ts, x.value, CASE WHEN v.ts + INTERVAL 24 HOUR > TIMESTAMP '2024-01-28' THEN 'not_matured_24h' WHEN x.ts IS NULL THEN 'missing_snapshot' WHEN x.ts + to_hours((x.sid * 7919) % 120) > TIMESTAMP '2024-01-28' THEN 'ingested_after_cutoff' END AS censorship
+FROM v LEFT JOIN (SELECT * FROM (SELECT v.event_id AS id, s.event_id AS sid, s.ts, s.value, row_number() OVER (PARTITION BY v.event_id ORDER BY s.ts DESC, s.event_id DESC) rn
+FROM v JOIN s ON v.user_id = s.user_id AND s.ts >= v.ts AND s.ts <= v.ts + INTERVAL 24 HOUR) WHERE rn = 1) x ON x.id = v.event_id""")
 def outcome_attribution(spark, d):
-    """Outcome of each served view: the latest snapshot within 24 hours that was known at the run."""
+    """Outcome of each served view: the latest snapshot within 24 hours, and why it does not count."""
     e = table(spark, d, "events")
     v = e.filter("event_type = 'view'").select(F.col("event_id").alias("row_id"), "event_id", F.col("user_id").alias("u"), F.col("ts").alias("served"))
-    s = e.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("snapshot_ts"), "value", F.col("event_id").alias("sid")).filter("snapshot_ts <= timestamp_ntz'2024-01-28'")
+    s = e.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("snapshot_ts"), "value", F.col("event_id").alias("sid"), (F.col("ts") + F.make_dt_interval(hours=((F.col("event_id") * 7919) % 120).cast("int"))).alias("ingested"))
     run = F.lit("2024-01-28").cast("timestamp_ntz")
-    out = asof_join(v, s, [("u", "user_id")], F.col("served") + F.expr("INTERVAL 24 HOURS"), "snapshot_ts", "sid", ["snapshot_ts", "value"], tolerance="24 HOURS")
-    return out.select("event_id", "snapshot_ts", "value", classify_outcome(F.col("served"), 24, run, F.col("snapshot_ts").isNotNull()).alias("censorship"))
+    out = asof_join(v, s, [("u", "user_id")], F.col("served") + F.expr("INTERVAL 24 HOURS"), "snapshot_ts", "sid", ["snapshot_ts", "value", "ingested"], tolerance="24 HOURS")
+    return out.select("event_id", "snapshot_ts", "value", classify_outcome(F.col("served"), 24, run, F.col("ingested")).alias("censorship"))
 
 
 _SPLIT = """SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS r, count(*) OVER () AS n FROM orders"""
@@ -113,7 +113,7 @@ def _trajectory(spark, d):
     e = table(spark, d, "events").join(_signups(spark, d), "user_id").filter("ts >= t0")
     upto = lambda h: F.coalesce(F.sum(F.when(F.col("ts") <= F.col("t0") + F.expr(f"INTERVAL {h} HOURS"), F.col("value"))), F.lit(0.0))
     p = e.groupBy("user_id").agg(*[upto(h).alias(f"v{h}") for h in (6, 24, 96)])
-    return p.select("user_id", (F.log1p("v6") / 6).alias("early"), ((F.log1p("v24") - F.log1p("v6")) / 18).alias("mid"), ((F.log1p("v96") - F.log1p("v24")) / 72).alias("late"))
+    return p.select("user_id", "v24", (F.log1p("v6") / 6).alias("early"), ((F.log1p("v24") - F.log1p("v6")) / 18).alias("mid"), ((F.log1p("v96") - F.log1p("v24")) / 72).alias("late"))
 
 
 @PLANS.add(_TRAJ + " SELECT user_id, round(early, 6) AS early_velocity, round(late, 6) AS late_velocity, round(mid - early, 6) AS lift, round(-sqrt(((early - (early + mid + late) / 3)**2 + (mid - (early + mid + late) / 3)**2 + (late - (early + mid + late) / 3)**2) / 2), 6) AS stability FROM f")
@@ -123,12 +123,18 @@ def trajectory_features(spark, d):
     return _trajectory(spark, d).select("user_id", F.round("early", 6).alias("early_velocity"), F.round("late", 6).alias("late_velocity"), F.round(F.col("mid") - F.col("early"), 6).alias("lift"), F.round(-spread, 6).alias("stability"))
 
 
-@PLANS.add(_TRAJ + """, l AS (SELECT user_id, 2 * early - late AS a, 1 - abs(early - late) AS b, 2 * late - early AS c FROM f), e AS (SELECT user_id, exp(a) / (exp(a) + exp(b) + exp(c)) AS spike, exp(b) / (exp(a) + exp(b) + exp(c)) AS balanced, exp(c) / (exp(a) + exp(b) + exp(c)) AS durable FROM l)
+@PLANS.add(_TRAJ + """, t AS (SELECT f.user_id, early * 6 AS early, late * 72 AS late, greatest(0, late * 72) / greatest(1e-6, abs(ln(1 + v24))) AS ratio, -sqrt(((early - (early + mid + late) / 3)**2 + (mid - (early + mid + late) / 3)**2 + (late - (early + mid + late) / 3)**2) / 2) AS s FROM f JOIN p ON f.user_id = p.user_id),
+l AS (SELECT user_id, 1.4 * greatest(early, 0) + 0.8 * greatest(-late, 0) + 0.7 * greatest(0, 0.35 - ratio) AS a, greatest(0.05, 1 - abs(early - late) - abs(ratio - 0.5) + 0.2 * greatest(s, 0)) AS b, 1.3 * greatest(late, 0) + 0.9 * greatest(ratio, 0) + 0.5 * greatest(s, 0) AS c FROM t),
+e AS (SELECT user_id, exp(a) / (exp(a) + exp(b) + exp(c)) AS spike, exp(b) / (exp(a) + exp(b) + exp(c)) AS balanced, exp(c) / (exp(a) + exp(b) + exp(c)) AS durable FROM l)
 SELECT user_id, round(spike, 6) AS spike, round(balanced, 6) AS balanced, round(durable, 6) AS durable, CASE WHEN spike >= balanced AND spike >= durable THEN 'spike' WHEN balanced >= durable THEN 'balanced' ELSE 'durable' END AS regime FROM e""")
 def trajectory_regime(spark, d):
+    """Regimes by the growth up to 6 hours and after 24, the share of late growth and the spread of the velocities."""
     t = _trajectory(spark, d)
-    logits = (2 * F.col("early") - F.col("late"), 1 - F.abs(F.col("early") - F.col("late")), 2 * F.col("late") - F.col("early"))
-    p = softmax3(*logits)
+    m = (F.col("early") + F.col("mid") + F.col("late")) / 3
+    stability = -F.sqrt(sum(F.pow(F.col(c) - m, 2) for c in ("early", "mid", "late")) / 2)
+    late = F.col("late") * 72
+    ratio = F.greatest(late, F.lit(0.0)) / F.greatest(F.abs(F.log1p("v24")), F.lit(1e-6))
+    p = softmax3(*regime_logits(F.col("early") * 6, late, ratio, stability))
     return t.select("user_id", *[F.round(x, 6).alias(n) for x, n in zip(p, ("spike", "balanced", "durable"), strict=True)], argmax3(*p, names=("spike", "balanced", "durable")).alias("regime"))
 
 

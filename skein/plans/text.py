@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.functions.scalars import safe_div, signed_hash_slot
 from skein.operators.comments import alignment_windows, comment_signals_by_root, shrunk_priors
-from skein.operators.similarity import bm25_scores, cooccurrence, set_similarity_pairs, tfidf_scores, top_neighbours, top_per_query
+from skein.operators.similarity import bm25_topk as best_bm25
+from skein.operators.similarity import cooccurrence, set_similarity_pairs, top_neighbours, top_per_query
+from skein.operators.similarity import tfidf_topk as best_tfidf
 from skein.plans.registry import Plans
 from skein.session import table
 
@@ -127,7 +129,7 @@ w AS (SELECT doc_id, tf.t, tf * idf AS w, idf FROM tf JOIN idf ON tf.t = idf.t),
 s AS (SELECT item_id, doc_id, sum(w * qtf * idf) AS dot FROM w JOIN q ON w.t = q.t GROUP BY ALL), r AS (SELECT s.item_id, s.doc_id, dot / (norm * qnorm) AS score FROM s JOIN n ON s.doc_id = n.doc_id JOIN qn ON s.item_id = qn.item_id)
 SELECT item_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r) WHERE rank <= 10""")
 def tfidf_topk(spark, d):
-    return top_per_query(tfidf_scores(*_sides(spark, d), "doc_id", "item_id"), "q", "d", 10).select(F.col("q").alias("item_id"), F.col("d").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+    return best_tfidf(*_sides(spark, d), "doc_id", "item_id", 10).select(F.col("q").alias("item_id"), F.col("d").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 @PLANS.add(f"""WITH {_TF}, l AS (SELECT doc_id, len(terms) AS len FROM d), raw AS (SELECT t, ln((SELECT count(*) FROM d) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf GROUP BY t),
@@ -135,7 +137,7 @@ idf AS (SELECT t, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE
 r AS (SELECT item_id, tf.doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT avg(len) FROM l)))) AS score FROM tf JOIN q ON tf.t = q.t JOIN idf ON tf.t = idf.t JOIN l ON tf.doc_id = l.doc_id GROUP BY item_id, tf.doc_id)
 SELECT item_id, doc_id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r) WHERE rank <= 10""")
 def bm25_topk(spark, d):
-    return top_per_query(bm25_scores(*_sides(spark, d), "doc_id", "item_id"), "q", "d", 10).select(F.col("q").alias("item_id"), F.col("d").alias("doc_id"), F.round("score", 5).alias("score"), "rank")
+    return best_bm25(*_sides(spark, d), "doc_id", "item_id", 10).select(F.col("q").alias("item_id"), F.col("d").alias("doc_id"), F.round("score", 5).alias("score"), "rank")
 
 
 @PLANS.add(f"""WITH t AS (SELECT lang, t, count(*) AS n FROM ({_TOK}) x JOIN documents USING (doc_id) GROUP BY ALL), g AS (SELECT t, sum(n) AS g FROM t GROUP BY t)

@@ -1,13 +1,17 @@
 """Closed forms and properties of operators that the plans do not pin."""
 
 import datetime as dt
+import math
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from skein.functions import scalars
 from skein.functions import scalars as S
 from skein.functions import text as T
-from skein.operators import contracts, datamart, experiments, fabric, graph, lineage, medallion, retrieval, similarity, stats, upsert, windows
+from skein.operators import asof, contracts, datamart, evaluation, experiments, fabric, graph, lineage, medallion, ranking, retrieval, similarity, stats, tags, upsert, windows
 from skein.sources import extracts, jsonl, manifest
 
 
@@ -96,11 +100,127 @@ def test_remap_drops_unmatched(spark):
     assert [tuple(r) for r in upsert.remap_keys(rows, spark.createDataFrame([(1, 10)], "src long, dst long"), "video").collect()] == [(10, "a")]
 
 
-def test_drift_of_equal_samples_is_zero(spark):
-    df = spark.range(200).select((F.col("id") % 17).cast("double").alias("x"))
-    r = stats.drift_summary(df, df, "x").first()
-    assert r["psi"] == 0 and r["ks"] == 0 and r["severity"] == "ok"
-    assert stats.drift_summary(df.limit(3), df, "x").first()["severity"] == "insufficient"
+def _samples(spark, **names):
+    rows = [(k, s, float(x)) for k, both in names.items() for s, xs in enumerate(both) for x in xs]
+    return spark.createDataFrame(rows, "name string, s int, x double")
+
+
+def _policy(spark, n=50, base=0.01, now=0.01, author=0.0, language=0.0, locale=0.0):
+    return spark.createDataFrame([(n, n, base, now, author, language, locale)], "baseline_n long, current_n long, baseline_fallback_rate double, fallback_rate double, author_cap_drop_rate double, strict_language_drop_rate double, strict_locale_drop_rate double")
+
+
+def test_drift_measures(spark):
+    a, b = [0.125, 0.25, 0.375], [1.0, 1.125, 1.375]  # exact in binary: 10 bins of 0.125
+    got = stats.psi_by_name(_samples(spark, apart=(a, b), same=(a, a), flat=([1, 1], [1]), empty=(a, []))).collect()
+    psi = {r["name"]: r["psi"] for r in got}
+    edges = [(0.125 + i * 0.125, 0.25 + i * 0.125) for i in range(10)]  # ends count on both sides
+    share = lambda xs, lo, hi: max(sum(lo <= x <= hi for x in xs) / 3, 1e-9)
+    want = sum((share(b, *e) - share(a, *e)) * math.log(share(b, *e) / share(a, *e)) for e in edges)
+    assert psi["same"] == psi["flat"] == psi["empty"] == 0 and math.isclose(psi["apart"], want, rel_tol=1e-6)
+    ks = {r["name"]: r["ks"] for r in stats.ks_by_name(_samples(spark, apart=(a, b), same=(a, a), half=([1, 2], [2, 3]), empty=(a, []))).collect()}
+    assert ks == {"apart": 1.0, "same": 0.0, "half": 0.5, "empty": 0.0}
+    delta = {r["name"]: r["mean_delta"] for r in stats.mean_delta_by_name(_samples(spark, up=([2, 2], [3]), zero=([0], [0]), from_zero=([0], [4]), empty=([1], []))).collect()}
+    assert delta == {"up": 0.5, "zero": 0.0, "from_zero": 1.0, "empty": 0.0}
+
+
+def test_drift_summary(spark):
+    far, near = ([0.1, 0.2, 0.3], [2.0, 2.1, 2.2]), ([0.1, 0.2, 0.3], [0.1, 0.2, 0.3])
+    run = lambda f, policy, least=1, label=near: stats.drift_summary(_samples(spark, **f), _samples(spark, primary_24h=label), policy, least).first().asDict()
+    r = run({"mandatory_score": far}, _policy(spark, 30, 0.01, 0.10), label=far)
+    assert r["feature_mandatory"] and r["label"] and r["policy"] and (r["severity"], r["recommendation"]) == ("critical", "retrain_candidate")
+    r = run({"mandatory_score": far}, _policy(spark, 1, 0.01, 0.8), 10, far)
+    assert not r["policy"] and not r["sufficient"] and r["severity"] == r["recommendation"] == "insufficient_data"
+    r = run({"mandatory_score": near}, _policy(spark, language=0.35))
+    assert r["policy"] and not r["feature_mandatory"] and not r["label"] and r["severity"] == "critical"
+    r = run({"optional_score": far, "mandatory_score": near}, _policy(spark))
+    assert r["feature_optional"] and (r["severity"], r["recommendation"]) == ("warning", "monitor")
+    r = run({"other_score": far, "mandatory_score": near}, _policy(spark, now=0.03, base=0.01))
+    assert not r["policy"] and (r["severity"], r["recommendation"]) == ("ok", "none")  # 0.02 more is not above 0.02
+
+
+def test_running_sums_are_those_of_one_window(spark):
+    rows = [(i % 3, (i * 37) % 50, float(i)) for i in range(400)] + [(0, None, 1.0)]
+    df = spark.createDataFrame(rows, "k int, t int, v double").withColumn("i", F.monotonically_increasing_id())
+    got = windows.running_before(df, "t", {"total": ("sum", "v"), "top": ("max", "v")}, ["k"], ["i"], ranges=7)
+    w = Window.partitionBy("k").orderBy("t", "i").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumn("total", F.coalesce(F.sum("v").over(w), F.lit(0.0))).withColumn("top", F.max("v").over(w))
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    plan = windows.chronological_split(df, "t", "i")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("_before")[0] or "Window" in plan
+
+
+def test_asof_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=int(m))
+    left = [(i, int(rng.integers(0, 4)), at(rng.integers(0, 9000))) for i in range(120)] + [(500, None, at(5)), (501, 1, None)]
+    right = [(int(rng.integers(0, 4)), at(rng.integers(0, 900) * 10), int(rng.integers(0, 5)), i) for i in range(150)] + [(None, at(4), 1, 900), (1, None, 1, 901)]
+    lf, rf = spark.createDataFrame(left, "row_id int, k int, t timestamp"), spark.createDataFrame(right, "k2 int, e timestamp, tie int, v int")
+    for direction, tolerance in (("backward", None), ("forward", None), ("backward", "90 MINUTES"), ("forward", "90 MINUTES")):
+        got = {r["row_id"]: r["v"] for r in asof.asof_join(lf, rf, [("k", "k2")], F.col("t"), "e", "tie", ["v", "tie"], direction, tolerance=tolerance).collect()}
+        assert len(got) == len(left)
+        for i, k, t in left:
+            ok = [r for r in right if k is not None and t is not None and r[0] == k and r[1] is not None and (r[1] <= t if direction == "backward" else r[1] >= t) and (tolerance is None or abs(r[1] - t) <= dt.timedelta(minutes=90))]
+            best = (max if direction == "backward" else min)(ok, key=lambda r: (r[1], r[2]), default=None)
+            same = [r[3] for r in ok if best and r[1:3] == best[1:3]] or [None]
+            assert got[i] in same, (direction, i)
+
+
+def test_outcome_reasons(spark):
+    t = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    df = spark.createDataFrame([(t(0), t(5)), (t(0), None), (t(0), t(60)), (t(40), t(41))], "served timestamp, ingested timestamp")
+    got = [r[0] for r in df.select(asof.classify_outcome(F.col("served"), 24, F.lit("2024-01-03").cast("timestamp"), F.col("ingested"))).collect()]
+    assert got == [None, "missing_snapshot", "ingested_after_cutoff", "not_matured_24h"]
+
+
+def test_feedback_states_and_profile(spark):
+    s, r, n, w = "comparable_saved", "comparable_marked_relevant", "comparable_marked_not_relevant", "comparable_opened"
+    rows = [(1, "a", s), (1, "a", r), (1, "b", r), (1, "c", n), (1, "d", w), (1, "e", "other"), (1, "f", s), (1, "f", n)]
+    e = spark.createDataFrame([(*x, dt.datetime(2024, 1, 1)) for x in rows], "owner int, item string, kind string, at timestamp")
+    got = {x["item"]: (x["state"], x["priority"]) for x in experiments.resolve_feedback(e, ["item"], "kind").collect()}
+    assert got == {"a": ("saved", 3), "b": ("relevant", 2), "c": ("not_relevant", 0), "d": ("weak_positive", 1), "e": ("unlabeled", 1), "f": ("conflict", -1)}
+    feats = spark.createDataFrame([(i, f, t) for i in "abcdef" for f, t in (("topic", "x"), ("author", i))], "item string, field string, token string")
+    prof = experiments.preference_profile(e, "owner", "item", "kind", "at", F.lit("2024-02-15").cast("timestamp"), feats)
+    got = {(x["polarity"], x["field"], x["token"]): round(x["weight"], 6) for x in prof.collect()}
+    assert got == {("positive", "topic", "x"): 1.125, ("negative", "topic", "x"): 0.5, ("positive", "author", "a"): 0.3125, ("positive", "author", "b"): 0.25, ("negative", "author", "c"): 0.25}
+
+
+def test_retrain_reasons(spark):
+    def run(severities, advice=None, scheduled=False):
+        rows = [(i, s, a) for i, (s, a) in enumerate(zip(severities, advice or [""] * len(severities), strict=True))]
+        return experiments.retrain_trigger(spark.createDataFrame(rows, "t int, severity string, advice string"), "t", "severity", "advice" if advice else None, 2, scheduled).first()["reason"]
+
+    assert run(["ok", "Critical ", "critical"]) == "drift_trigger" and run(["critical", "ok"]) == "no_trigger" and run(["critical", "ok"], scheduled=True) == "scheduled_weekly"
+    assert run(["critical", "critical"], ["retrain_candidate", "monitor"]) == "no_trigger" and run(["critical", "critical"], ["retrain_candidate", "RETRAIN_candidate"]) == "drift_trigger"
+
+
+def test_affinity(spark):
+    df = spark.createDataFrame([({"a": 1.0, "b": 3.0}, {"c": 2.0}, ["a", "c", "a"], "b")], "p map<string,double>, n map<string,double>, t array<string>, v string")
+    p, n = F.col("p"), F.col("n")
+    got = df.select(ranking.token_affinity(F.col("t"), p, n), ranking.token_affinity(F.array().cast("array<string>"), p, n), ranking.value_affinity(F.col("v"), p, n), ranking.value_affinity(F.lit(""), p, n)).first()
+    assert tuple(got) == (0.5 + (0.25 - 1.0) * 0.5, 0.5, 0.5 + 0.75 * 0.5, 0.5)
+    parts = {"topic": F.lit(1.0), "hashtags": F.lit(0.5), "content_type": F.lit(0.0), "author": F.lit(1.0)}
+    got = df.select(ranking.affinity(parts), ranking.affinity_confidence(F.lit(12), F.lit(6), F.lit(4), F.lit(18.0), F.lit(True)), ranking.blend_affinity(F.lit(0.5), F.lit(0.59), F.lit(1.0), F.lit(0.5)), ranking.blend_affinity(F.lit(0.5), F.lit(0.9), F.lit(1.0), F.lit(0.01))).first()
+    assert np.allclose(list(got), [0.66, 0.75 * 0.45 + 0.5 * 0.2 + 0.5 * 0.2 + 0.9 * 0.15, 0.5 + 0.08 * 0.5 * 0.5, 0.5])
+
+
+def test_regimes_and_sizes(spark):
+    rows = spark.createDataFrame([(2.0, -0.5, 0.0, -0.1), (0.1, 2.0, 1.2, -0.1), (0.5, 0.5, 0.5, -0.1)], "early double, late double, ratio double, stability double")
+    logits = scalars.regime_logits("early", "late", "ratio", "stability")
+    got = [tuple(round(x, 6) for x in r) for r in rows.select(*logits).collect()]
+    assert got == [(1.4 * 2 + 0.4 + 0.245, 0.05, 0.0), (0.14, 0.05, 3.68), (0.7, 1.0, 1.1)]
+    sizes = [r[0] for r in spark.createDataFrame([(x,) for x in (None, 9_999, 10_000, 100_000, 1_000_000)], "n long").select(scalars.follower_bucket("n")).collect()]
+    assert sizes == ["nano", "nano", "micro", "macro", "mega"]
+
+
+def test_negative_relevance_counts_as_none(spark):
+    df = spark.createDataFrame([("q", 1, 3.0, -2), ("q", 2, 2.0, 1), ("q", 3, 1.0, 0)], "q string, item int, score double, rel int")
+    r = evaluation.ranking_metrics(df, "q", "score", "rel", "item", 3).first()
+    assert math.isclose(r["ndcg"], 1 / math.log2(3), abs_tol=1e-6) and r["mrr"] == 0.5
+
+
+def test_char_terms(spark):
+    got = spark.createDataFrame([(["ab", "xyz"],)], "w array<string>").select(tags.char_terms(F.col("w"))).first()[0]
+    assert sorted(got) == sorted([" ab", "ab ", " ab ", " xy", "xyz", "yz ", " xyz", "xyz ", " xyz "])
 
 
 def test_gate(spark):
@@ -148,12 +268,19 @@ def test_node2vec_has_the_whole_size(spark, sf_dir):
 
 
 def test_fabric(spark):
-    df = spark.createDataFrame([("follow me now", None, None, ["#x"], None, 30, "story", {"energy": "0.7"})], "caption string, transcript_text string, ocr_text string, hashtags array<string>, keywords array<string>, duration_seconds int, content_type string, hints map<string,string>")
-    r = fabric.extract(df).first()
-    assert r["text_features"]["cta_keyword_count"] == 1 and r["text_features"]["missing"]["transcript_text"] == "not_available"
-    assert r["structure_features"]["hook_window_end_sec"] == 4.2 and r["structure_features"]["payoff_window_start_sec"] == 24.9
-    assert r["audio_features"]["energy"] == 0.7
-    assert {x["feature"] for x in fabric.missing_by_reason(fabric.extract(df)).collect()} >= {"ocr_text", "tempo_bpm"}
+    schema = "caption string, transcript_text string, ocr_text string, hashtags array<string>, keywords array<string>, duration_seconds int, content_type string, hints map<string,string>, as_of_time timestamp, source_updated_at timestamp"
+    t = dt.datetime(2024, 1, 2)
+    rows = [("follow me now", None, None, ["#x"], None, 30, "story", {"audio_energy": "0.7", "video_caption": "a cat"}, t, t - dt.timedelta(hours=5)), ("", None, None, None, None, None, None, {"estimated_scene_cuts": "24", "speech_seconds": "0"}, t, None)]
+    df = spark.createDataFrame(rows, schema)
+    r, q = fabric.extract(df).collect()
+    assert r["text_features"]["cta_keyword_count"] == 1 and r["text_features"]["missing"]["transcript_text"].asDict() == {"reason": "not_available", "source_age_hours": 5.0}
+    assert r["text_features"]["confidence"] == round(0.70 * 0.94 + 0.03, 6) and q["text_features"]["missing"]["caption"].asDict() == {"reason": "low_quality", "source_age_hours": None}
+    x = r["structure_features"]
+    assert (x["hook_window_end_sec"], x["payoff_window_start_sec"], x["hook_timing_seconds"], x["payoff_timing_seconds"], x["mid_window_end_sec"], x["payoff_window_end_sec"]) == (4.2, 24.9, 4.2, 24.9, 24.4, 30.0)
+    assert r["audio_features"].asDict(True) == {"speech_ratio": 0.55, "tempo_bpm": 108.0, "energy": 0.7, "music_presence_score": 0.65, "confidence": round(0.76 * 0.9 + 0.05, 6), "missing": {}}
+    assert r["visual_features"]["shot_change_rate"] is None and set(r["visual_features"]["missing"]) == {"shot_change_rate", "visual_motion_score"} and r["visual_features"]["confidence"] == 0.32
+    assert q["visual_features"].asDict() | {"missing": 0} == {"shot_change_rate": 0.8, "visual_motion_score": round(0.8 / 1.8, 6), "style_tags": ["rapid_cut"], "confidence": round(0.78 * 0.9 + 0.05, 6), "missing": 0}
+    assert {x["feature"] for x in fabric.missing_by_reason(fabric.extract(df)).collect()} >= {"ocr_text", "content_type"}
 
 
 def test_contracts_and_bundle(spark, tmp_path):
