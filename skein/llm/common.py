@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,26 +10,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.session import shared_folder
+
 #: Largest amount of raw text, in bytes, that a Python worker holds at once.
 SLICE_BYTES = 8 << 20
 #: Rows of a file where the number of rows is known beforehand.
 FILE_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where that is unset, as in tests on one machine, is a temporary folder set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
-        path = context.getCheckpointDir()
-    return path.rstrip("/")
-
-
 def _fs(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
@@ -46,7 +33,7 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     if rows is not None:
         df = df.repartition(-(-rows // FILE_ROWS) or 1)
-    path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/skein-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     fs, jpath = _fs(spark, path)
     fs.deleteOnExit(jpath)
