@@ -55,8 +55,7 @@ def test_odd_rows(spark, rows):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (None, "x" * 200)], "item_id long, text string")
     for out in run_all(spark, docs, labels, bench):
         got = out.collect()
-        per_row = "n_base" not in out.columns
-        assert len(got) == (len(rows) if per_row or not rows else len(rows) - 1), out.columns
+        assert len(got) == len(rows), out.columns
 
 
 def test_odd_rows_in_stages(spark):
@@ -98,6 +97,48 @@ def test_op1_distributed_raking_is_the_same(spark, sf_dir):
     assert np.allclose(a.sort_index(), b.sort_index())
 
 
+def test_op1_against_brute_force(spark, sf_dir):
+    """Cells, raking, scale and draws recomputed in plain Python; a target of 0 and a conflict among targets."""
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in sample(spark, sf_dir).collect()] + [(None, f"text {i} without id", "en", "web") for i in range(200)] + [(900, "", "en", "s"), (901, None, None, None)]
+    want = {"source": {"web": 0.5}, "lang": {"de": 0.0}, "topic": None}
+    out = mixing.weigh(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), want).toPandas()
+    assert out.notna().drop(columns="doc_id").all(axis=None) and (out[out["lang"] == "de"].query("n_tokens > 0").probability == 0).all()
+    cells = out.groupby(["source", "lang", "topic"]).n_tokens.sum()
+    cells = {k: float(v) for k, v in cells.items() if v}
+    total = sum(cells.values())
+    factor = dict.fromkeys(cells, 1.0)
+    aims = []
+    for d, m in enumerate(mixing.MARGINS):
+        share = collections.Counter()
+        for k, v in cells.items():
+            share[k[d]] += v / total
+        given = want[m]
+        raw = {v: x ** mixing.POWERS[m] if given is None else given.get(v, x) for v, x in share.items()}
+        aims.append({v: x / sum(raw.values()) for v, x in raw.items()})
+    for _ in range(400):
+        for d in range(3):
+            have = collections.Counter()
+            for k, v in cells.items():
+                have[k[d]] += v * factor[k]
+            for k in cells:
+                factor[k] *= aims[d][k[d]] * total / have[k[d]] if have[k[d]] else 0.0
+    for r in out.itertuples():
+        assert math.isclose(r.factor, factor.get((r.source, r.lang, r.topic), 0.0) if r.n_tokens else 0.0, rel_tol=1e-6, abs_tol=1e-12)
+    assert math.isclose((out.n_tokens * out.probability).sum(), mixing.KEEP * total, rel_tol=1e-6)
+    nameless = out[out.doc_id.isna() & (out.n_tokens > 0)]
+    assert 0 < nameless.kept.sum() < len(nameless) or nameless.probability.min() == 1
+    told = {(r["margin"], r["value"]): r for r in mixing.margins(spark.createDataFrame(out.drop(columns="doc_id"))).collect()}
+    assert told["lang", "de"]["weighted"] == 0 and all(abs(told["topic", t]["weighted"] - share) < 1e-6 for t, share in aims[2].items())  # the margin scaled last
+
+
+def test_op1_clashing_columns(spark, sf_dir):
+    docs = sample(spark, sf_dir)
+    more = docs.selectExpr("*", "'a' AS _source", "'b' AS _skein_source", "1 AS factor", "2 AS Mix_weight", "3 AS mass")
+    out = mixing.sample_mixture(more)
+    assert out.columns == [*docs.columns, "_source", "_skein_source", "factor", "mass", "mix_tokens", "mix_probability", "mix_weight"]
+    assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in mixing.sample_mixture(docs).collect()}
+
+
 def brute_components(texts, k, percent):
     sets = {}
     for i, t in texts.items():
@@ -135,6 +176,31 @@ def test_op2_components(spark, sf_dir):
         assert (r["component_id"], r["n_shingles"], r["kept"]) == (want[r["doc_id"]], sizes[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
 
 
+@pytest.mark.parametrize(("star_rounds", "block"), [(0, 7), (2, 512)])
+def test_op2_hot_group(spark, star_rounds, block):
+    """One large group around a base: near it a component, further out texts that share buckets but no link."""
+    rng = np.random.default_rng(6)
+    base = prose(10, 120, 5000).split()
+    texts = {}
+    for n in range(160):
+        w = list(base)
+        for j in rng.choice(len(w), int(rng.integers(0, 12)), replace=False):
+            w[j] = f"r{int(rng.integers(0, 9))}"
+        texts[n] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want, _ = brute_components(texts, 3, 85)
+    assert 1 < len(set(want.values())) < 160
+    got = {r["doc_id"]: r["component_id"] for r in neardup.components(docs, 3, 85, star_rounds, block).collect()}
+    assert got == want
+
+
+def test_drop_near_copies_keeps_one_row(spark):
+    text, other = prose(3, 60), prose(4, 60)
+    rows = [(7, text), (7, text), (3, text), (None, text), (None, text), (None, other), (None, other), (9, ""), (9, ""), (4, "ab"), (4, "cd")]
+    got = [(r["doc_id"], r["text"]) for r in neardup.drop_near_copies(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(3, text), (None, other), (9, ""), (4, "ab"), (4, "cd")], key=str)
+
+
 def test_op2_sketch_estimates_similarity():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 2**63, 600).astype(np.uint64)
@@ -229,10 +295,87 @@ def test_op5_repeated_rows_hide_no_neighbours(spark):
     assert sorted(map(tuple, many.collect())) == once and len(once) == 3 * 20
 
 
-def test_op6_alignment():
-    rows = [(i, i + 5, 100 + i, 6, False, False) for i in range(4)] + [(9, 0, 200, 12, False, False), (20, 40, 300, 5, False, False)]
-    gone, _, n = lines.align(rows, 8)
-    assert gone == {100, 101, 102, 103, 200} and n == 2
+def naive_patience(a, b):
+    """Patience alignment by its definition, recursively on copies of the lists."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(x + 1, y + 1) for x, y in naive_patience(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return naive_patience(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    once = [(x, b.index(h)) for x, h in enumerate(a) if a.count(h) == 1 and b.count(h) == 1]
+    length, back = [], []
+    for i, (_, y) in enumerate(once):
+        best = max((length[j] for j in range(i) if once[j][1] < y), default=0)
+        length.append(best + 1)
+        back.append(max((j for j in range(i) if once[j][1] < y and length[j] == best), default=-1))
+    if not once:
+        return []
+    i, chain = max(j for j in range(len(once)) if length[j] == max(length)), []
+    while i >= 0:
+        chain.insert(0, once[i])
+        i = back[i]
+    out = naive_patience(a[: chain[0][0]], b[: chain[0][1]])
+    for (x, y), (x2, y2) in zip(chain, [*chain[1:], (len(a), len(b))], strict=True):
+        out += [(x + p, y + q) for p, q in naive_patience(a[x:x2], b[y:y2])]
+    return out
+
+
+def naive_line_dedup(rows, least=lines.MIN_BLOCK_WORDS, rare=lines.RARE):
+    """{doc_id: removed line numbers}: runs, their holders and alignments over all documents."""
+    docs = {i: [x.strip(" \t\r\f") for x in t.split("\n")] for i, t in rows if t is not None}
+    held = collections.defaultdict(set)
+    for i, ls in docs.items():
+        n = [len(x.split()) for x in ls]
+        for x in range(len(ls)):
+            fwd = next((y for y in range(x, len(ls)) if sum(n[x : y + 1]) >= least), None)
+            if n[x] and fwd is not None:
+                held[tuple(ls[x : fwd + 1])].add(i)
+            bwd = next((y for y in range(x, -1, -1) if sum(n[y : x + 1]) >= least), None)
+            if n[x] and bwd is not None:
+                held[tuple(ls[bwd : x + 1])].add(i)
+    partners = collections.defaultdict(set)
+    for who in held.values():
+        for i in who:
+            partners[i] |= {j for j in (who if len(who) <= rare else {min(who)}) if j < i}
+    gone = collections.defaultdict(set)
+    for i, others in partners.items():
+        for j in others:
+            short = len(docs[i]) < len(docs[j])
+            m = naive_patience(docs[i], docs[j]) if short else [(y, x) for x, y in naive_patience(docs[j], docs[i])]
+            n, block = [len(x.split()) for x in docs[i]], []
+            for t, pair in enumerate(m):
+                block.append(pair[0])
+                if t + 1 == len(m) or m[t + 1] != (pair[0] + 1, pair[1] + 1):
+                    if sum(n[x] for x in block) >= least:
+                        gone[i] |= set(block)
+                    block = []
+    return {i: sorted(gone[i]) for i in docs}
+
+
+def test_op6_patience():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a, b = ([int(x) for x in rng.integers(0, 12, int(rng.integers(0, 14)))] for _ in range(2))
+        places = {h: [i for i, x in enumerate(b) if x == h] for h in b}
+        assert lines.patience(a, b, places) == naive_patience(a, b)
+
+
+def test_op6_runs():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 7, 40)
+    at = np.array([0, 9, 9, 30, 40])
+    first, last = lines.run_bounds(words, at, 8)
+    want = set()
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        for x in range(a, b):
+            want |= {(x, y) for y in range(x, b) if words[x] and words[x : y + 1].sum() >= 8 > words[x:y].sum()}
+            want |= {(y, x) for y in range(a, x + 1) if words[x] and words[y : x + 1].sum() >= 8 > words[y + 1 : x + 1].sum()}
+    assert set(zip(first.tolist(), last.tolist(), strict=True)) == want
+    h = rng.integers(0, 2**63, 40).astype(np.uint64)
+    h[20:25] = h[2:7]
+    w = lines.run_hashes(h, np.array([2, 20, 3]), np.array([6, 24, 6]))
+    assert w[0] == w[1] != w[2]
 
 
 def test_op6_documents(spark):
@@ -244,7 +387,44 @@ def test_op6_documents(spark):
     assert kept[1] == rows[0][1] and kept[2] == prose(52, 9) and kept[3] == rows[2][1] and 4 not in kept and kept[5] == rows[4][1] and kept[6] == rows[5][1] and kept[7] is None
     assert kept[100] == rows[7][1] and all(kept[100 + i] == prose(200 + i, 9) for i in range(1, 300))
     rep = {r["doc_id"]: r for r in lines.report(docs).collect()}
-    assert rep[2]["removed_lines"] == "0,1,2,3,4" and rep[2]["source_docs"] == "1" and rep[1]["n_removed"] == 0 and len(rep) == len(rows)
+    assert rep[2]["removed_lines"] == "0,1,2,3,4" and rep[2]["source_docs"] == "1" and rep[1]["n_removed"] == 0 and rep[2]["n_blocks"] == 1 and len(rep) == len(rows)
+
+
+def test_op6_first_holders_and_moved_blocks(spark):
+    a, b = "a one two three four", "b one two three four"
+    x, y = ([f"{c}{i} " + prose(70 + i, 5) for i in range(n)] for c, n in (("x", 4), ("y", 2)))
+    verse = [f"v{i} w{i}" for i in range(30)]  # lines of two words, each first held elsewhere
+    rows = [(1, a), (2, b), (3, f"{a}\n{b}"), (4, f"{a}\n{b}")]
+    rows += [(10, "\n".join([*x, *y])), (11, "\n".join([*y, *x]))]
+    rows += [(20 + i, v) for i, v in enumerate(verse)] + [(60, "\n".join(["q", *verse])), (61, "\n".join([*verse, "z"]))]
+    rows += [(None, f"{a}\n{b}"), (70, "d\n" + "\n".join(["same line of five words"] * 3)), (71, "\n".join(["same line of five words"] * 2) + "\ne")]
+    got = {r["doc_id"]: r["removed_lines"] for r in lines.report(frame(spark, rows)).collect()}
+    assert got[3] == "" and got[4] == "0,1" and got[None] == "0,1"
+    assert got[11] == "2,3,4,5"  # the longer block is aligned, the moved one stays
+    assert got[60] == "" and got[61] == ",".join(str(i) for i in range(30))
+    assert got[71] == ""  # repeated lines are no anchors
+
+
+@pytest.mark.parametrize("per_task", [2, 1000])
+def test_op6_against_brute_force(spark, sf_dir, per_task):
+    rows = [(r["doc_id"], r["text"]) for r in sample(spark, sf_dir).collect()]
+    rng = np.random.default_rng(8)
+    pool = [prose(900 + i, int(rng.integers(1, 14))) for i in range(60)] + [""]
+    for n in range(150):
+        at = rng.integers(0, len(pool), 3)
+        part = [pool[(int(x) + j) % len(pool)] for x in at for j in range(int(rng.integers(1, 5)))]
+        rows.append((50_000 + n, "\n".join(part)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["did"]: r["gone"] for r in lines.removals(docs, per_task=per_task).collect()}
+    want = {i: x for i, x in naive_line_dedup(rows).items() if x}
+    assert got == want and len(want) > 100
+
+
+def test_op6_clashing_columns(spark):
+    rows = [(1, "a line of words that is long enough"), (2, "a line of words that is long enough\nrest")]
+    docs = spark.createDataFrame([(*r, "k", "g", "m", 5) for r in rows], "doc_id long, text string, _skein_did string, did string, mask string, `gone.x` int")
+    out = lines.dedup_lines(docs)
+    assert out.columns == docs.columns and {r["doc_id"]: (r["text"], r["_skein_did"], r["did"], r["mask"]) for r in out.collect()} == {1: (rows[0][1], "k", "g", "m"), 2: ("rest", "k", "g", "m")}
 
 
 def edit(text, n, seed):
@@ -331,3 +511,31 @@ def test_op10_places(spark, sf_dir):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r["text"].translate(LOW))
         at = [i for p in ("mit license", "apache license", "general public license") for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(at), min(at, default=None), max(at, default=None))
+
+
+def test_op10_repeated_rows(spark):
+    rows = [(1, "mit license and the MIT License")] * 3 + [(1, "apache license"), (None, "mit license"), (None, "mit license"), (2, None), (2, None), (3, "general public license"), (4, "mit"), (4, "mit license, mit license")]
+    out = licenses.scan_licenses(spark.createDataFrame(rows * 2, "doc_id long, text string").coalesce(3))
+    got = collections.Counter((r["doc_id"], r["n_base"], r["base_labels"], r["last_word"]) for r in out.collect())
+    want = {(1, 2, "mit", 4): 6, (1, 1, "apache", 0): 2, (None, 1, "mit", 0): 4, (2, 0, "", None): 4, (3, 1, "gpl", 0): 2, (4, 0, "", None): 2, (4, 2, "mit", 2): 2}
+    assert got == want
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows * 2], "text": [r[1] for r in rows * 2]}))
+    columns = ", ".join(sorted(out.columns))
+    by_sql = con.sql(f"SELECT {columns} FROM ({licenses.op10_sql()})").fetchall()
+    assert sorted(by_sql, key=str) == sorted((tuple(r) for r in out.select(*sorted(out.columns)).collect()), key=str)
+
+
+def test_op10_long_text(spark):
+    import time
+
+    took = []
+    for n in (40_000, 160_000):
+        docs = spark.createDataFrame([(1, prose(5, n) + " mit license")], "doc_id long, text string")
+        licenses.scan_licenses(docs).collect()
+        start = time.time()
+        assert licenses.scan_licenses(docs).first()["last_word"] == n
+        took.append(time.time() - start)
+    assert took[1] < 8 * took[0] + 5
