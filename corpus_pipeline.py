@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from skein.llm import common, decontaminate, langid, lines, mixing, neardup
 
-MIN_SCORE = 0.3
+#: With four languages a guess has 0.25; texts of mixed or no language stay below this.
+MIN_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
