@@ -6,8 +6,8 @@ probabilities. A document's probabilities are the mean over the positions of its
 that hold a letter. As state starts anew at each word, a word that repeats is read once
 per slice of documents and counted as often as it occurs; every position of the whole
 text counts. The network is trained in numpy by backpropagation through time on the
-driver, on a bounded sample: about ``docs_per_lang`` documents of each language, at most
-``words_per_doc`` words spread over each.
+driver, on the whole texts of a bounded sample: about ``docs_per_lang`` documents of each
+language.
 
 Defined cases: null text, a text without letters, or no training rows give ``und`` with
 score 0; words over ``PIECE`` bytes are read in pieces; ties go to the language first in
@@ -115,18 +115,26 @@ class BiGru:
         return float(loss), g
 
 
-def fit(words: list[bytes], labels: np.ndarray, n_labels: int, steps: int = 500, rows: int = 256, rate: float = 0.02, seed: int = 7) -> BiGru:
-    """Train with Adam on words of equal length at a time, each length as often as it occurs."""
+def pieces(words: list[bytes], labels: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words cut into pieces of at most ``PIECE`` bytes, as they are scored, with their labels and counts."""
+    cut = [(w[i : i + PIECE], k, c) for w, k, c in zip(words, labels, counts, strict=True) for i in range(0, len(w), PIECE)]
+    return [x[0] for x in cut], np.array([x[1] for x in cut], np.int64), np.array([x[2] for x in cut], float)
+
+
+def fit(words: list[bytes], labels: np.ndarray, n_labels: int, steps: int = 500, rows: int = 256, rate: float = 0.02, seed: int = 7, counts: np.ndarray | None = None) -> BiGru:
+    """Train with Adam on pieces of words of equal length at a time, each as often as it occurs."""
     net, rng = BiGru(n_labels, seed=seed), np.random.default_rng(seed)
-    sizes = np.array([min(len(w), PIECE) for w in words])
+    words, labels, counts = pieces(words, labels, np.ones(len(words)) if counts is None else counts)
+    sizes = np.array([len(w) for w in words])
     by_size = {int(s): np.flatnonzero(sizes == s) for s in np.unique(sizes)}
-    weight = np.array([len(v) for v in by_size.values()]) / len(words)
+    share = {s: counts[v] / counts[v].sum() for s, v in by_size.items()}
+    weight = np.array([counts[v].sum() for v in by_size.values()]) / counts.sum()
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.p.items()}
     for step in range(1, steps + 1):
         s = int(rng.choice(list(by_size), p=weight))
-        pick = rng.choice(by_size[s], rows)
-        xs = np.frombuffer(b"".join(b" " + words[i][:s] + b" " for i in pick), np.uint8).reshape(rows, s + 2)
+        pick = rng.choice(by_size[s], rows, p=share[s])
+        xs = np.frombuffer(b"".join(b" " + words[i] + b" " for i in pick), np.uint8).reshape(rows, s + 2)
         _, g = net.gradients(xs, labels[pick])
         lr = rate * min(1, step / 20) * (1 - step / (steps + 1)) ** 0.5
         for k in net.p:
@@ -182,26 +190,25 @@ def document_scores(net: BiGru, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
     return total / np.maximum(n, 1)[:, None], n
 
 
-def train(docs: DataFrame, docs_per_lang: int = 400, words_per_doc: int = 200, folds: int = FOLDS, steps: int = 500) -> tuple[BiGru | None, list[str]]:
-    """The network and its languages, from a bounded sample of the rows not held out."""
+def train(docs: DataFrame, docs_per_lang: int = 400, folds: int = FOLDS, steps: int = 500) -> tuple[BiGru | None, list[str]]:
+    """The network and its languages, from whole texts of a bounded sample of the rows not held out.
+
+    ``docs_per_lang``: the expected rows of a language in the sample, drawn by a hash of id and
+    text. Their words are counted in Spark, so what reaches the driver is each distinct word of
+    the sample once per language, however long or often repeated its texts are.
+    """
     seen = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(folds))
     counts = {r["lang"]: r["count"] for r in docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(folds)).groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:
         return None, []
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, docs_per_lang / counts[k])]), F.col("lang"))
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    words = F.split(F.lower("text"), r"\s+")
-    sample = (
-        seen.filter(unit < share)
-        .select("doc_id", "lang", words.alias("words"))
-        .select("doc_id", "lang", F.expr(f"filter(words, (w, i) -> i % greatest(1, ceil(size(words) / {words_per_doc})) = 0 AND w RLIKE '\\\\p{{L}}')").alias("words"))
-        .collect()
-    )
-    pairs = [(w.encode(), langs.index(r["lang"])) for r in sorted(sample, key=lambda r: r["doc_id"]) for w in r["words"]]
-    if not pairs:
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    words = seen.filter(unit < share).select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter(r"word RLIKE '\\p{L}'")
+    rows = sorted((r["lang"], r["word"], r["count"]) for r in words.groupBy("lang", "word").count().collect())
+    if not rows:
         return None, []
-    return fit([w for w, _ in pairs], np.array([k for _, k in pairs]), len(langs), steps=steps), langs
+    return fit([w.encode() for _, w, _ in rows], np.array([langs.index(k) for k, _, _ in rows]), len(langs), steps=steps, counts=np.array([c for _, _, c in rows], float)), langs
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_positions long"

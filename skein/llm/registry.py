@@ -6,10 +6,7 @@ from skein.llm import ann, decontaminate, langid, licenses, lines, lm, mixing, n
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     return {
-        "pipeline": corpus_pipeline.run,
         "op4_secrets": secrets.op4_secrets,
         "op1_mixture": mixing.op1_mixture,
         "op2_neardup": neardup.op2_neardup,
@@ -24,9 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
-    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {
-        "op2_neardup": neardup.op2_sql(),
-        "op10_licenses": licenses.op10_sql(),
-    }
+    return {"op2_neardup": neardup.op2_sql(), "op10_licenses": licenses.op10_sql()}
