@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,31 @@ def overlapping_intents(text: Column, patterns: dict[str, str]) -> Column:
     """Which of several patterns occur, without priority: a map of 0/1, for the lighter signals where intents may overlap."""
     low = F.lower(text)
     return F.create_map(*[x for name, p in patterns.items() for x in (F.lit(name), low.rlike(p).cast("int"))])
+
+
+def recent(comments: DataFrame, video: str, text: str, at: str, most: int) -> DataFrame:
+    """The newest ``most`` comments with text of each video, as a list of (at, text), newest first."""
+    w = Window.partitionBy(video).orderBy(F.desc(at), text)
+    head = comments.filter(F.trim(F.coalesce(text, F.lit(""))) != "").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_rn", F.col(at).alias("at"), F.col(text).alias("text")))), lambda x: F.struct(x["at"].alias("at"), x["text"].alias("text")))
+    return head.groupBy(video).agg(listed.alias("comments"))
+
+
+def reply_counts(snapshots: DataFrame, comment: str, event: str, ingested: str, count: str, as_of: Column) -> DataFrame:
+    """The largest reply count per comment among the snapshots that had happened and were known at ``as_of``."""
+    return snapshots.filter((F.col(event) <= as_of) & (F.coalesce(ingested, event) <= as_of)).groupBy(comment).agg(F.max(count).alias("reply_count"))
+
+
+def value_props(words: Column, most: int = 24) -> Column:
+    """The most frequent distinct words: each counts once, so the first in alphabetical order."""
+    return F.slice(F.array_sort(F.array_distinct(words)), 1, most)
+
+
+def snapshot_stats(features: DataFrame, covered: Column, late: Column, low: float = 0.35) -> DataFrame:
+    """One row over a comment snapshot: coverage, low alignment, mean confidence and volatility, share of late rows."""
+    mean = lambda c, name: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(name)
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return features.agg(
+        F.count("*").alias("rows_total"), mean(flag(covered), "coverage_rate"), mean(flag(F.col("alignment_confidence") > 0), "alignment_coverage_rate"), mean(flag(F.coalesce("alignment_score", F.lit(0.0)) < low), "low_alignment_rate"),
+        mean(F.col("alignment_confidence"), "alignment_confidence_mean"), mean(F.col("sentiment_volatility"), "sentiment_volatility_mean"), mean(flag(late), "late_share"),
+    )

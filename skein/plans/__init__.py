@@ -1,5 +1,6 @@
 """Query plans over the driver tables: name -> (builder, DuckDB SQL or None)."""
 
-from skein.plans import analysis, builds, ranking, relational, streams, temporal, text
+from skein.plans import analysis, builds, candidates, functions, ranking, relational, streams, temporal, text
 
-ALL = {**relational.PLANS, **temporal.PLANS, **text.PLANS, **analysis.PLANS, **ranking.PLANS, **streams.PLANS, **builds.PLANS}
+_MODULES = (relational, temporal, text, functions, candidates, analysis, ranking, streams, builds)
+ALL = {name: plan for module in _MODULES for name, plan in module.PLANS.items()}
