@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,3 +64,12 @@ def read_jdbc(spark: SparkSession, url: str, query: str, fetch_size: int = 1000,
 
 def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", batch_size: int = 1000, **options) -> None:
     df.write.format("jdbc").option("url", url).option("dbtable", name).option("batchsize", batch_size).options(**options).mode(mode).save()
+
+
+def load_plan(spark: SparkSession, path: str, profile: str) -> list[str]:
+    """The datasets that a JSON plan file lists for a profile; an unknown profile is an error that names the known ones."""
+    plan = json.loads("\n".join(r[0] for r in spark.read.text(path).collect()))
+    profiles = plan.get("profiles", {})
+    if profile not in profiles:
+        raise ValueError(f"unknown profile {profile}; known are {sorted(profiles)}")
+    return list(profiles[profile].get("datasets", []))
