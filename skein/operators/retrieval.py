@@ -193,7 +193,7 @@ def negative_samples(df: DataFrame, query: str, item: str, score: str, author: s
     """
     w = Window.partitionBy(query)
     third = F.least(F.floor((F.row_number().over(w.orderBy(F.desc(score), item)) - 1) * 3 / F.count("*").over(w)), F.lit(2))
-    rows = df.withColumn("band", third.cast("int")).withColumn("_h", F.xxhash64(query, item, F.lit(seed)))
+    rows = df.withColumn("band", third.cast("int")).withColumn("_h", F.sha2(F.concat_ws("|", F.col(query).cast("string"), F.col(item).cast("string"), F.lit(str(seed))), 256))
     rows = rows.withColumn("_a", F.row_number().over(Window.partitionBy(query, author).orderBy("_h"))).filter(F.col("_a") <= per_author)
     rows = rows.withColumn("_t", F.row_number().over(Window.partitionBy(query, topic).orderBy("_h"))).filter(F.col("_t") <= per_topic)
     rows = rows.withColumn("_b", F.row_number().over(Window.partitionBy(query, "band").orderBy("_h")))

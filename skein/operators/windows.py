@@ -81,10 +81,11 @@ def chronological_split(df: DataFrame, time: str, tie: str, train: float = 0.70,
     are summed in time order, and only rows of one time value are ranked against each other.
     """
     total = df.count()
-    n_train = max(1, int(total * train))
-    n_val = max(1, int(total * validation))
-    if total >= 3 and n_train + n_val >= total:
-        n_train = max(1, total - n_val - 1)
+    if total >= 3:
+        n_train = min(max(int(total * train), 1), total - 2)
+        n_val = min(max(int(total * validation), 1), total - n_train - 1)
+    else:
+        n_train, n_val = max(1, total - 1), 0
     per = df.groupBy(F.col(time).alias("_t")).agg(F.count("*").alias("_n"))
     before = running_before(per, "_t", {"_before": ("sum", "_n")}).select("_t", "_before")
     rank = F.col("_before") + F.row_number().over(Window.partitionBy(time).orderBy(tie))
@@ -125,14 +126,15 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
 
 def leave_one_out_mean(df: DataFrame, key: str, value: str, split: str, least: int = 2) -> DataFrame:
     """Adds ``baseline``: for train rows the mean of the key's other train rows, for others that of all its train rows,
-    and the mean of all train rows where the key has fewer than ``least`` to go by."""
+    and the mean of all train rows where the key has fewer than ``least`` of them, or only the row itself."""
     train = F.col(split) == "train"
     per = df.filter(train).groupBy(key).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
     overall = df.filter(train).agg(F.avg(value).alias("_g"))
     n = F.coalesce("_n", F.lit(0)) - F.when(train, 1).otherwise(0)
+    enough = (F.coalesce("_n", F.lit(0)) >= least) & (n > 0)
     s = F.coalesce("_s", F.lit(0.0)) - F.when(train, F.col(value)).otherwise(0.0)
     joined = df.join(per, key, "left").crossJoin(F.broadcast(overall))
-    return joined.withColumn("baseline", F.when(n >= least, s / n).otherwise(F.col("_g"))).drop("_s", "_n", "_g")
+    return joined.withColumn("baseline", F.when(enough, s / n).otherwise(F.coalesce("_g", F.lit(0.0)))).drop("_s", "_n", "_g")
 
 
 def trailing_run(df: DataFrame, order: Sequence[Column], flag: Column) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -119,7 +122,10 @@ def mmr_rerank(spark, d):
     return R.mmr_rerank(t.withColumn("score", F.log1p("frequency")), 15)
 
 
-@PLANS.add()
+@PLANS.add("""WITH c AS (SELECT lang AS query, d.doc_id AS item, ln(1 + n_chars) / 12 + 0.2 * quality AS score, source AS author, CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END AS topic, sha256(lang || '|' || d.doc_id || '|7') AS h FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+t AS (SELECT *, least((row_number() OVER (PARTITION BY query ORDER BY score DESC, item) - 1) * 3 // count(*) OVER (PARTITION BY query), 2)::INT AS band FROM c),
+a AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY query, author ORDER BY h) <= 2), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY query, topic ORDER BY h) <= 4),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query, band ORDER BY h) > CASE band WHEN 0 THEN 5 WHEN 1 THEN 3 ELSE 2 END)::INT AS over FROM b), p AS (SELECT query, item, band, row_number() OVER (PARTITION BY query ORDER BY over, band, h) AS pick FROM r) SELECT * FROM p WHERE pick <= 10""")
 def negative_sampling(spark, d):
     return R.negative_samples(_candidates(spark, d), "query", "item", "score", "author", "topic").select("query", "item", "band", "pick")
 
@@ -178,7 +184,13 @@ def ranking_components(spark, d):
     return _component_rows(spark, d).select("doc_id", "objective", weighted_score(F.col("objective")).alias("score"), support_level(F.col("support_confidence")).alias("support"))
 
 
-@PLANS.add()
+_MIXES = [m for m in itertools.product([0.0, 0.25, 0.5, 0.75, 1.0], repeat=3) if math.isclose(sum(m), 1.0)]
+
+
+@PLANS.add(f"""WITH g(mix, a, b, c) AS (VALUES {", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for i, (a, b, c) in enumerate(_MIXES))}), j AS (SELECT source, d.doc_id, greatest(quality, 0) AS rel, quality, ln(1 + n_chars) / 12 AS x, (d.doc_id % 10) / 10 AS y, 1.0::DOUBLE - toxic AS z FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+s AS (SELECT mix, source, doc_id, rel, quality, round(coalesce(x, 0) * a + coalesce(y, 0) * b + coalesce(z, 0) * c, 9) AS score FROM j, g), r AS (SELECT *, row_number() OVER (PARTITION BY mix, source ORDER BY score DESC, doc_id) AS r, row_number() OVER (PARTITION BY mix, source ORDER BY quality DESC, doc_id) AS i FROM s),
+q AS (SELECT mix, source, sum(CASE WHEN r <= 10 THEN (2**rel - 1) / log2(r + 1) ELSE 0 END) AS dcg, sum(CASE WHEN i <= 10 THEN (2**rel - 1) / log2(i + 1) ELSE 0 END) AS best, round(coalesce(max(CASE WHEN r <= 10 AND quality > 0 THEN 1.0::DOUBLE / r END), 0), 6) AS mrr FROM r GROUP BY mix, source),
+m AS (SELECT mix, round(avg(round(CASE WHEN best > 0 THEN dcg / best ELSE 0 END, 6)), 6) AS ndcg, round(avg(mrr), 6) AS mrr FROM q GROUP BY mix) SELECT m.mix, ndcg, mrr, a AS w_length, b AS w_age, c AS w_clean FROM m JOIN g ON m.mix = g.mix""")
 def blend_grid_search(spark, d):
     """Which mix of three signals ranks labelled documents best within their source."""
     from skein.operators.ranking import blend_search

@@ -98,7 +98,7 @@ def train_zscores(spark, d):
 
 
 @PLANS.add(f"""WITH s AS ({_SPLITS}), a AS (SELECT o_custkey, sum(o_totalprice) t, count(*) c FROM s WHERE split = 'train' GROUP BY o_custkey), g AS (SELECT avg(o_totalprice) m FROM s WHERE split = 'train')
-SELECT o_orderkey, round(CASE WHEN coalesce(c, 0) - (split = 'train')::INT >= 2 THEN (coalesce(t, 0) - CASE WHEN split = 'train' THEN o_totalprice ELSE 0 END) / (c - (split = 'train')::INT) ELSE m END, 5) AS baseline
+SELECT o_orderkey, round(CASE WHEN coalesce(c, 0) >= 2 THEN (coalesce(t, 0) - CASE WHEN split = 'train' THEN o_totalprice ELSE 0 END) / (c - (split = 'train')::INT) ELSE m END, 5) AS baseline
 FROM s LEFT JOIN a ON s.o_custkey = a.o_custkey, g""")
 def author_loo_baseline(spark, d):
     return leave_one_out_mean(_split(spark, d), "o_custkey", "o_totalprice", "split").select("o_orderkey", F.round("baseline", 5).alias("baseline"))

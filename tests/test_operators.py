@@ -78,13 +78,14 @@ def test_train_statistics_ignore_test_rows(spark):
 @pytest.mark.parametrize("salt_rows", [10000, 7])
 def test_pairs_hold_the_best_earlier_rows_at_any_similarity(spark, salt_rows):
     sets = {i: ["all"] + [f"{i}x{j}" for j in range(20)] + [f"g{i % 3}y{j}" for j in range(i % 7)] for i in range(40)}
-    rows = [(f"{i:02}", dt.datetime(2024, 1, 1 + i // 2), t, None, 1.0, 1.0, 1.0) for i, t in sets.items()]
-    df = spark.createDataFrame(rows, "video_id string, as_of timestamp, tokens array<string>, hashtags array<string>, y_reach_z double, y_engagement_z double, y_conversion_z double")
+    rows = [(f"{i:02}", dt.datetime(2024, 1, 1 + i // 2), t, 1.0, 1.0, 1.0) for i, t in sets.items()]
+    df = spark.createDataFrame(rows, "video_id string, as_of timestamp, tokens array<string>, y_reach_z double, y_engagement_z double, y_conversion_z double").withColumn("row_id", F.col("video_id"))
+    df = df.select("*", *[F.lit(True).alias(f"{o}_available") for o in datamart.OBJECTIVES], *[F.lit(0.0).alias(f"{o}_{c}_z") for o in datamart.OBJECTIVES for c in datamart.COMPOSITE])
     got = {}
     for r in datamart.pair_rows(df, salt_rows=salt_rows).filter("objective = 'reach'").collect():
-        got.setdefault(int(r["query_id"]), []).append((-round(r["similarity"], 9), int(r["candidate_id"])))
+        got.setdefault(int(r["query_id"]), []).append((-r["similarity"], int(r["candidate_id"])))
     sim = lambda a, b: len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))
-    want = {a: sorted((-round(sim(a, b), 9), b) for b in sets if b // 2 < a // 2)[:8] for a in sets}
+    want = {a: [(round(s, 6), b) for s, b in sorted((-round(sim(a, b), 9), b) for b in sets if b // 2 < a // 2)[:8]] for a in sets}
     assert {a: sorted(x) for a, x in got.items()} == {a: x for a, x in want.items() if x}
 
 
@@ -331,3 +332,50 @@ def test_datamart_build(spark):
     assert pairs.count() > 0 and pairs.groupBy("query_id", "objective").count().filter("count > 8").count() == 0
     with pytest.raises(ValueError):
         datamart.Config(train=0.9, validation=0.2)
+
+
+def test_trajectory_masks_and_reasons(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    day = dt.timedelta(days=1)
+    hour = lambda h: t0 + day + dt.timedelta(hours=h)
+    videos = spark.createDataFrame([(v, "a", "step by step", ["#X"], t0) for v in "abcdef"], "video_id string, author_id string, caption string, hashtags array<string>, posted_at timestamp")
+    late, ok = "late_out_of_watermark", "on_time"
+    rows = [("a", hour(h), hour(h), ok, n) for h, n in ((-1, 9), (5, 99), (23, 999), (95, 9999))]  # all four boundaries
+    rows += [("b", hour(4), hour(4), ok, 10), ("b", hour(80), hour(80), ok, 20)]  # nothing at the anchor
+    rows += [("c", hour(-2), hour(-2), late, 5), ("c", hour(75), hour(75), ok, 5)]  # late at the anchor
+    rows += [("d", hour(-2), hour(900), ok, 5), ("d", hour(75), hour(75), ok, 5)]  # known only after the run
+    rows += [("e", hour(-2), hour(-2), ok, 5)]  # no future snapshot
+    s = spark.createDataFrame([(f"s{i}", *r, 0, 0, 0) for i, r in enumerate(rows)], "video_snapshot_id string, video_id string, event_time timestamp, ingested_at timestamp, lateness string, views long, likes long, comments_count long, shares long")
+    authors = spark.createDataFrame([("a", 50_000)], "author_id string, followers long")
+    got = {r["video_id"]: r for r in datamart.point_in_time_rows({"videos": videos, "video_snapshots": s, "authors": authors}, datamart.Config(run_at="2024-01-20")).collect()}
+    a = got["a"]
+    logs = [math.log(10), math.log(100), math.log(1000), math.log(10000)]
+    assert a["exclusion_reason"] is None and a["reach_available"] and a["reach_reasons"] == [] and a["author_size"] == "micro" and a["content_type"] == "tutorial"
+    v = [(logs[1] - logs[0]) / 6, (logs[2] - logs[1]) / 18, (logs[3] - logs[2]) / 72]
+    assert np.allclose([a["reach_early_velocity"], a["reach_core_velocity"], a["reach_late_lift"], a["reach_stability"]], [v[0], v[1], logs[3] - logs[2], -np.std(v, ddof=1)], atol=2e-6)
+    assert a["tr_peak_lag_hours"] == 96 and a["tr_available_ratio"] == 1 and a["tr_missing_component_count"] == 0 and math.isclose(a["tr_late_velocity"], (logs[3] - logs[2]) / 3 / 72, abs_tol=2e-6)
+    assert math.isclose(a["regime_spike"] + a["regime_balanced"] + a["regime_durable"], 1, abs_tol=2e-6)
+    assert got["b"]["reach_reasons"] == ["missing_anchor_snapshot"] and not got["b"]["reach_available"] and "missing_pre_snapshot" in got["b"]["missingness_flags"] and got["b"]["reach_core_velocity"] is not None
+    assert "late_out_of_watermark" in got["c"]["reason_t0"] and got["d"]["reason_t0"] == "ingested_after_cutoff"
+    assert got["e"]["exclusion_reason"] == got["f"]["exclusion_reason"] == "missing_future_snapshot" and got["f"]["reason_t0"] == "missing_anchor_snapshot"
+    early = datamart.point_in_time_rows({"videos": videos, "video_snapshots": s, "authors": authors}, datamart.Config(run_at="2024-01-03")).select("exclusion_reason").distinct().collect()
+    assert [r[0] for r in early] == ["label_horizon_not_available"]
+
+
+def test_comment_intelligence_ladder(spark):
+    t = dt.datetime(2024, 1, 5)
+    rows = spark.createDataFrame([("a", t, "x", "story", "nano", ["f"]), ("b", t, "y", "story", "nano", [])], "video_id string, as_of timestamp, topic_key string, content_type string, author_size string, missingness_flags array<string>")
+    feats = spark.createDataFrame([("a", t, *[0.5] * 6), ("a", t + dt.timedelta(hours=1), *[0.9] * 6)], "video_id string, as_of_time timestamp, " + ", ".join(f"{c} double" for c in datamart.COMMENT))
+    priors = spark.createDataFrame([("y", "story", "nano", 0.25)], "topic_key string, content_type string, author_size string, alignment_score double")
+    post = {r["video_id"]: r for r in datamart.comment_intelligence(rows, {"comment_features": feats}, datamart.Config(track="post_publication")).collect()}
+    assert (post["a"]["comment_source"], post["a"]["alignment_score"], post["b"]["comment_source"], post["b"]["alignment_score"]) == ("video_snapshot", 0.5, "missing", 0.0)
+    assert post["b"]["missingness_flags"] == ["comment_intelligence:missing_comment_snapshot_manifest_row"] and post["a"]["missingness_flags"] == ["f"]
+    pre = {r["video_id"]: r for r in datamart.comment_intelligence(rows, {"comment_priors": priors}, datamart.Config()).collect()}
+    assert (pre["b"]["comment_source"], pre["b"]["alignment_score"], pre["a"]["comment_source"]) == ("transfer_prior", 0.25, "missing")
+
+
+@pytest.mark.parametrize(("n", "want"), [(1, [1, 0, 0]), (2, [1, 0, 1]), (3, [1, 1, 1]), (10, [7, 1, 2]), (40, [28, 6, 6])])
+def test_split_sizes(spark, n, want):
+    s = windows.chronological_split(spark.range(n).withColumn("t", F.col("id") * 2), "t", "id")
+    got = {r["split"]: r["count"] for r in s.groupBy("split").count().collect()}
+    assert [got.get(x, 0) for x in ("train", "validation", "test")] == want
