@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skein.session import shared_folder
 
 #: Largest amount of raw text, in bytes, that a Python worker holds at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Rows of a file where the number of rows is known beforehand.
 FILE_ROWS = 200_000
 
@@ -66,17 +68,34 @@ def as_lists(col: pa.Array) -> pa.Array:
     return pc.fill_null(col.cast(pa.large_string()), "")
 
 
+@cache
+def _trim():
+    """glibc's malloc_trim, or nothing where there is none."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda pad: None
+
+
+def release() -> None:
+    """Give freed memory back, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with at most ``limit`` bytes of text each, or one row."""
+    """Ranges of rows with at most ``limit`` bytes of text each, or one row. Memory freed meanwhile is given back."""
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(size):
         if i > start and total + n > limit:
             yield start, i
+            release()
             start, total = i, 0
         total += int(n)
     if len(size) > start:
         yield start, len(size)
+        release()
 
 
 def ascii_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

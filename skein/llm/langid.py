@@ -229,7 +229,7 @@ def identify(docs: DataFrame, net: BiGru | None, langs: list[str], folds: int =
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_lists(batch.column(2))
-            for a, b in slices(texts, SLICE_BYTES * 3 // 2):
+            for a, b in slices(texts, 2 * SLICE_BYTES):
                 names, score, n = predictions(net, langs, texts.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a).cast(pa.int64()), batch.column(1).slice(a, b - a), pa.array(names, pa.string()), pa.array(score), pa.array(n)],
@@ -249,7 +249,7 @@ def keep_told(docs: DataFrame, net: BiGru | None, langs: list[str], min_score: f
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_lists(batch.column(at))
-            for a, b in slices(texts, SLICE_BYTES * 3 // 2):
+            for a, b in slices(texts, 2 * SLICE_BYTES):
                 _, score, n = predictions(net, langs, texts.slice(a, b - a))
                 yield batch.slice(a, b - a).filter(pa.array((n > 0) & (score >= min_score)))
 
