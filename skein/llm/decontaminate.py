@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import as_lists, slices
+from skein.llm.common import as_lists, fresh, materialise, slices
 
 Q = 10
 WINDOW = 96
@@ -199,45 +199,69 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.column_stack([a[new], b[new]])
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about ``block_bytes``, one block at a time on the driver."""
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """The number of blocks of about ``block_bytes`` and the items of each, one block at a time on the driver."""
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
-    for i in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        yield sorted((r["item_id"], r["text"]) for r in part.collect())
 
-
-def find_items(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents, all columns kept, with a column ``found_items`` (sorted ids of the items found)."""
-    out = docs.withColumn("found_items", F.array().cast("array<bigint>"))
-    for items in benchmark_blocks(benchmark, block_bytes):
-        at, into = out.columns.index("text"), out.columns.index("found_items")
-
-        def look(batches: Iterator[pa.RecordBatch], items=items, at=at, into=into) -> Iterator[pa.RecordBatch]:
-            index = Index(items)
-            for batch in batches:
-                texts = as_lists(batch.column(at))
-                for a, b in slices(texts, TEXT_BYTES):
-                    part = batch.slice(a, b - a)
-                    before = part.column(into).to_pylist()
-                    found = [sorted({*old, *new}) for old, new in zip(before, index.find(texts.slice(a, b - a)), strict=True)]
-                    yield part.set_column(into, part.schema.field(into).name, pa.array(found, pa.list_(pa.int64())))
-
-        out = out.mapInArrow(look, out.schema)
-    return out
+    def blocks() -> Iterator[list[tuple[int, str]]]:
+        for i in range(n):
+            part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
+            yield sorted((r["item_id"], r["text"]) for r in part.collect())
+
+    return n, blocks()
+
+
+def _look(docs: DataFrame, items: list[tuple[int, str]], column: str) -> DataFrame:
+    """The documents with a column of the sorted ids of a block's items found in their texts."""
+    at = docs.columns.index("text")
+    schema = docs.withColumn(column, F.array().cast("array<bigint>")).schema
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(items)
+        for batch in batches:
+            texts = as_lists(batch.column(at))
+            for a, b in slices(texts, TEXT_BYTES):
+                found = [sorted(x) for x in index.find(texts.slice(a, b - a))]
+                yield batch.slice(a, b - a).append_column(column, pa.array(found, pa.list_(pa.int64())))
+
+    return docs.mapInArrow(look, schema)
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, column: str = "found_items", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, all columns kept, with a new ``column`` of the sorted ids of the items found.
+
+    A benchmark of one block goes with the one pass over the texts. A larger one takes a pass
+    for each block, whose hits (hash of doc_id and text, items) are written before the next
+    block is fetched, so driver and plans hold one block; the hits are joined in the end.
+    """
+    if column in docs.columns:
+        raise ValueError(f"the documents have a column {column}")
+    n, blocks = benchmark_blocks(benchmark, block_bytes)
+    if n <= 1:
+        return _look(docs, next(blocks, []), column)
+    (key,) = fresh(docs, "key")
+    node = F.xxhash64("doc_id", "text").alias(key)
+    hits = None
+    for items in blocks:
+        part = materialise(_look(docs.select(node, "text"), items, column).filter(F.size(column) > 0).select(key, column).distinct(), "hits")
+        hits = part if hits is None else hits.unionByName(part)
+    merged = hits.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(column)))).alias(column))
+    out = docs.select("*", node).join(merged, key, "left").withColumn(column, F.coalesce(column, F.array().cast("array<bigint>")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], column)
 
 
 def scan_benchmark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, contaminated, n_items, items."""
-    found = find_items(docs.select("doc_id", "text"), benchmark, block_bytes)
+    found = find_items(docs.select("doc_id", "text"), benchmark, block_bytes=block_bytes)
     return found.select("doc_id", (F.size("found_items") > 0).alias("contaminated"), F.size("found_items").cast("long").alias("n_items"), F.array_join(F.col("found_items").cast("array<string>"), ",").alias("items"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents in which no benchmark item was found, with their columns."""
-    return find_items(docs, benchmark).filter(F.size("found_items") == 0).drop("found_items")
+    (column,) = fresh(docs, "found")
+    return find_items(docs, benchmark, column, block_bytes).filter(F.size(column) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
