@@ -121,6 +121,27 @@ def best(items: np.ndarray, ids: np.ndarray, query: np.ndarray, scores: np.ndarr
     return ids[near][order], exact[order]
 
 
+def _rows(found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, id and score of each entry of lists (query_id, vec_ids, scores)."""
+    query, ids, scores = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (found.column(i) for i in range(3)))
+    size = np.diff(ids.offsets.to_numpy()) if len(ids) else np.zeros(0, np.int64)
+    return np.repeat(query.to_numpy(zero_copy_only=False), size).astype(np.int64), ids.flatten().to_numpy(zero_copy_only=False), scores.flatten().to_numpy(zero_copy_only=False)
+
+
+def merged(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's ``top`` distinct entries by score, then id, in the order of the queries."""
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
+    query, ids, scores = query[new], ids[new], scores[new]
+    first = np.ones(len(query), bool)
+    first[1:] = query[1:] != query[:-1]
+    start = np.maximum.accumulate(np.where(first, np.arange(len(query)), 0)) if len(query) else np.zeros(0, np.int64)
+    keep = np.arange(len(query)) - start < top
+    return query[keep], ids[keep], scores[keep]
+
+
 def needed_share(forest: Forest, sample: np.ndarray, norm: float, top: int, target: float, queries: int = 64) -> float:
     """The share of rows that must be searched for ``target`` recall, measured within the sample by brute force."""
     q = np.arange(0, len(sample), max(1, len(sample) // queries))
@@ -207,17 +228,22 @@ def nearest(vectors: DataFrame, modulus: int = 20, top: int = TOP, trees: int =
                     found["scores"].append(exact)
         return pa.table({"query_id": pa.array(found["query_id"], pa.int64()), "vec_ids": pa.array(found["vec_ids"], pa.list_(pa.int64())), "scores": pa.array(found["scores"], pa.list_(pa.float64()))})
 
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One list a query from all the groups of a task, so that what moves is bounded by the tasks, not by the groups."""
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for b in batches:
+            kept = merged(*(np.concatenate(x) for x in zip(kept, _rows(b), strict=True)), top)
+        query, ids, scores = kept
+        cut = np.flatnonzero(np.diff(query, prepend=query[:1] - 1)) if len(query) else np.zeros(0, np.int64)
+        at = pa.array(np.append(cut, len(query)), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(query[cut], pa.int64()), pa.ListArray.from_arrays(at, pa.array(ids, pa.int64())), pa.ListArray.from_arrays(at, pa.array(scores, pa.float64()))], names=["query_id", "vec_ids", "scores"])
+
     def merge(group: pa.Table) -> pa.Table:
-        ids = group.column("vec_ids").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        scores = group.column("scores").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        order = np.lexsort((ids, -scores))
-        ids, scores = ids[order], scores[order]
-        new = np.ones(len(ids), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
-        ids, scores = ids[new][:top], scores[new][:top]
-        return pa.table({"query_id": pa.array([group.column("query_id")[0].as_py()] * len(ids), pa.int64()), "rank": pa.array(np.arange(1, len(ids) + 1), pa.int32()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
-
-    found = items.groupBy("leaf", "shard").cogroup(asked.groupBy("leaf", "shard")).applyInArrow(rank, "query_id long, vec_ids array<long>, scores array<double>")
+        query, ids, scores = merged(*_rows(group), top)
+        return pa.table({"query_id": pa.array(query, pa.int64()), "rank": pa.array(np.arange(1, len(ids) + 1), pa.int32()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
+
+    lists = "query_id long, vec_ids array<long>, scores array<double>"
+    found = items.groupBy("leaf", "shard").cogroup(asked.groupBy("leaf", "shard")).applyInArrow(rank, lists).mapInArrow(of_task, lists)
     return found.groupBy("query_id").applyInArrow(merge, schema)
 
 
