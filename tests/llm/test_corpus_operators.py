@@ -456,6 +456,61 @@ def test_op7_finds_a_window_wherever_it_starts(spark):
     assert len(starts) > 100 and all(r["contaminated"] for r in decontaminate.scan_benchmark(frame(spark, rows), bench).collect())
 
 
+def folded(text):
+    """Normalised as the docstring says: lower-case ASCII letters, single spaces for ASCII white space and punctuation."""
+    return re.sub(rb"[^a-z0-9\x80-\xff]+", b" ", text.translate(LOW).encode()).strip()
+
+
+def least_edits(pattern, text):
+    """Edit distance of a pattern to its nearest place in a text."""
+    a = np.frombuffer(text, np.uint8)
+    row, step = np.zeros(len(a) + 1, int), np.arange(len(a) + 1)
+    for i, c in enumerate(pattern):
+        new = np.empty_like(row)
+        new[0] = i + 1
+        new[1:] = np.minimum(row[:-1] + (a != c), row[1:] + 1)
+        row = np.minimum.accumulate(new - step) + step
+    return int(row.min())
+
+
+def test_op7_against_edit_distance(spark):
+    """Found is what has a window within the budget, and nothing else."""
+    items = [(i, prose(500 + i, 14, 900)) for i in range(5)] + [(9, "tiny words only"), (10, "a")]
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(60):
+        k = int(rng.integers(0, 5))
+        t = list(items[k][1])
+        for _ in range(int(rng.integers(0, 16))):
+            at, kind = int(rng.integers(0, len(t))), int(rng.integers(0, 3))
+            t[at : at + (kind != 0)] = ["z"] if kind != 1 else []
+        rows.append((i, f"{prose(600 + i, 20)}. {''.join(t)}; {prose(700 + i, 20)}"))
+    rows.append((100, f"so TINY words,  only here {prose(1, 9)}"))
+    got = {r["doc_id"]: {int(x) for x in r["items"].split(",") if x} for r in decontaminate.scan_benchmark(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, text in rows:
+        want = set()
+        for item, t in items:
+            f = folded(t)
+            m = min(decontaminate.WINDOW, len(f))
+            if m >= decontaminate.Q:
+                e = max(0, min(int(decontaminate.RATE * m), (m - decontaminate.Q) // decontaminate.Q))
+                if any(least_edits(f[a : a + m], folded(text)) <= e for a in range(len(f) - m + 1)):
+                    want.add(item)
+        assert got[i] == want, i
+    assert 5 < sum(map(bool, got.values())) < len(rows)
+
+
+def test_op7_keeps_columns_of_any_name(spark):
+    items = [(i, prose(300 + i, 40, 3000)) for i in range(4)]
+    docs = spark.createDataFrame([(1, items[0][1], "a", "b"), (None, items[1][1], "a", "b"), (None, "clean", "c", "d"), (3, None, "e", "f")], "doc_id long, text string, found_items string, _skein_found string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (4 << 20, 300):
+        out = decontaminate.drop_contaminated(docs, bench, size)
+        assert out.columns == docs.columns and sorted((r["found_items"], r["_skein_found"]) for r in out.collect()) == [("c", "d"), ("e", "f")]
+    with pytest.raises(ValueError):
+        decontaminate.find_items(docs, bench)
+
+
 def test_op7_against_substrings(spark, sf_dir):
     docs, bench = sample(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -471,8 +526,51 @@ def test_op8_held_out(spark):
 
 
 def test_op8_isotonic():
-    got = quality.isotonic(np.array([1, 0, 1, 2, 1]), np.array([1.0, 0, 0, 1, 1]))
-    assert np.allclose(got, [0.5, 0.5, 0.5, 0.5, 1.0]) or (np.diff(got) >= 0).all()
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        count = rng.integers(0, 4, 12).astype(float)
+        total = np.array([rng.integers(0, int(c) + 1) for c in count], float)
+        if not count.any():
+            continue
+        got = quality.isotonic(count, total)
+        full = np.flatnonzero(count)
+        for i in full:  # the largest over starts of the least over ends of the means
+            want = max(min(total[a : b + 1].sum() / count[a : b + 1].sum() for b in full[full >= i]) for a in full[full <= i])
+            assert math.isclose(got[i], want, abs_tol=1e-12)
+        assert (np.diff(got) >= 0).all()
+    assert np.allclose(quality.isotonic(np.array([1.0, 1, 0, 2]), np.array([1.0, 0, 0, 2])), [0.5, 0.5, 0.5, 1.0])
+
+
+def test_op8_against_direct_fit(spark):
+    """Partition sums, ridge weights and curve against one matrix on the driver."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, len(quality.STATISTICS))) * rng.uniform(0.5, 3, len(quality.STATISTICS)) + 1
+    y = (x[:, 0] + rng.normal(size=300) > 1).astype(float)
+    df = spark.createDataFrame([(list(map(float, a)), float(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y double").repartition(5)
+    got = quality.train(df, features=40)
+    want = quality.Model(x.mean(0), x.std(0), 40, 4.0, 5)
+    z = want.lift(x)
+    want.weights = np.linalg.solve(z.T @ z + 1e-3 * 300 / 40 * np.eye(41), z.T @ y)
+    assert np.allclose(got.weights, want.weights, atol=1e-6)
+    bins = want.bins(x)
+    want.curve = quality.isotonic(np.bincount(bins, minlength=quality.BINS).astype(float), np.bincount(bins, weights=y, minlength=quality.BINS))
+    assert np.abs(got.curve - want.curve).mean() < 1e-3
+
+
+def test_op9_words_read_once_count_as_often():
+    """The scores by vocabulary against reading every word where it stands."""
+    net = langid.BiGru(3, seed=4)
+    texts = ["ein Haus ein haus 12 --", "the the cat " + "x" * 95, "", "12 34", "Ünï çode ünï"]
+    mean, n = langid.document_scores(net, pa.array(texts, pa.large_string()))
+    for i, t in enumerate(texts):
+        total, size = np.zeros(3), 0
+        for w in t.lower().split():
+            if any(c.isalpha() for c in w):
+                raw = w.encode()
+                for a in range(0, len(raw), langid.PIECE):
+                    total += net.probabilities(np.frombuffer(b" " + raw[a : a + langid.PIECE] + b" ", np.uint8)[None])[0, 1:-1].sum(0)
+                size += len(raw)
+        assert n[i] == size and np.allclose(mean[i], total / max(size, 1), atol=1e-5)
 
 
 def test_op9_gradients():
