@@ -138,3 +138,50 @@ def fit_calibration(scored: DataFrame, score: str, z: str, bins: int = 10) -> Da
     b = scored.crossJoin(F.broadcast(cuts)).select(F.size(F.filter("cuts", lambda c: c < F.col(score))).alias("bin"), F.col(score).alias("x"), sigmoid(z).alias("y"))
     means = b.groupBy("bin").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
     return means.agg(F.coalesce(F.regr_slope("y", "x"), F.lit(1.0)).alias("slope"), F.coalesce(F.regr_intercept("y", "x"), F.lit(0.0)).alias("bias"), F.sum("n").alias("n"))
+
+
+# Per content type the speech share, motion bias, tempo, energy, hook and payoff shares, audio and visual style.
+SIGNALS = {
+    "tutorial": (0.65, -0.05, 105, 0.52, 0.10, 0.80, "voice_forward", "instructional_pacing"),
+    "dance": (0.12, 0.25, 128, 0.82, 0.05, 0.60, "music_forward", "high_motion"),
+    "comedy": (0.55, 0.05, 115, 0.62, 0.08, 0.70, "voice_forward", "reactive_pacing"),
+    "gaming": (0.45, 0.15, 120, 0.70, 0.06, 0.75, "mixed_audio", "screen_capture_motion"),
+    "cooking": (0.50, -0.08, 100, 0.45, 0.12, 0.85, "voice_forward", "slow_reveal_pacing"),
+    "fitness": (0.35, 0.18, 130, 0.78, 0.07, 0.65, "music_forward", "high_motion"),
+    "travel": (0.30, 0.08, 110, 0.60, 0.10, 0.72, "music_forward", "cinematic_pacing"),
+    "music": (0.10, 0.10, 120, 0.88, 0.05, 0.55, "music_forward", "performance_pacing"),
+    "news": (0.80, -0.15, 95, 0.40, 0.08, 0.90, "voice_forward", "static_framing"),
+    "lifestyle": (0.48, 0.0, 108, 0.55, 0.12, 0.75, "mixed_audio", "balanced_motion"),
+}
+OTHER_SIGNALS = (0.50, 0.0, 118, 0.55, 0.12, 0.72, "mixed_audio", "balanced_motion")
+
+
+def signal_fallback(posts: DataFrame) -> DataFrame:
+    """The signals of posts without extractors, from the type's profile, the number of tokens and the hints that are there.
+
+    Needs text, content_type and a map ``hints``. Text is compared in lower case without
+    punctuation; the numbers in the expressions are fixed values.
+    """
+    schema = "kind string, speech double, motion double, tempo double, energy double, hook double, payoff double, audio_style string, visual_style string"
+    rows = [(k, *map(float, v[:6]), *v[6:]) for k, v in SIGNALS.items()]
+    profile = posts.sparkSession.createDataFrame(rows, schema)
+    names = schema.replace(",", "").split()[2::2]
+    default = dict(zip(names, OTHER_SIGNALS, strict=True))
+    p = posts.join(F.broadcast(profile), F.lower("content_type") == F.col("kind"), "left").withColumns({n: F.coalesce(n, F.lit(float(v) if not isinstance(v, str) else v)) for n, v in default.items()})
+    hint = lambda k: F.element_at("hints", k).cast("double")
+    bound = lambda x, low, high: F.least(F.lit(high) if not isinstance(high, Column) else high, F.greatest(F.lit(low), x))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"(?U)[^\p{L}\p{N}\s]", " "), r"(?U)\s+", " "))
+    p = p.withColumn("plain", plain).withColumn("tokens", F.filter(F.split("plain", " "), lambda w: F.length(w) >= 2))
+    n, unique = F.size("tokens"), F.size(F.array_distinct("tokens"))
+    p = p.withColumn("duration", bound(F.round(F.coalesce(hint("duration_seconds"), F.lit(35.0))), 8.0, 600.0))
+    cuts = bound(F.round(F.coalesce(hint("estimated_scene_cuts"), F.greatest(F.lit(8.0), n * 0.5))), 4.0, 80.0)
+    p = p.withColumn("shot_change_rate", F.round(cuts / F.col("duration"), 4))
+    p = p.withColumn("visual_motion_score", F.round(clamp(F.coalesce(hint("visual_motion_score"), F.col("shot_change_rate") / 1.8) + F.col("motion"), 0.0, 1.0), 4))
+    p = p.withColumn("speech_ratio", F.round(clamp(F.coalesce(hint("speech_seconds") / F.col("duration"), F.col("speech")), 0.0, 1.0), 4))
+    return p.select(
+        *posts.columns, "duration", "shot_change_rate", "visual_motion_score", "speech_ratio", n.alias("token_count"), unique.alias("unique_token_count"), F.round(clamp(unique / F.greatest(n, F.lit(1)) + 0.35, 0.0, 1.0), 4).alias("clarity_score"),
+        F.round(clamp(F.col("shot_change_rate") * 0.8 + F.col("speech_ratio") * 0.2, 0.0, 1.0), 4).alias("pacing_score"), F.round(bound(F.col("duration") * F.col("hook"), 0.5, 8.0), 2).alias("hook_timing_seconds"), F.round(bound(F.col("duration") * F.col("payoff"), 3.0, F.col("duration")), 2).alias("payoff_timing_seconds"),
+        F.round(bound(F.coalesce(hint("tempo_bpm"), F.col("tempo")), 60.0, 220.0), 2).alias("tempo_bpm"), F.round(clamp(F.coalesce(hint("audio_energy"), F.col("energy")), 0.0, 1.0), 4).alias("audio_energy"), F.round(clamp(1 - F.col("speech_ratio"), 0.0, 1.0), 4).alias("music_presence_score"),
+        F.when(F.col("visual_motion_score") > 0.55, "high_motion").otherwise(F.col("visual_style")).alias("visual_style_tag"), F.when(F.col("speech_ratio") >= 0.55, "voice_forward").otherwise(F.col("audio_style")).alias("audio_style_tag"),
+        F.filter(F.array(*[F.lit(t) for t in ("follow", "comment", "save", "share", "link", "bio")]), lambda t: F.contains("plain", t)).alias("cta_keywords"),
+    )

@@ -220,3 +220,55 @@ def personalise(df: DataFrame, score: str, liked: str, disliked: str, vector: st
     lean = F.coalesce(cosine(vector, liked), F.lit(0.0)) - negative * F.coalesce(cosine(vector, disliked), F.lit(0.0))
     known = F.col(liked).isNotNull() | F.col(disliked).isNotNull()
     return df.withColumn("personal", F.when(known, lean)).withColumn(score, F.when(known, F.col(score) * (1 - blend) + blend * lean).otherwise(F.col(score)))
+
+
+def frame_relevance(frames: DataFrame, group: str, item: str, vector: str, description: str) -> DataFrame:
+    """(group, item, relevance): 0.6 times the inner product with the description, 0.4 times the distance from the group's mean, scaled to 0..1.
+
+    ``description`` is a vector column, null where there is none. The mean is one row per group
+    and dimension; distances and scales are aggregates of the group.
+    """
+    from skein.functions.scalars import dot, safe_div
+
+    means = centroids(frames, group, vector).groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("_mean"))
+    diff = F.zip_with(F.col(vector), F.col("_mean"), lambda a, b: a.cast("double") - b)
+    near = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(dot(vector, description), F.lit(0.0))))
+    r = frames.join(means, group).select(group, item, near.alias("_near"), F.sqrt(F.aggregate(diff, F.lit(0.0), lambda s, x: s + x * x)).alias("_far"))
+    r = r.join(r.groupBy(group).agg(F.max("_far").alias("_most")), group).withColumn("_s", 0.6 * F.col("_near") + 0.4 * safe_div("_far", "_most"))
+    span = r.groupBy(group).agg(F.min("_s").alias("_low"), F.max("_s").alias("_high"))
+    scaled = F.when(F.col("_high") > F.col("_low"), (F.col("_s") - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(F.col("_s"))
+    return r.join(span, group).select(group, item, scaled.alias("relevance"))
+
+
+def concept_match(frames: DataFrame, group: str, vector: str, concepts: DataFrame, top: int = 5, least: float = 0.15) -> DataFrame:
+    """(group, concept, similarity, rank): the concepts (concept, vector) nearest to a group's mean vector, above ``least``.
+
+    The vocabulary of concepts is a fixed list, so its table is broadcast.
+    """
+    from skein.functions.scalars import cosine
+
+    means = centroids(frames, group, vector).groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("_mean"))
+    s = means.crossJoin(F.broadcast(concepts.select("concept", F.col("vector").alias("_v")))).withColumn("similarity", cosine("_mean", "_v"))
+    w = Window.partitionBy(group).orderBy(F.desc(F.round("similarity", 9)), "concept")
+    return s.select(group, "concept", "similarity", F.row_number().over(w).cast("long").alias("rank")).filter((F.col("rank") <= top) & (F.col("similarity") > least))
+
+
+def scope(rows: DataFrame, topic: str | None = None, language: str | None = None, exclude: DataFrame | None = None, key: str = "item", fields: Sequence[str] = (), tags: str | None = None) -> DataFrame:
+    """Rows of a request's scope: a constraint that is not given passes all; a topic matches one of several fields or a tag."""
+    if language is not None:
+        rows = rows.filter(F.lower("language") == language.lower())
+    if topic is not None:
+        hit = F.lit(False)
+        for f in fields:
+            hit = hit | F.coalesce(F.contains(F.lower(f), F.lit(topic.lower())), F.lit(False))
+        if tags is not None:
+            hit = hit | F.coalesce(F.exists(tags, lambda t: F.contains(F.lower(t), F.lit(topic.lower()))), F.lit(False))
+        rows = rows.filter(hit)
+    return rows if exclude is None else rows.join(exclude.select(key), key, "left_anti")
+
+
+def contexts(hits: DataFrame, texts: DataFrame, query: str, item: str, rank: str) -> DataFrame:
+    """(query, items, context): the texts of a query's hits in the order of their rank, joined by blank lines."""
+    joined = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(item).alias("i"), F.col("text").alias("t"))))
+    g = hits.join(texts.select(item, "text"), item).groupBy(query).agg(joined.alias("_h"))
+    return g.select(query, F.transform("_h", lambda x: x["i"]).alias("items"), F.array_join(F.transform("_h", lambda x: F.coalesce(x["t"], F.lit(""))), "\n\n").alias("context"))

@@ -9,7 +9,7 @@ from skein.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Slow to start and covered by tests of their own.
-SLOW = {"node2vec_embeddings", "kmeans_representatives", "datamart_rows", "datamart_pairs", "datamart_exclusions", "stream_lateness", "stream_outcome"}
+SLOW = {"node2vec_embeddings", "stream_lateness", "stream_outcome"}
 
 
 @pytest.fixture(scope="module")
