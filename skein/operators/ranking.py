@@ -7,7 +7,7 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.scalars import clamp, round6
@@ -126,10 +126,36 @@ def blend_affinity(score: Column, semantic: Column, fit: Column, confidence: Col
     return F.when(confidence <= 0.01, score).otherwise(clamp(score + AFFINITY_SHIFT * confidence * guard * (fit - 0.5) * 2.0, 0.0, 1.0))
 
 
-def pairwise_blend(rows: DataFrame, score: str, win_rate: str, authority: float = 0.35, head: int = 3, budget: float = 0.2) -> DataFrame:
-    """Scores moved by the win rate within ``budget``; the first ``head`` ranks move by half as much."""
-    shift = F.greatest(F.lit(-budget), F.least(F.lit(budget), authority * (F.col(win_rate) - 0.5)))
-    return rows.withColumn("reranked", F.col(score) + F.when(F.col("rank") <= head, shift / 2).otherwise(shift))
+# The least signal of a shortlist, the pairs for full authority, the largest shift, and the guard of the head.
+MIN_SIGNAL, FULL_PAIRS, MAX_SHIFT, HEAD_RANK, HEAD_AUTHORITY = 0.06, 1500.0, 0.12, 3, 0.75
+
+
+def pairwise_rerank(rows: DataFrame, pairs: DataFrame, trained_pairs: int) -> DataFrame:
+    """Shortlists moved by the win rates of a pairwise model, within a budget: adds learned_score, reranked, reason and position.
+
+    ``rows``: query, item, rank (from 1), score, fused; ``pairs``: query, first, second and prob,
+    the chance that the first wins. The budget is the shortlist's mean distance from even odds
+    times the authority of the training pairs. Shortlists with too little signal stay as they
+    are, and so do those whose learned favourite ranks low while the authority is small.
+    """
+    both = pairs.select("query", F.col("first").alias("item"), F.col("prob").alias("p")).unionByName(pairs.select("query", F.col("second").alias("item"), (1.0 - F.col("prob")).alias("p")))
+    size = rows.groupBy("query").agg(F.count("*").alias("_n"))
+    wins = both.groupBy("query", "item").agg(F.sum("p").alias("_wins"))
+    signal = pairs.groupBy("query").agg((F.avg(F.abs(F.col("prob") - 0.5)) * 2.0).alias("_signal"))
+    r = rows.join(size, "query").join(wins, ["query", "item"], "left").withColumn("_rate", F.coalesce("_wins", F.lit(0.0)) / F.greatest(F.col("_n") - 1, F.lit(1)))
+    first = r.groupBy("query").agg(F.min_by("rank", F.struct(-F.col("_rate"), "rank")).alias("_top"))
+    r = r.join(signal, "query", "left").join(first, "query")
+    authority = min(1.0, max(0.0, trained_pairs / FULL_PAIRS))
+    base = clamp(F.coalesce("score", F.lit(0.0)), 0.0, 1.0)
+    reason = F.when(F.col("_n") == 1, None).when(F.coalesce("_signal", F.lit(0.0)) < MIN_SIGNAL, "shortlist_signal_below_threshold")
+    if authority < HEAD_AUTHORITY:
+        reason = reason.when(F.col("_top") > HEAD_RANK, "baseline_head_guard")
+    margin = (F.col("_rate") - 0.5) * 2.0
+    moved = clamp(base + MAX_SHIFT * F.col("_signal") * authority * margin * F.abs(margin), 0.0, 1.0)
+    apply = (F.col("_n") > 1) & F.col("reason").isNull()
+    out = r.withColumn("reason", reason).withColumn("learned_score", F.round(F.when(apply, F.col("_rate")).otherwise(base), 6)).withColumn("reranked", F.round(F.when(apply, moved).otherwise(base), 6))
+    w = Window.partitionBy("query").orderBy(F.desc("reranked"), F.desc("score"), F.desc("fused"), "rank")
+    return out.withColumn("position", F.row_number().over(w).cast("long")).select(*rows.columns, "learned_score", "reranked", "reason", "position")
 
 
 def blend_search(scores: DataFrame, query: str, item: str, relevance: str, branches: Sequence[str], step: float = 0.25, k: int = 10) -> DataFrame:
@@ -211,8 +237,6 @@ def explain(objective: Column, top: int = 3) -> Column:
 
 def percentile_floor(df: DataFrame, group: Sequence[str], value: str, q: float, out: str) -> DataFrame:
     """The value at place ``floor((n - 1) * q)`` of each group's sorted values, from counts per value."""
-    from pyspark.sql import Window
-
     per = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
     run = per.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*group).orderBy(value))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*group)))
     return run.filter(F.col("_upto") > F.floor((F.col("_n") - 1) * q)).groupBy(*group).agg(F.min(value).alias(out))

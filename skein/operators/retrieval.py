@@ -213,13 +213,36 @@ def search_knowledge(articles: DataFrame, queries: DataFrame, top: int, title_bo
     return s.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top)
 
 
-def personalise(df: DataFrame, score: str, liked: str, disliked: str, vector: str, blend: float = 0.16, negative: float = 0.7) -> DataFrame:
-    """Blend of a score with the nearness to the liked minus the disliked centroid; without centroids unchanged."""
-    from skein.functions.scalars import cosine
+#: Weight of the avoided centroid, the largest blend and the least query signal.
+AVOIDED, MAX_BLEND, MIN_QUERY_SIGNAL = 0.7, 0.16, 0.20
+
 
-    lean = F.coalesce(cosine(vector, liked), F.lit(0.0)) - negative * F.coalesce(cosine(vector, disliked), F.lit(0.0))
-    known = F.col(liked).isNotNull() | F.col(disliked).isNotNull()
-    return df.withColumn("personal", F.when(known, lean)).withColumn(score, F.when(known, F.col(score) * (1 - blend) + blend * lean).otherwise(F.col(score)))
+def creator_scores(rows: DataFrame, branches: dict[str, float], liked: dict[str, Column], avoided: dict[str, Column]) -> DataFrame:
+    """Adds ``personal``: nearness to a creator's liked minus 0.7 times the avoided centroid, scaled to 0..1 over all rows, the weighted mean of the branches.
+
+    ``branches``: vector column -> weight; ``liked`` and ``avoided``: centroid column of each, null
+    where there is none. A branch without either does not count; without any the score is null.
+    """
+    from skein.functions.scalars import dot, norm
+
+    unit = lambda c: F.coalesce(dot(F.col("_v"), c) / F.nullif(norm(c), F.lit(0.0)), F.lit(0.0))
+    out = rows
+    for b in branches:
+        known = liked[b].isNotNull() | avoided[b].isNotNull()
+        out = out.withColumn("_v", F.col(b)).withColumn(f"_raw_{b}", F.when(known, unit(liked[b]) - AVOIDED * unit(avoided[b]))).drop("_v")
+    spans = out.agg(*[f(f"_raw_{b}").alias(f"_{n}_{b}") for b in branches for n, f in (("low", F.min), ("high", F.max))])
+    out = out.crossJoin(F.broadcast(spans))
+    scaled = {b: F.when(F.col(f"_high_{b}") > F.col(f"_low_{b}"), (F.col(f"_raw_{b}") - F.col(f"_low_{b}")) / (F.col(f"_high_{b}") - F.col(f"_low_{b}"))).when(F.col(f"_raw_{b}").isNotNull(), 0.0) for b in branches}
+    total = sum((F.coalesce(scaled[b], F.lit(0.0)) * w for b, w in branches.items()), F.lit(0.0))
+    weight = sum((F.when(F.col(f"_raw_{b}").isNotNull(), w).otherwise(0.0) for b, w in branches.items()), F.lit(0.0))
+    return out.withColumn("personal", F.when(weight > 0, total / weight)).drop(*[f"_{n}_{b}" for b in branches for n in ("raw", "low", "high")])
+
+
+def creator_shift(personal: Column, dense: Column, lexical: Column, confidence: Column) -> Column:
+    """How far a retrieval score moves towards the personal one: in proportion to the confidence and the query's own signal."""
+    signal = 0.65 * dense + 0.35 * lexical
+    guard = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (signal - MIN_QUERY_SIGNAL) / (1 - MIN_QUERY_SIGNAL)))
+    return F.when((confidence > 0.01) & personal.isNotNull(), MAX_BLEND * confidence * guard * (personal - 0.5) * 2.0).otherwise(0.0)
 
 
 def frame_relevance(frames: DataFrame, group: str, item: str, vector: str, description: str) -> DataFrame:

@@ -289,15 +289,54 @@ def knowledge_search(spark, d):
     return V.search_knowledge(pages, items, 3).select(F.col("query").alias("item_id"), F.col("id").alias("page_id"), "score", "rank")
 
 
-@PLANS.add("""WITH c AS (SELECT label, dim, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY label, dim), l AS (SELECT list(x ORDER BY dim) AS v FROM c WHERE label = 0), n AS (SELECT list(x ORDER BY dim) AS v FROM c WHERE label = 1),
-s AS (SELECT vec_id, 0.5 AS base, list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM l)) - 0.7 * list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM n)) AS lean FROM embeddings) SELECT vec_id, round(lean, 6) AS personal, round(base * 0.84 + 0.16 * lean, 6) AS score FROM s""")
+@PLANS.add("""WITH c AS (SELECT label, list(x ORDER BY dim) AS v FROM (SELECT label, dim, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings WHERE label < 2) GROUP BY label, dim) GROUP BY label), l AS (SELECT v FROM c WHERE label = 0), n AS (SELECT v FROM c WHERE label = 1),
+r AS (SELECT vec_id, list_inner_product(e, lv) / sqrt(list_inner_product(lv, lv)) - 0.7 * list_inner_product(e, nv) / sqrt(list_inner_product(nv, nv)) AS a, list_inner_product(list_reverse(e), lv) / sqrt(list_inner_product(lv, lv)) AS b FROM (SELECT vec_id, embedding::DOUBLE[] AS e, l.v AS lv, n.v AS nv FROM embeddings, l, n)),
+s AS (SELECT vec_id, (0.6 * (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) + 0.3 * (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ())) / 0.9 AS p FROM r)
+SELECT vec_id, round(p, 6) AS personal, round(0.16 * 0.5 * least(1, greatest(0, (0.65 * (vec_id % 10) / 10.0 + 0.35 * (vec_id % 7) / 7.0 - 0.2) / 0.8)) * (p - 0.5) * 2, 6)::DOUBLE + 0.0 AS shift FROM s""")
 def personalised_scores(spark, d):
-    """Scores drawn to the centroid of liked and away from that of avoided vectors."""
+    """Two branches drawn to the centroid of liked and away from that of avoided vectors, and the shift they give."""
     e = table(spark, d, "embeddings")
-    c = V.centroids(e, "label", "embedding").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("v"))
+    c = V.centroids(e.filter("label < 2"), "label", "embedding").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("v"))
     two = c.agg(F.max_by("v", F.col("label") == 0).alias("liked"), F.max_by("v", F.col("label") == 1).alias("disliked"))
-    out = V.personalise(e.withColumn("score", F.lit(0.5)).crossJoin(F.broadcast(two)), "score", "liked", "disliked", "embedding")
-    return out.select("vec_id", F.round("personal", 6).alias("personal"), F.round("score", 6).alias("score"))
+    rows = e.withColumn("back", F.reverse("embedding")).crossJoin(F.broadcast(two))
+    none = F.lit(None).cast("array<double>")
+    out = V.creator_scores(rows, {"embedding": 0.6, "back": 0.3}, {"embedding": F.col("liked"), "back": F.col("liked")}, {"embedding": F.col("disliked"), "back": none})
+    shift = V.creator_shift(F.col("personal"), (F.col("vec_id") % 10) / 10.0, (F.col("vec_id") % 7) / 7.0, F.lit(0.5))
+    return out.select("vec_id", F.round("personal", 6).alias("personal"), F.round(shift, 6).alias("shift"))
+
+
+_SHORT = "SELECT o_custkey AS query, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, least(1, o_totalprice / 600000) AS score FROM orders"
+
+
+@PLANS.add(f"""WITH r AS (SELECT * FROM ({_SHORT}) WHERE rank <= 6), p AS (SELECT a.query, a.item AS l, b.item AS r, CASE WHEN a.query % 5 = 0 THEN 0.5 ELSE ((a.item * 7 + b.item * 3) % 100) / 100.0 END::DOUBLE AS prob FROM r a JOIN r b ON a.query = b.query AND a.rank < b.rank),
+w AS (SELECT query, item, sum(x) AS wins FROM (SELECT query, l AS item, prob AS x FROM p UNION ALL SELECT query, r, 1 - prob FROM p) GROUP BY query, item), g AS (SELECT query, avg(abs(prob - 0.5)) * 2 AS signal FROM p GROUP BY query),
+m AS (SELECT r.*, count(*) OVER (PARTITION BY r.query) AS n, coalesce(wins, 0) / greatest(count(*) OVER (PARTITION BY r.query) - 1, 1) AS rate, signal FROM r LEFT JOIN w ON w.query = r.query AND w.item = r.item LEFT JOIN g ON g.query = r.query),
+t AS (SELECT *, first_value(rank) OVER (PARTITION BY query ORDER BY rate DESC, rank) AS top FROM m), c AS (SELECT *, CASE WHEN n = 1 THEN NULL WHEN coalesce(signal, 0) < 0.06 THEN 'shortlist_signal_below_threshold' WHEN top > 3 THEN 'baseline_head_guard' END AS reason FROM t),
+f AS (SELECT *, round(CASE WHEN n > 1 AND reason IS NULL THEN rate ELSE score END, 6) AS learned_score, round(CASE WHEN n > 1 AND reason IS NULL THEN least(1, greatest(0, score + 0.12 * signal * 0.6 * (rate - 0.5) * 2 * abs((rate - 0.5) * 2))) ELSE score END, 6) AS reranked FROM c)
+SELECT query, item, learned_score, reranked, reason, row_number() OVER (PARTITION BY query ORDER BY reranked DESC, score DESC, rank) AS position FROM f""")
+def pairwise_reranking(spark, d):
+    """Each customer's six largest orders as a shortlist, with the odds of every pair."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("item"), F.row_number().over(w).cast("long").alias("rank"), F.least(F.lit(1.0), F.col("o_totalprice") / 600000).alias("score")).filter("rank <= 6").withColumn("fused", F.lit(0.0))
+    odds = F.when(F.col("query") % 5 == 0, 0.5).otherwise(((F.col("first") * 7 + F.col("second") * 3) % 100) / 100.0)
+    pairs = N.shortlist_pairs(rows, "query", "item", "rank", 6).withColumn("prob", odds)
+    return R.pairwise_rerank(rows, pairs, 900).select("query", "item", "learned_score", "reranked", "reason", "position")
+
+
+_WEIGHTS = {o: dict(zip(R.COMPONENTS, w, strict=True)) for o, w in R.WEIGHTS.items()}
+_PART = "SELECT d.doc_id, CASE d.doc_id % 4 WHEN 0 THEN 'reach' WHEN 1 THEN 'engagement' WHEN 2 THEN 'conversion' ELSE 'default' END AS o, (n_chars % 100) / 100 AS semantic_relevance, (d.doc_id % 10) / 10 AS intent_alignment, (d.doc_id % 3) / 3 AS performance_quality, (d.doc_id % 7) / 7 AS reference_usefulness, (d.doc_id % 11) / 11 AS support_confidence, (n_chars % 13) / 13 AS trajectory_alignment FROM documents d"
+
+
+@PLANS.add(f"WITH c AS ({_PART}), p AS (" + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS component, round({c} * CASE o " + " ".join(f"WHEN '{o}' THEN {_WEIGHTS[o][c]}::DOUBLE" for o in R.WEIGHTS) + " END, 6) AS contribution FROM c" for c in R.COMPONENTS) + """), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY contribution DESC, component) AS rank FROM p) SELECT doc_id, component, contribution, rank FROM r WHERE rank <= 3""")
+def explanation_cards(spark, d):
+    """The three components that weigh most in a document's score."""
+    k = F.col("doc_id")
+    parts = dict(zip(R.COMPONENTS, ((F.col("n_chars") % 100) / 100, (k % 10) / 10, (k % 3) / 3, (k % 7) / 7, (k % 11) / 11, (F.col("n_chars") % 13) / 13), strict=True))
+    objective = F.when(k % 4 == 0, "reach").when(k % 4 == 1, "engagement").when(k % 4 == 2, "conversion").otherwise("default")
+    c = table(spark, d, "documents").select("doc_id", objective.alias("o"), *[v.alias(n) for n, v in parts.items()])
+    return c.select("doc_id", F.posexplode(R.explain(F.col("o"))).alias("pos", "x")).select("doc_id", "x.component", "x.contribution", (F.col("pos") + 1).cast("long").alias("rank"))
 
 
 @PLANS.add("""SELECT DISTINCT table_name FROM (VALUES ('customer'), ('orders')) t(table_name)""")
