@@ -16,6 +16,8 @@ from skein.operators.windows import chronological_split, leave_one_out_mean
 from skein.session import materialise
 
 OBJECTIVES = ("conversion", "engagement", "reach")
+#: What a build makes.
+PARTS = ("rows", "pairs", "stats", "availability")
 COMPONENTS = ("early_velocity", "core_velocity", "late_lift", "stability")
 #: Shares of early velocity, stability and late lift in the composite target.
 COMPOSITE = {"early_velocity": 0.45, "stability": 0.20, "late_lift": 0.35}
@@ -247,14 +249,20 @@ def pair_rows(rows: DataFrame, config: Config = Config(), threshold: float = 0.5
     return out.withColumn("relevance_label", relevance_label("objective_score")).withColumn("objective_score", F.round("objective_score", 6)).withColumn("pair_id", F.concat_ws("::", "query_row_id", "candidate_row_id"))
 
 
-def build(bundle: dict[str, DataFrame], config: Config = Config()) -> dict[str, DataFrame]:
-    """rows, pairs and statistics of the datamart from canonical entities.
+def build(bundle: dict[str, DataFrame], config: Config = Config(), parts: Sequence[str] = PARTS) -> dict[str, DataFrame]:
+    """The asked ``parts`` of the datamart, rows, pairs and statistics, from canonical entities.
 
     ``bundle``: videos, video_snapshots, authors; optional comments, comment_features and
-    comment_priors. Usable rows and finished rows are each read several times, so they are
-    written first.
+    comment_priors. Usable rows and finished rows are read several times, so they are written
+    first; exclusions alone read the rows once, and nobody pays for pairs but who asks for them.
     """
-    rows = materialise(point_in_time_rows(bundle, config), "point-in-time")
+    if unknown := set(parts) - set(PARTS):
+        raise ValueError(f"unknown parts {sorted(unknown)}")
+    rows = point_in_time_rows(bundle, config)
+    count = lambda r: r.groupBy(F.coalesce("exclusion_reason", F.lit("included")).alias("reason")).agg(F.count("*").alias("n"))
+    if set(parts) == {"stats"}:
+        return {"stats": count(rows)}
+    rows = materialise(rows, "point-in-time")
     usable = rows.filter("exclusion_reason is null")
     if config.track == "post_publication" and "comments" in bundle:
         usable = comments_before(usable, bundle["comments"])
@@ -265,8 +273,8 @@ def build(bundle: dict[str, DataFrame], config: Config = Config()) -> dict[str,
     z = leave_one_out_mean(z, "author_id", "log_views", "split", config.min_author_rows).withColumnRenamed("baseline", "author_expected_log_views")
     z = z.withColumn("residual_log_views", F.round(F.col("log_views") - F.col("author_expected_log_views"), 6)).withColumn("track", F.lit(config.track))
     z = materialise(z.drop("pre", "future", *config.marks), "rows")
-    stats = rows.groupBy(F.coalesce("exclusion_reason", F.lit("included")).alias("reason")).agg(F.count("*").alias("n"))
-    return {"rows": z, "pairs": pair_rows(z, config), "stats": stats, "availability": availability(z)}
+    made = {"rows": lambda: z, "pairs": lambda: pair_rows(z, config), "stats": lambda: count(rows), "availability": lambda: availability(z)}
+    return {k: made[k]() for k in PARTS if k in parts}
 
 
 def availability(rows: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ _ROWS = _rows_sql()
 @PLANS.add(f"""WITH {_ROWS} SELECT video_id, topic_key, split, author_size, regime, round(y_reach_z, 6) AS y_reach_z, round(y_conversion_z, 6) AS y_conversion_z, reach_early_velocity, engagement_late_lift, conversion_stability, round(reach_composite_z, 6) AS reach_composite_z, round(engagement_stability_z, 6) AS engagement_stability_z,
 round(m_core_velocity - m_early_velocity, 6) AS acceleration, tr_durability_ratio, round(tr_stability_z, 6) AS tr_stability_z, peak::DOUBLE AS peak_lag_hours, round(flags / 12.0, 6)::DOUBLE AS available_ratio, round(ps[3] - ps[2], 6) AS regime_confidence, round(residual, 6) AS residual FROM z""")
 def datamart_rows(spark, d):
-    r = D.build(_bundle(spark, d), _CONFIG)["rows"]
+    r = D.build(_bundle(spark, d), _CONFIG, ["rows"])["rows"]
     return r.select(
         "video_id", "topic_key", "split", "author_size", "regime", F.round("y_reach_z", 6).alias("y_reach_z"), F.round("y_conversion_z", 6).alias("y_conversion_z"), "reach_early_velocity", "engagement_late_lift", "conversion_stability", F.round("reach_composite_z", 6).alias("reach_composite_z"), F.round("engagement_stability_z", 6).alias("engagement_stability_z"),
         F.col("tr_acceleration_proxy").alias("acceleration"), "tr_durability_ratio", F.round("tr_stability_z", 6).alias("tr_stability_z"), F.col("tr_peak_lag_hours").alias("peak_lag_hours"), F.col("tr_available_ratio").alias("available_ratio"), F.col("tr_regime_confidence").alias("regime_confidence"), F.col("residual_log_views").alias("residual"),

@@ -89,6 +89,22 @@ def test_pairs_hold_the_best_earlier_rows_at_any_similarity(spark, salt_rows):
     assert {a: sorted(x) for a, x in got.items()} == {a: x for a, x in want.items() if x}
 
 
+def _no_pairs(monkeypatch):
+    def asked(*a, **b):
+        raise AssertionError("pairs are made")
+
+    monkeypatch.setattr(datamart, "pair_rows", asked)
+
+
+def test_rows_make_no_pairs(spark, sf_dir, monkeypatch):
+    from skein.queries import QUERIES
+
+    _no_pairs(monkeypatch)
+    assert QUERIES["datamart_rows"](spark, sf_dir).count() > 0
+    with pytest.raises(ValueError):
+        datamart.build({}, parts=["row"])
+
+
 def test_merge_best_keeps_keyless(spark):
     a = spark.createDataFrame([("k", 1, 0), (None, 5, 1)], "key string, score long, seq long")
     b = spark.createDataFrame([("k", 9, 2), (None, 5, 3)], "key string, score long, seq long")
