@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,8 +83,9 @@ def chronological_split(df: DataFrame, time: str, tie: str, train: float = 0.70,
     """
     total = df.count()
     if total >= 3:
-        n_train = min(max(int(total * train), 1), total - 2)
-        n_val = min(max(int(total * validation), 1), total - n_train - 1)
+        # shares are decimals: 90,000 rows times 0.7 are 63,000, not the 62,999 of floats
+        n_train = min(max(int(total * Decimal(str(train))), 1), total - 2)
+        n_val = min(max(int(total * Decimal(str(validation))), 1), total - n_train - 1)
     else:
         n_train, n_val = max(1, total - 1), 0
     per = df.groupBy(F.col(time).alias("_t")).agg(F.count("*").alias("_n"))

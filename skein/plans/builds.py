@@ -116,4 +116,4 @@ def datamart_exclusions(spark, d):
 
 @PLANS.add("WITH " + _ROWS + ", o AS (" + " UNION ALL ".join(f"SELECT '{o}' AS objective, split, {o}_composite IS NOT NULL AS there FROM z" for o in D.OBJECTIVES) + ") SELECT objective, split, count(*) AS rows, count(*) FILTER (WHERE there) AS available, round(avg(there::INT), 6) AS rate FROM o GROUP BY ALL")
 def datamart_availability(spark, d):
-    return D.build(_bundle(spark, d), _CONFIG)["availability"]
+    return D.build(_bundle(spark, d), _CONFIG, ["availability"])["availability"]

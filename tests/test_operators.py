@@ -67,6 +67,11 @@ def test_split_needs_no_leak(spark):
     assert windows.chronological_split(tiny, "at", "id").first()["split"] == "train"
 
 
+def test_split_shares_are_decimals(spark):
+    df = spark.range(90).select("id", F.timestamp_seconds(F.col("id") * 60).alias("at"))  # 90 * 0.7 is 62.99... in floats
+    assert {r["split"]: r["count"] for r in windows.chronological_split(df, "at", "id").groupBy("split").count().collect()}["train"] == 63
+
+
 def test_train_statistics_ignore_test_rows(spark):
     rows = [(i, "train" if i < 6 else "test", float(i)) for i in range(9)]
     a = datamart.train_only_z(spark.createDataFrame(rows, "id long, split string, y double"), ["y"])
@@ -105,6 +110,13 @@ def test_rows_make_no_pairs(spark, sf_dir, monkeypatch):
         datamart.build({}, parts=["row"])
 
 
+def test_availability_makes_no_pairs(spark, sf_dir, monkeypatch):
+    from skein.queries import QUERIES
+
+    _no_pairs(monkeypatch)
+    assert QUERIES["datamart_availability"](spark, sf_dir).count() > 0
+
+
 def test_merge_best_keeps_keyless(spark):
     a = spark.createDataFrame([("k", 1, 0), (None, 5, 1)], "key string, score long, seq long")
     b = spark.createDataFrame([("k", 9, 2), (None, 5, 3)], "key string, score long, seq long")
