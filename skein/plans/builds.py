@@ -111,7 +111,7 @@ def datamart_trajectory_pairs(spark, d):
 
 @PLANS.add(f"""WITH {_ROWS} SELECT coalesce(reason, 'included') AS reason, count(*) AS n FROM x GROUP BY 1""")
 def datamart_exclusions(spark, d):
-    return D.build(_bundle(spark, d), _CONFIG)["stats"]
+    return D.build(_bundle(spark, d), _CONFIG, ["stats"])["stats"]
 
 
 @PLANS.add("WITH " + _ROWS + ", o AS (" + " UNION ALL ".join(f"SELECT '{o}' AS objective, split, {o}_composite IS NOT NULL AS there FROM z" for o in D.OBJECTIVES) + ") SELECT objective, split, count(*) AS rows, count(*) FILTER (WHERE there) AS available, round(avg(there::INT), 6) AS rate FROM o GROUP BY ALL")

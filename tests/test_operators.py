@@ -117,6 +117,14 @@ def test_availability_makes_no_pairs(spark, sf_dir, monkeypatch):
     assert QUERIES["datamart_availability"](spark, sf_dir).count() > 0
 
 
+def test_exclusions_write_nothing(spark, sf_dir, monkeypatch):
+    from skein.queries import QUERIES
+
+    _no_pairs(monkeypatch)
+    monkeypatch.setattr(datamart, "materialise", datamart.pair_rows)
+    assert QUERIES["datamart_exclusions"](spark, sf_dir).count() > 0
+
+
 def test_merge_best_keeps_keyless(spark):
     a = spark.createDataFrame([("k", 1, 0), (None, 5, 1)], "key string, score long, seq long")
     b = spark.createDataFrame([("k", 9, 2), (None, 5, 3)], "key string, score long, seq long")
