@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.functions.scalars import argmax3, follower_bucket, regime_logits, relevance_label, safe_div, softmax3, zscore
 from skein.operators.asof import asof_join
-from skein.operators.similarity import set_similarity_pairs
+from skein.operators.similarity import nearest_earlier
 from skein.operators.windows import chronological_split, leave_one_out_mean
 from skein.session import materialise
 
@@ -211,34 +211,15 @@ def composites(rows: DataFrame, config: Config) -> DataFrame:
     return rows.select("*", *[total(o).alias(f"{o}_composite") for o in OBJECTIVES])
 
 
-def pair_rows(rows: DataFrame, config: Config = Config(), threshold: float = 0.5, salt_rows: int = 10000) -> DataFrame:
+def pair_rows(rows: DataFrame, config: Config = Config(), salt_rows: int = 10000) -> DataFrame:
     """Query, candidate, similarity, objective, score and label: the most similar earlier candidates that share tokens, for all objectives.
 
-    The similarity join finds all pairs of at least ``threshold``, so a query with
-    ``candidates`` earlier ones among these is settled. The others count shared tokens with
-    every earlier row, tokens of many rows in salted parts of about ``salt_rows``. The
-    threshold only says which way a query goes, and cuts no candidate. With trajectory targets
-    a query whose objective is not available has no pairs for it, nor has a candidate.
+    ``salt_rows``: about how many candidates a task holds at once. With trajectory targets a
+    query whose objective is not available has no pairs for it, nor has a candidate.
     """
-    tokens = rows.select("video_id", F.explode("tokens").alias("t"))
-    pairs = set_similarity_pairs(tokens, "video_id", "t", threshold)
-    both = pairs.select(F.col("a").alias("q"), F.col("b").alias("c"), "similarity").unionByName(pairs.select(F.col("b").alias("q"), F.col("a").alias("c"), "similarity"))
     trajectory = config.target_source == "trajectory_v2_composite"
     target = lambda o: f"{o}_composite_z" if trajectory else f"y_{o}_z"
-    at = rows.select("video_id", "as_of")
-    w = Window.partitionBy("q").orderBy(F.desc(F.round("similarity", 9)), "c")
-    best = lambda df: df.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= config.candidates).select("q", "c", "similarity")
-    near = best(both.join(at.select(F.col("video_id").alias("q"), F.col("as_of").alias("q_at")), "q").join(at.select(F.col("video_id").alias("c"), F.col("as_of").alias("c_at")), "c").filter("c_at < q_at"))
-    near = materialise(near, "near")
-    settled = near.groupBy("q").agg(F.count("*").alias("n")).filter(F.col("n") >= config.candidates).select("q")
-
-    salts = tokens.groupBy("t").agg(F.ceil(F.count("*") / salt_rows).alias("salts"))
-    sized = tokens.join(tokens.groupBy("video_id").agg(F.count("*").alias("size")), "video_id").join(at, "video_id").join(salts, "t")
-    asked = sized.select(F.col("video_id").alias("q"), "t", F.col("size").alias("nq"), F.col("as_of").alias("q_at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).join(settled, "q", "left_anti")
-    held = sized.select(F.col("video_id").alias("c"), "t", F.col("size").alias("nc"), F.col("as_of").alias("c_at"), F.pmod(F.xxhash64("video_id"), F.col("salts")).alias("salt"))
-    shared = asked.join(held, ["t", "salt"]).filter("c_at < q_at").groupBy("q", "c").agg(F.count("*").alias("n"), F.max("nq").alias("nq"), F.max("nc").alias("nc"))
-    open_ = best(shared.select("q", "c", (F.col("n") / (F.col("nq") + F.col("nc") - F.col("n"))).alias("similarity")))
-    top = near.join(settled, "q", "left_semi").unionByName(open_)
+    top = nearest_earlier(rows.select(F.col("video_id").alias("id"), F.unix_micros("as_of").alias("at"), "tokens"), config.candidates, salt_rows)
     ask = lambda o: F.col(f"{o}_available") if trajectory else F.lit(True)
     q = rows.select(F.col("video_id").alias("q"), F.col("row_id").alias("query_row_id"), *[ask(o).alias(f"ask_{o}") for o in OBJECTIVES])
     parts = lambda o: F.struct(*[F.round(f"{o}_{c}_z", 6).alias(c) for c in COMPOSITE], F.col(f"{o}_available").alias("available"))

@@ -94,6 +94,29 @@ def test_pairs_hold_the_best_earlier_rows_at_any_similarity(spark, salt_rows):
     assert {a: sorted(x) for a, x in got.items()} == {a: x for a, x in want.items() if x}
 
 
+def _ranked(sets, k=8):
+    """Brute force over id -> (at, tokens)."""
+    sim = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    return {q: [(c, -s) for s, c in sorted((-round(sim(t, sets[c][1]), 9), c) for c in sets if sets[c][0] < at and set(t) & set(sets[c][1]))[:k]] for q, (at, t) in sets.items()}
+
+
+@pytest.mark.parametrize(("block", "meetings"), [(10000, 100), (20, 3), (10000, 0)])
+def test_nearest_earlier_rows_are_exact(spark, block, meetings):
+    sets = {f"v{i}": (i * 37 % 50, sorted({f"a{i % 4}", f"b{i * i % 7}", f"c{i * 31 % 60}"} | ({"all"} if i % 3 else set()))) for i in range(150)}
+    df = spark.createDataFrame([(i, at, t) for i, (at, t) in sets.items()], "id string, at long, tokens array<string>")
+    got = {}
+    for r in similarity.nearest_earlier(df, 8, block, meetings).collect():
+        got.setdefault(r["q"], []).append((-round(r["similarity"], 9), r["c"]))
+    want = {q: x for q, x in _ranked(sets).items() if x}
+    assert {q: [(c, -s) for s, c in sorted(x)] for q, x in got.items()} == want
+
+
+def test_rows_of_one_class_do_not_all_meet(spark):
+    df = spark.range(3000).select(F.lpad(F.pmod(F.xxhash64("id"), F.lit(10**6)).cast("string"), 7, "0").alias("id"), "id").toDF("id", "at")
+    kept = similarity._undominated(df.select("id", "at", F.lit(1).alias("n"), F.array(F.lit(7).cast("long")).alias("f")), 8, 1000)
+    assert 8 <= kept.count() < 500
+
+
 def _no_pairs(monkeypatch):
     def asked(*a, **b):
         raise AssertionError("pairs are made")
