@@ -111,6 +111,18 @@ def test_nearest_earlier_rows_are_exact(spark, block, meetings):
     assert {q: [(c, -s) for s, c in sorted(x)] for q, x in got.items()} == want
 
 
+def test_trajectory_pairs_of_one_frequent_token(spark):
+    """Hundreds of rows share all their tokens: only the smallest earlier ids stand out, and only objectives that are available are asked."""
+    df = spark.range(400).select(F.lpad(((F.col("id") * 37) % 400).cast("string"), 3, "0").alias("video_id"), F.timestamp_seconds("id").alias("as_of"), F.array(F.lit("all")).alias("tokens")).withColumn("row_id", F.col("video_id"))
+    df = df.select("*", *[F.lit(o != "reach").alias(f"{o}_available") for o in datamart.OBJECTIVES], *[F.lit(0.5).alias(f"{o}_{c}_z") for o in datamart.OBJECTIVES for c in (*datamart.COMPOSITE, "composite")])
+    got = {}
+    pairs = datamart.pair_rows(df, datamart.Config(target_source="trajectory_v2_composite"), salt_rows=50)
+    for r in pairs.collect():
+        got.setdefault((r["query_id"], r["objective"]), []).append(r["candidate_id"])
+    want = {f"{i * 37 % 400:03}": sorted(f"{j * 37 % 400:03}" for j in range(i))[:8] for i in range(1, 400)}
+    assert {k: sorted(x) for k, x in got.items()} == {(q, o): x for q, x in want.items() for o in ("engagement", "conversion")}
+
+
 def test_rows_of_one_class_do_not_all_meet(spark):
     df = spark.range(3000).select(F.lpad(F.pmod(F.xxhash64("id"), F.lit(10**6)).cast("string"), 7, "0").alias("id"), "id").toDF("id", "at")
     kept = similarity._undominated(df.select("id", "at", F.lit(1).alias("n"), F.array(F.lit(7).cast("long")).alias("f")), 8, 1000)
