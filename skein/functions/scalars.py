@@ -137,10 +137,10 @@ def cyclic_hour(t) -> tuple[Column, Column]:
 
 
 def top_of_map(m, n: int) -> Column:
-    """The n largest entries of a map, ties by key."""
-    key = lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k"))
+    """The n largest entries of a map, ties by key; values that differ by the order of a sum alone (9 places) are ties."""
+    key = lambda e: F.struct((-F.round(e["value"], 9)).alias("v"), e["key"].alias("k"), e["value"].alias("x"))
     ordered = F.array_sort(F.transform(F.map_entries(_c(m)), key))
-    return F.map_from_entries(F.transform(F.slice(ordered, 1, n), lambda e: F.struct(e["k"], -e["v"])))
+    return F.map_from_entries(F.transform(F.slice(ordered, 1, n), lambda e: F.struct(e["k"], e["x"])))
 
 
 def merge_maps(a, b) -> Column:

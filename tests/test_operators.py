@@ -29,6 +29,11 @@ def test_guards(spark):
     assert list(one(spark, S.top_of_map(F.create_map(F.lit("a"), F.lit(1.0), F.lit("b"), F.lit(3.0), F.lit("c"), F.lit(2.0)), 2))) == ["b", "c"]
 
 
+def test_top_of_map_ties_do_not_hang_on_the_order_of_a_sum(spark):
+    m = F.create_map(F.lit("a"), F.lit(0.6), F.lit("b"), F.lit(0.1) + F.lit(0.2) + F.lit(0.3), F.lit("c"), F.lit(0.3) + F.lit(0.2) + F.lit(0.1))
+    assert one(spark, S.top_of_map(m, 1)) == {"a": 0.6}
+
+
 def test_text(spark):
     assert one(spark, T.clean_caption(F.lit("see https://x.y/z @me #Tag  now"))) == "see now"
     assert one(spark, T.hashtags(F.lit("#A b #a #Ü"))) == ["#a", "#ü"]
