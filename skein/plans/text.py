@@ -8,7 +8,7 @@ from skein.functions import text as T
 from skein.functions.scalars import safe_div, signed_hash_slot
 from skein.operators.comments import alignment_windows, comment_signals_by_root, shrunk_priors
 from skein.operators.similarity import bm25_topk as best_bm25
-from skein.operators.similarity import cooccurrence, set_similarity_pairs, top_neighbours, top_per_query
+from skein.operators.similarity import cooccurrence, set_similarity_pairs, similar_sets, top_neighbours, top_per_query
 from skein.operators.similarity import tfidf_topk as best_tfidf
 from skein.plans.registry import Plans
 from skein.session import table
@@ -43,8 +43,8 @@ def text_clean_extract(spark, d):
 @PLANS.add(f"""WITH t AS ({_TOK}), s AS (SELECT doc_id, count(*) n FROM t GROUP BY doc_id), p AS (SELECT x.doc_id a, y.doc_id b, count(*) c FROM t x JOIN t y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY ALL)
 SELECT a, b, round(c / (s.n + u.n - c), 6) AS similarity FROM p JOIN s ON a = s.doc_id JOIN s u ON b = u.doc_id WHERE c / (s.n + u.n - c) >= 0.7""")
 def jaccard_pairs(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.words("text"))).alias("t"))
-    return set_similarity_pairs(rows, "doc_id", "t", 0.7).withColumn("similarity", F.round("similarity", 6))
+    sets = table(spark, d, "documents").select("doc_id", F.transform(F.array_distinct(T.words("text")), lambda w: F.xxhash64(w)).alias("s"))
+    return similar_sets(sets, "doc_id", "s", 0.7).withColumn("similarity", F.round("similarity", 6))
 
 
 _BOUGHT = "SELECT DISTINCT o_custkey AS k, l_partkey AS p FROM orders JOIN lineitem ON o_orderkey = l_orderkey"

@@ -119,6 +119,17 @@ def _ranked(sets, k=8):
     return {q: [(c, -s) for s, c in sorted((-round(sim(t, sets[c][1]), 9), c) for c in sets if sets[c][0] < at and set(t) & set(sets[c][1]))[:k]] for q, (at, t) in sets.items()}
 
 
+@pytest.mark.parametrize(("known", "block", "threshold"), [(100_000, 10**6, 0.7), (8, 300, 0.7), (0, 40, 0.5), (8, 40, 1.0)])
+def test_similar_sets_in_blocks_are_exact(spark, known, block, threshold):
+    """Near copies, copies, sets of one element and empty ones, with blocks that cut even a single size into parts."""
+    sets = {i: {(i // 6 * 53 + j * j) % 97 - 40 for j in range(5 + i // 6 % 9)} ^ {1000 + i % 3 * (i % 6 > 2)} for i in range(180)} | {200: {7}, 201: {7}, 202: {8}, 203: set(), 204: set()}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "k long, s array<long>")
+    got = sorted((r["a"], r["b"], round(r["similarity"], 9)) for r in similarity.similar_sets(df, "k", "s", threshold, known, block).collect())
+    near = ((a, b, len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))) for a in sets for b in sets if a < b)
+    want = sorted((a, b, round(s, 9)) for a, b, s in near if s >= threshold - 1e-12)
+    assert got == want and len(want) > 100
+
+
 @pytest.mark.parametrize(("block", "meetings"), [(10000, 100), (20, 3), (10000, 0)])
 def test_nearest_earlier_rows_are_exact(spark, block, meetings):
     sets = {f"v{i}": (i * 37 % 50, sorted({f"a{i % 4}", f"b{i * i % 7}", f"c{i * 31 % 60}"} | ({"all"} if i % 3 else set()))) for i in range(150)}
