@@ -1,10 +1,12 @@
-"""Typed graphs of creators, videos and tags: edges, strengths, walks and embeddings."""
+"""Typed graphs of creators, videos and tags: edges and strengths; walks and vectors stand in ``walks``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.walks import node_vectors, random_walks  # noqa: F401
+
 
 def edge_weight(age_days: Column, missing: Column, interactions: Column, half_life: float = 45.0) -> Column:
     """Recency times quality (0.05 less per missing field, 0.5 at least) times interaction. The numbers are fixed values."""
@@ -23,60 +25,6 @@ def node_strength(edges: DataFrame) -> DataFrame:
     return s.crossJoin(F.broadcast(s.agg(F.max("strength").alias("_top")))).withColumn("normalised", F.col("strength") / F.greatest("_top", F.lit(1e-12))).drop("_top")
 
 
-def step_ranges(edges: DataFrame, blocks: int = 256) -> DataFrame:
-    """(src, slot, slots, lo, hi, dst): the share of the draws in [0, 1) that lead from a node over each of its edges.
-
-    Every edge of either direction has a range as long as its share of the node's weight
-    (1e-6 at least). A node has as many slots of equal length as edges, and a range stands in
-    each slot it touches, so a draw meets two ranges on average whatever the degree. Running
-    sums are taken within ``blocks`` blocks of a node's edges and then over the blocks, so no
-    task or row holds all edges of a hot node.
-    """
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).filter("src is not null and dst is not null")
-    both = both.select("src", "dst", F.greatest(F.col("weight").cast("double"), F.lit(1e-6)).alias("weight"), F.pmod(F.xxhash64("dst"), F.lit(blocks)).alias("block"))
-    inner = Window.partitionBy("src", "block").orderBy("dst", "weight").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ran = both.withColumn("end", F.sum("weight").over(inner)).withColumn("begin", F.coalesce(F.lag("end").over(Window.partitionBy("src", "block").orderBy("dst", "weight")), F.lit(0.0)))
-    outer = Window.partitionBy("src").orderBy("block")
-    whole = Window.partitionBy("src")
-    sums = ran.groupBy("src", "block").agg(F.max("end").alias("own"), F.count("*").alias("n")).withColumn("upto", F.sum("own").over(outer.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    sums = sums.select("src", "block", F.coalesce(F.lag("upto").over(outer), F.lit(0.0)).alias("base"), F.max("upto").over(whole).alias("total"), F.sum("n").over(whole).alias("slots"))
-    r = ran.join(sums, ["src", "block"]).select("src", "dst", "slots", ((F.col("base") + F.col("begin")) / F.col("total")).alias("lo"), ((F.col("base") + F.col("end")) / F.col("total")).alias("hi"))
-    return r.withColumn("slot", F.explode(F.sequence(slot_of("lo"), slot_of("hi")))).select("src", "slot", "slots", "lo", "hi", "dst")
-
-
-def slot_of(at: str) -> Column:
-    return F.least(F.floor(F.col(at) * F.col("slots")), F.col("slots") - 1)
-
-
-def random_walks(edges: DataFrame, walks: int = 20, length: int = 12, seed: int = 11) -> DataFrame:
-    """Weighted random walks, one row per walk with an array ``walk`` of nodes.
-
-    A step draws its next node from all edges of the node in proportion to their weights, by
-    a hash of seed, walk and step, so walks repeat. Each step is one join of the walks with
-    the ranges on node and slot, of which one range holds the draw.
-    """
-    ranges = step_ranges(edges).persist()
-    nodes = ranges.groupBy("src").agg(F.max("slots").alias("slots"))
-    out = ranges.select(F.col("src").alias("_src"), F.col("slot").alias("_slot"), "lo", "hi", "dst")
-    state = nodes.select(F.col("src").alias("at"), "slots", F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("no")).select("at", "slots", "no", F.col("at").alias("start"), F.array("at").alias("walk"))
-    degree = nodes.select(F.col("src").alias("at"), "slots")
-    for step in range(length - 1):
-        u = F.pmod(F.xxhash64("start", "no", F.lit(seed * 1000 + step)), F.lit(1 << 52)) / float(1 << 52)
-        drawn = (state if step == 0 else state.join(degree, "at")).withColumn("u", u).withColumn("slot", slot_of("u"))
-        joined = drawn.join(out, (F.col("at") == F.col("_src")) & (F.col("slot") == F.col("_slot")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-        state = joined.select(F.col("dst").alias("at"), "no", "start", F.concat("walk", F.array("dst")).alias("walk"))
-    return state.select("start", "no", "walk")
-
-
-def walk_embeddings(walks: DataFrame, dims: int = 32, window: int = 4, seed: int = 11) -> DataFrame:
-    """Node vectors (word, vector) from walks by skip-gram."""
-    from pyspark.ml.feature import Word2Vec
-
-    text = walks.select(F.transform("walk", lambda x: x.cast("string")).alias("walk"))
-    model = Word2Vec(vectorSize=dims, windowSize=window, minCount=1, maxIter=1, seed=seed, inputCol="walk", outputCol="v").fit(text)
-    return model.getVectors()
-
-
 def annotate(rows: DataFrame, key: str, strengths: DataFrame) -> DataFrame:
     """Rows with their node's normalised strength, 0 where it has none."""
     return rows.join(strengths.select(F.col("id").alias(key), F.col("normalised").alias("graph_strength")), key, "left").fillna(0.0, ["graph_strength"])

@@ -95,10 +95,10 @@ def graph_node_strength(spark, d):
 
 @PLANS.add()
 def node2vec_embeddings(spark, d):
-    """20 walks of 12 nodes from every node of the creator-tag projection, then skip-gram vectors of 32 dimensions."""
+    """20 walks of 12 nodes from every node of the creator-tag projection, then vectors of 32 dimensions by truncated SVD of their co-occurrence."""
     j = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     e = j.groupBy(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("t"), "p_brand").alias("dst")).agg(F.sum("l_quantity").alias("weight"))
-    return G.walk_embeddings(G.random_walks(e)).select(F.col("word").alias("id"), F.col("vector").cast("string").alias("vector"))
+    return G.node_vectors(e).select("id", F.concat(F.lit("["), F.array_join(F.col("vector").cast("array<string>"), ","), F.lit("]")).alias("vector"))
 
 
 def _candidates(spark, d):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skein.functions import scalars
 from skein.functions import scalars as S
 from skein.functions import text as T
-from skein.operators import asof, contracts, datamart, evaluation, experiments, fabric, graph, lineage, medallion, ranking, retrieval, similarity, stats, tags, upsert, windows
+from skein.operators import asof, contracts, datamart, evaluation, experiments, fabric, graph, lineage, medallion, ranking, retrieval, similarity, stats, tags, upsert, walks, windows
 from skein.sources import extracts, jsonl, manifest
 
 
@@ -362,6 +362,40 @@ def test_walks_draw_from_all_edges_by_weight(spark):
     assert all({x, y} & {"hub"} and x != y for w in walks for x, y in zip(w, w[1:], strict=False))
 
 
+def test_node_vectors_are_the_svd_of_the_co_occurrence(spark, monkeypatch):
+    """Of the walks themselves, as the reference has it; hot nodes in pieces and columns in groups change nothing."""
+    e = spark.createDataFrame([(f"n{i}", f"t{j}", 1.0 + (i * j) % 5) for i in range(14) for j in range(6) if (i + j) % 3], "src string, dst string, weight double")
+    m = {}
+    for r in graph.random_walks(e, 5, 7, 3).collect():
+        for i, x in enumerate(r["walk"]):
+            for y in r["walk"][max(0, i - 2) : i] + r["walk"][i + 1 : i + 3]:
+                m[x, y] = m.get((x, y), 0) + 1
+    names = sorted({x for x, _ in m})
+    c = np.array([[m.get((x, y), 0) for y in names] for x in names], float)
+    u, s, _ = np.linalg.svd(c / c.sum(1, keepdims=True))
+    want = u[:, :12] * s[:12]
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    for cells, block in ((walks.CELLS, walks.ROW_BLOCK), (220, 8)):
+        monkeypatch.setattr(walks, "CELLS", cells)
+        monkeypatch.setattr(walks, "ROW_BLOCK", block)
+        got = {r["id"]: r["vector"] for r in graph.node_vectors(e, 5, 7, 12, 2, 3).collect()}
+        got = np.array([got[x] for x in names])
+        assert len(names) == 20 and np.abs(got @ got.T - want @ want.T).max() < 1e-4
+
+
+def test_walks_of_hot_nodes_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(walks, "PIECE", 30)
+    monkeypatch.setattr(walks, "EDGE_BLOCK", 50)
+    monkeypatch.setattr(walks, "FLUSH", 500)
+    monkeypatch.setattr(walks, "WALK_BLOCK", 300)
+    e = spark.createDataFrame([("hub", f"n{i}", 1.0 + (i % 2) * 2) for i in range(200)], "src string, dst string, weight double")
+    rows = graph.random_walks(e).collect()
+    steps = [y for r in rows for x, y in zip(r["walk"], r["walk"][1:], strict=False) if x == "hub"]
+    assert len({(r["start"], r["no"]) for r in rows}) == len(rows) == 201 * 20 and all(r["walk"][0] == r["start"] and len(r["walk"]) == 12 for r in rows)
+    assert len(set(steps)) == 200 and abs(sum(int(y[1:]) % 2 for y in steps) / len(steps) - 0.75) < 0.02
+    assert all({x, y} & {"hub"} and x != y for r in rows for x, y in zip(r["walk"], r["walk"][1:], strict=False))
+
+
 def test_node2vec_has_the_whole_size(spark, sf_dir):
     from skein.queries import QUERIES
 
